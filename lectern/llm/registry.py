@@ -1,11 +1,17 @@
 """Queries of this subpackage and their SQL."""
 
-from . import jaccard_join
+from . import jaccard_join, line_dedup, mixing, sharding, token_counts
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
     "op2_ngram_jaccard_join": jaccard_join.query,
+    "op3_mixing": mixing.query,
+    "op8_sharding": sharding.query,
+    "op9_token_counts": token_counts.query,
 }
 
 SQL = {
+    "op1_line_dedup": line_dedup.SQL,
     "op2_ngram_jaccard_join": jaccard_join.SQL,
+    "op3_mixing": mixing.SQL,
 }
