@@ -9,6 +9,7 @@ about 2**-64; all counts built on names hold up to that.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -55,29 +56,44 @@ class Texts:
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
         self.data, self.at, self.n = data, at.astype(np.int64), len(at) - 1
-        size = len(data)
-        self._pw, self._ipw = _power(size + 1)
-        self._prefix = np.zeros(size + 1, U)
-        np.cumsum(_BYTE[data] * self._pw[:size], out=self._prefix[1:])
+
+    def take(self, rows: np.ndarray) -> Texts:
+        """A block of some of the texts."""
+        if len(rows) == self.n:
+            return self
+        size = np.diff(self.at)[rows]
+        at = np.concatenate([[0], np.cumsum(size)])
+        return Texts(self.data[np.repeat(self.at[:-1][rows] - at[:-1], size) + np.arange(at[-1])], at)
+
+    def mapped(self, table: np.ndarray) -> Texts:
+        """The same texts with each byte replaced by a table's."""
+        return Texts(table[self.data], self.at)
+
+    @cached_property
+    def _sums(self) -> tuple[np.ndarray, np.ndarray]:
+        size = len(self.data)
+        pw, ipw = _power(size + 1)
+        prefix = np.zeros(size + 1, U)
+        np.cumsum(_BYTE[self.data] * pw[:size], out=prefix[1:])
+        return prefix, ipw
 
     def names(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A 64-bit name for each run of bytes."""
-        h = (self._prefix[end] - self._prefix[begin]) * self._ipw[begin]
+        prefix, ipw = self._sums
+        h = (prefix[end] - prefix[begin]) * ipw[begin]
         return mix(h + (end - begin).astype(U) * _ODD)
 
+    @cached_property
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where words begin and end, and per text the number of its first word (one more entry than texts)."""
-        if not hasattr(self, "_words"):
-            size = len(self.data)
-            word = np.zeros(size + 2, bool)
-            word[1:-1] = ~_SPACE[self.data]
-            edge = np.zeros(size + 1, bool)
-            edge[self.at] = True
-            begin = np.flatnonzero(word[1:] & (~word[:-1] | edge))
-            end = np.flatnonzero(word[:-1] & (~word[1:] | edge))
-            begin = begin[begin < size]
-            self._words = begin, end, np.searchsorted(begin, self.at)
-        return self._words
+        size = len(self.data)
+        word = np.zeros(size + 2, bool)
+        word[1:-1] = ~_SPACE[self.data]
+        edge = np.zeros(size + 1, bool)
+        edge[self.at] = True
+        begin = np.flatnonzero(word[1:] & (~word[:-1] | edge))
+        end = np.flatnonzero(word[:-1] & (~word[1:] | edge))
+        return begin, end, np.searchsorted(begin, self.at)
 
     def sums(self, flags: np.ndarray) -> np.ndarray:
         """Per text the sum over its bytes."""
@@ -85,14 +101,32 @@ class Texts:
         np.cumsum(flags, out=total[1:])
         return total[self.at[1:]] - total[self.at[:-1]]
 
+    @cached_property
     def word_names(self) -> np.ndarray:
-        begin, end, _ = self.words()
+        begin, end, _ = self.words
         return self.names(begin, end)
 
+    @cached_property
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the lines that have a word begin and end (split at newlines), and the text of each."""
+        size = len(self.data)
+        edge = np.zeros(size + 1, bool)
+        edge[self.at] = True
+        newline = np.flatnonzero(self.data == 0x0A)
+        begin = np.unique(np.concatenate([self.at[:-1], newline + 1]))
+        begin = begin[begin < size]
+        end = np.append(begin[1:], size)
+        # a line ends before its newline, or where its text ends
+        end = end - (self.data[end - 1] == 0x0A)
+        first, _, _ = self.words
+        has = np.searchsorted(first, end) > np.searchsorted(first, begin)
+        begin, end = begin[has], end[has]
+        return begin, end, np.searchsorted(self.at, begin, "right") - 1
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Names of all windows of k words, and per text the number of its first window (windows stay inside texts)."""
-        _, _, first = self.words()
-        return grams(self.word_names(), first, k)
+        _, _, first = self.words
+        return grams(self.word_names, first, k)
 
 
 def grams(names: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,12 +145,12 @@ def shingles(block: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     A text of 1 to k - 1 words has one shingle made of all of them; a text without words has none.
     """
     names, at = block.grams(k)
-    _, _, first = block.words()
+    _, _, first = block.words
     words = np.diff(first)
     short = np.flatnonzero((words > 0) & (words < k))
     owner = np.repeat(np.arange(block.n), np.diff(at))
     if len(short):
-        own = block.word_names()
+        own = block.word_names
         extra = []
         for t in short:
             w = own[first[t] : first[t + 1]]

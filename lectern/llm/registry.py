@@ -1,17 +1,24 @@
 """Queries of this subpackage and their SQL."""
 
-from . import jaccard_join, line_dedup, mixing, sharding, token_counts
+from . import decontamination, jaccard_join, line_dedup, mixing, quality_rules, secret_scan, sharding, token_counts, url_filters, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_ngram_jaccard_join": jaccard_join.query,
     "op3_mixing": mixing.query,
+    "op4_warc": warc.query,
+    "op5_secret_scan": secret_scan.query,
+    "op6_url_filters": url_filters.query,
+    "op7_quality_rules": quality_rules.query,
     "op8_sharding": sharding.query,
     "op9_token_counts": token_counts.query,
+    "op10_decontamination": decontamination.query,
 }
 
 SQL = {
     "op1_line_dedup": line_dedup.SQL,
     "op2_ngram_jaccard_join": jaccard_join.SQL,
     "op3_mixing": mixing.SQL,
+    "op6_url_filters": url_filters.SQL,
+    "op7_quality_rules": quality_rules.SQL,
 }
