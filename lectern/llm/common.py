@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, as every contract of this subpackage has it: a run without ASCII white space.
@@ -58,37 +58,34 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     gathered in one task; nothing but a row count and a checksum reaches the driver. Loops and repeated edges are
     allowed. The number of rounds grows with the logarithm of the number of ids; beyond max_rounds it raises.
     """
-    spark = edges.sparkSession
-
-    def oriented(df: DataFrame) -> DataFrame:
-        return df.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-
+    # u > v in every pair, in and out of each step
     def large(pairs: DataFrame) -> DataFrame:
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
     def small(pairs: DataFrame) -> DataFrame:
         low = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        moved = pairs.join(low, "u")
-        return moved.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
-            low.select(F.col("u").alias("a"), F.col("m").alias("b"))
-        )
-
-    mark = [F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))]
-    now = written(oriented(edges.select("a", "b")), "edges")
-    seen = tuple(now.agg(*mark).first())
+        moved = pairs.join(low, "u").where("v <> m")
+        return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+
+    def counted(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        mark = [F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")]
+        out = written(pairs.distinct().observe(seen, *mark), "edges")
+        return out, (seen.get["n"], seen.get["h"])
+
+    now, seen = counted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = written(oriented(small(oriented(large(now)))), "edges")
-        if (got := tuple(now.agg(*mark).first())) == seen:
+        now, got = counted(small(large(now)))
+        if got == seen:
             break
         seen = got
     else:
         raise RuntimeError(f"components: no end after {max_rounds} rounds")
     stars = now.groupBy("u").agg(F.min("v").alias("root"))
-    del spark
     return stars.select(F.col("u").alias("id"), "root").unionByName(
         stars.select(F.col("root").alias("id"), "root").distinct()
     )

@@ -2,10 +2,11 @@
 
 Method: a chosen-path join. Every distinct shingle set gets a signature of minwise values; a run starts from all sets
 and splits them recursively on sampled values (each node of the recursion samples its own coordinates, and sets that
-agree on one go on together), until a bucket is small enough to compare all its sets. Runs are repeated in batches
-until a batch finds almost nothing that was not known: the target recall. Buckets compare signatures with a margin
-below the threshold and hand on only a forest of candidate links; connected candidates then meet once more with their
-whole sets, where every pair is decided by its exact Jaccard similarity and counted.
+agree on one go on together), until a bucket is small enough to compare all its sets. How often runs find the same
+link again tells how many they miss, and runs are repeated in batches until that is no more than the target recall
+leaves. Buckets compare signatures with a margin below the threshold and hand on candidate links, large ones only a
+forest of them; connected candidates then meet once more with their whole sets, where every pair is decided by its
+exact Jaccard similarity and counted.
 
 Scale: texts are read twice and never shuffled; signatures are shuffled only for sets that share a bucket, shingles
 only for sets with a candidate. Equal sets are one row throughout, so copies cost nothing beyond one aggregation. A
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -31,6 +32,8 @@ COORDINATES = 64
 MARGIN = 0.2
 #: Sets in a block of a bucket or class, and shingles in a block of a class.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
+#: A bucket of up to so many sets hands on all its candidate links.
+FEW = 8
 #: Bits of the filter that a second reading of the texts holds, at most (8 MB).
 FILTER_BITS = 1 << 26
 
@@ -88,34 +91,36 @@ def _shingle_rows(k: int, bits: np.ndarray):
 
 
 def _candidates(least: float, threshold: float):
-    """Buckets of signatures -> (a, b): a forest that joins the sets connected by candidate pairs of this bucket."""
+    """Buckets of signatures -> (a, b, run): candidate links; of more than FEW sets a forest that joins what they join, as run -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in kernel.whole_groups(batches, ["path", "i", "j"]):
-            node = table.column("node").to_numpy()
+            node, runs = table.column("node").to_numpy(), table.column("run").to_numpy()
             n = table.column("n").to_numpy().astype(np.float64)
             sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
-            a, b = [], []
+            a, b, r = [], [], []
             for lo, hi in zip(at[:-1], at[1:], strict=True):
                 if hi - lo < 2:
                     continue
                 own, size = sig[lo:hi], n[lo:hi]
-                if hi - lo == 2:
-                    same = (own[0] == own[1]).sum()
-                    if same >= least and size.min() >= threshold * size.max() - 1e-9:
-                        a.append(node[lo : lo + 1])
-                        b.append(node[lo + 1 : lo + 2])
-                    continue
-                same = np.zeros((hi - lo, hi - lo), np.uint8)
-                for j in range(COORDINATES):
-                    same += own[:, j][:, None] == own[:, j][None, :]
+                if hi - lo <= FEW:
+                    same = (own[:, None] == own[None]).sum(2)
+                else:
+                    same = np.zeros((hi - lo, hi - lo), np.uint8)
+                    for j in range(COORDINATES):
+                        same += own[:, j][:, None] == own[:, j][None, :]
                 linked = (same >= least) & (np.minimum.outer(size, size) >= threshold * np.maximum.outer(size, size) - 1e-9)
-                label = kernel.labels(linked)
-                moved = np.flatnonzero(label != np.arange(hi - lo))
-                a.append(node[lo:hi][moved])
-                b.append(node[lo:hi][label[moved]])
+                if hi - lo <= FEW:
+                    x, y = np.nonzero(np.triu(linked, 1))
+                else:
+                    y = kernel.labels(linked)
+                    x = np.flatnonzero(y != np.arange(hi - lo))
+                    y = y[x]
+                a.append(node[lo:hi][x])
+                b.append(node[lo:hi][y])
+                r.append(runs[lo:hi][x] if hi - lo <= FEW else np.full(len(x), -1, np.int32))
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, r)], names=["a", "b", "run"])
 
     return run
 
@@ -152,7 +157,8 @@ def _exact(threshold: float):
             sets = table.column("shingles").combine_chunks()
             offsets = np.frombuffer(sets.buffers()[1], np.int32)[sets.offset : sets.offset + len(sets) + 1].astype(np.int64)
             data = np.frombuffer(sets.buffers()[2], np.uint8) if sets.buffers()[2] is not None else np.zeros(0, np.uint8)
-            out: tuple[list, list, list] = ([], [], [])
+            whole = table.column("whole").to_numpy(zero_copy_only=False)
+            out: tuple[list, list, list, list] = ([], [], [], [])
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 if hi - lo < 2:
                     continue
@@ -169,8 +175,9 @@ def _exact(threshold: float):
                 out[1].append((linked * copies[lo:hi][None, :]).sum(1)[some].astype(np.int64))
                 # nodes are in order, so the smallest row is the smallest node
                 out[2].append(node[lo:hi][label[some]])
+                out[3].append(whole[lo:hi][some])
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["node", "links", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["node", "links", "label", "whole"])
 
     return run
 
@@ -183,6 +190,7 @@ def _block_pairs(rows: DataFrame, key: str, n_blocks: Column) -> DataFrame:
         .withColumn("_o", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))))
         .withColumn("i", F.least("block", "_o"))
         .withColumn("j", F.greatest("block", "_o"))
+        .withColumn("whole", F.col("_n") == 1)
         .drop("_n", "_o")
         .repartition(key, "i", "j")
         .sortWithinPartitions(key, "i", "j", "node")
@@ -190,23 +198,22 @@ def _block_pairs(rows: DataFrame, key: str, n_blocks: Column) -> DataFrame:
 
 
 def _run_batch(sets: DataFrame, runs: range, threshold: float, limit: int, depth: int, seed: int) -> DataFrame:
-    """Candidate links of some runs. sets: (node, n, sig)."""
+    """Candidate links (a, b, run) of some runs. sets: (node, n, sig)."""
     first = F.array(
-        *[
-            F.xxhash64(F.lit(seed), F.lit(r), F.element_at("sig", 1 + (r * 37 + 11) % COORDINATES))
-            for r in runs
-        ]
+        *[F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(seed), F.lit(r), F.element_at("sig", 1 + (r * 37 + 11) % COORDINATES)).alias("path")) for r in runs]
     )
-    level = sets.select("node", F.explode(first).alias("path"))
+    level = sets.select("node", F.inline(first))
     share = int((1 << 20) / (threshold * COORDINATES))
     out = []
     for d in range(depth + 1):
-        level = written(level, "paths")
+        if d:
+            level = written(level, "paths")
         counts = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = written(level.join(counts, "path"), "sized")
-        last = d == depth
+        large = Observation()
+        sized = written(level.join(counts, "path").observe(large, F.count_if(F.col("size") > limit).alias("n")), "sized")
+        last = d == depth or not large.get["n"]
         out.append(sized if last else sized.where(F.col("size") <= limit))
-        if last or sized.where(F.col("size") > limit).limit(1).count() == 0:
+        if last:
             break
         split = sized.where(F.col("size") > limit).join(sets.select("node", "sig"), "node")
         # a node samples its coordinates by its own path, so that all sets in it agree on them
@@ -214,15 +221,30 @@ def _run_batch(sets: DataFrame, runs: range, threshold: float, limit: int, depth
             F.sequence(F.lit(0), F.lit(COORDINATES - 1)),
             lambda c: F.pmod(F.xxhash64(F.lit(seed), F.col("path"), c), F.lit(1 << 20)) < share,
         )
-        level = split.select(
-            "node", "path", "sig", F.explode(child).alias("c")
-        ).select("node", F.xxhash64("path", "c", F.element_at("sig", F.col("c") + 1)).alias("path"))
+        level = split.select("node", "run", "path", "sig", F.explode(child).alias("c")).select(
+            "node", "run", F.xxhash64("path", "c", F.element_at("sig", F.col("c") + 1)).alias("path")
+        )
     buckets = out[0]
     for more in out[1:]:
         buckets = buckets.unionByName(more)
     blocked = _block_pairs(buckets.join(sets, "node"), "path", F.ceil(F.col("size") / limit))
     least = (threshold - MARGIN) * COORDINATES
-    return blocked.select("path", "i", "j", "node", "n", "sig").mapInArrow(_candidates(least, threshold), "a long, b long")
+    return blocked.select("path", "i", "j", "node", "run", "n", "sig").mapInArrow(_candidates(least, threshold), "a long, b long, run int")
+
+
+def estimated_recall(links: int, hits: int, runs: int) -> float:
+    """Of `links` links found in `hits` (link, run) pairs: the share of all links that so many runs find.
+
+    If a run finds a link with probability p, a link that is found at all is found by runs * p / (1 - (1 - p) ** runs)
+    runs on average; p follows by bisection.
+    """
+    if not links:
+        return 1.0
+    mean, low, high = hits / links, 0.0, 1.0
+    for _ in range(50):
+        p = (low + high) / 2
+        low, high = (p, high) if runs * p < mean * (1 - (1 - p) ** runs) else (low, p)
+    return 1 - (1 - (low + high) / 2) ** runs
 
 
 def similar_documents(
@@ -232,10 +254,10 @@ def similar_documents(
     words: int = 5,
     threshold: float = 0.8,
     recall: float = 0.999,
-    runs_at_once: int = 4,
-    max_batches: int = 16,
+    runs_at_once: int = 8,
+    max_batches: int = 8,
     limit: int = BLOCK_SETS,
-    depth: int = 3,
+    depth: int = 2,
     seed: int = 7,
 ) -> DataFrame:
     """Near-duplicate classes: one row (id, class_id, n_links) for each input row.
@@ -243,13 +265,12 @@ def similar_documents(
     A link joins two rows whose sets of `words`-word shingles have a Jaccard similarity of `threshold` or more (words
     are runs without ASCII white space, compared as they are; a text of fewer words has one shingle of all of them).
     n_links counts the other rows linked to this one, copies included; class_id is the smallest id of the rows that
-    links connect. recall: runs go on until a batch brings no more than 1 - recall of links not known before.
+    links connect. recall: runs go on until this share of the candidate links is estimated to be found (or max_batches are run).
 
     Null and empty texts have no shingles: no links, a class of their own. Rows with equal ids must have equal texts;
     whole repeated rows link to each other. A null id is a class of its own name (null) but counts as a link of others.
     Further columns are ignored, whatever their names. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = written(texts.mapInArrow(_signatures(words), "id long, k1 long, k2 long, n int, sig array<int>"), "signatures")
     groups = (
@@ -260,20 +281,20 @@ def similar_documents(
     sets = written(groups, "sets")
     signed = sets.select("node", "n", "sig")
 
-    known: DataFrame | None = None
+    found: DataFrame | None = None
     for b in range(max_batches):
-        found = written(_run_batch(signed, range(b * runs_at_once, (b + 1) * runs_at_once), threshold, limit, depth, seed), "found").distinct()
-        if known is None:
-            known = written(components(found), "classes")
-            continue
-        ka, kb = known.select(F.col("id").alias("a"), F.col("root").alias("ra")), known.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-        news = written(found.join(ka, "a", "left").join(kb, "b", "left").select("a", "b", F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)).alias("old")), "news")
-        total, new = news.agg(F.count(F.lit(1)), F.count_if(~F.col("old"))).first()
-        if new:
-            stars = known.select(F.col("id").alias("a"), F.col("root").alias("b"))
-            known = written(components(stars.unionByName(news.where("not old").select("a", "b"))), "classes")
-        if new <= (1 - recall) * total:
+        more = _run_batch(signed, range(b * runs_at_once, (b + 1) * runs_at_once), threshold, limit, depth, seed)
+        more = more.groupBy("a", "b").agg(F.count_distinct(F.when(F.col("run") >= 0, F.col("run"))).alias("hits"), F.bool_or(F.col("run") < 0).alias("forest"))
+        if found is not None:
+            more = found.unionByName(more).groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.bool_or("forest").alias("forest"))
+        found = written(more, "found")
+        # what lies in large buckets is met there as a whole, by other edges in each run
+        wooded = found.where("forest").select(F.explode(F.array("a", "b")).alias("w")).distinct()
+        lone = found.where("hits > 0").join(wooded, F.col("a") == F.col("w"), "left_anti").join(wooded, F.col("b") == F.col("w"), "left_anti")
+        links, hits = lone.agg(F.count(F.lit(1)), F.sum("hits")).first()
+        if estimated_recall(links, hits or 0, (b + 1) * runs_at_once) >= recall:
             break
+    known = written(components(found), "classes")
 
     candidates = known.select(F.col("id").alias("node"), "root")
     n_candidates = candidates.count()
@@ -299,17 +320,19 @@ def similar_documents(
     n_blocks = F.greatest(F.ceil(F.col("m") / limit), F.ceil(F.col("total") / BLOCK_SHINGLES))
     paired = _block_pairs(meet, "root", n_blocks)
     links = written(
-        paired.select("root", "i", "j", "block", "node", "copies", "shingles").mapInArrow(_exact(threshold), "node long, links long, label long"), "links"
+        paired.select("root", "i", "j", "block", "whole", "node", "copies", "shingles").mapInArrow(_exact(threshold), "node long, links long, label long, whole boolean"), "links"
     )
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = components(links.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    # a class in one block has its components; those of the others are put together
+    classes = components(links.where("not whole").select(F.col("node").alias("a"), F.col("label").alias("b"))).unionByName(
+        links.where("whole").select(F.col("node").alias("id"), F.col("label").alias("root"))
+    )
     named = (
         sets.select("k1", "k2", "node", "copies")
         .join(counted, "node", "left")
         .join(classes.withColumnRenamed("id", "node"), "node", "left")
         .select("k1", "k2", F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    del spark
     with_sets = rows.where("n > 0").select("id", "k1", "k2").join(named, ["k1", "k2"])
     return with_sets.select("id", "class_id", "n_links").unionByName(
         rows.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
