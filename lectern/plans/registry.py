@@ -1,4 +1,6 @@
 """Registered queries and their SQL, apart from the training-data subpackage."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import pages, units
+
+QUERIES = {**pages.QUERIES, **units.QUERIES}
+SQL = {**pages.SQL, **units.SQL}
