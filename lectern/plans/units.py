@@ -1,2 +1,407 @@
+"""Queries on knowledge units, questions, judgements and calls."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lectern.functions import text as X
+from lectern.functions.vocab import EXPLANATION_WORDS, HORIZONTAL, SPACE, STRUCTURAL
+from lectern.operators import knowledge, questions, ranking
+
+from .pages import collapse, strip, words
+from .views import sql_view, table, view
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+WORD = r"[\p{L}\p{N}_]+"
+concept = lambda x: f"regexp_replace(replace({strip(f'lower({x})')}, '-', ' '), '{SPACE}+', ' ', 'g')"
+name_norm = lambda x: collapse(f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_\\s]+', ' ', 'g')")
+tokens = lambda x: f"list_distinct(list_transform(regexp_extract_all({x}, '{WORD}'), lambda t: CASE WHEN length(t) > 3 THEN rtrim(t, 's') ELSE t END))"
+word_tokens = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '{WORD}'))"
+subset = lambda a, b: f"(len({a}) > 0 AND len({b}) > 0 AND (len(list_intersect({a}, {b})) = len({a}) OR len(list_intersect({a}, {b})) = len({b})))"
+in_list = lambda x, keys: f"{x} IN ({', '.join(repr(k) for k in keys)})"
+KU, EDGE = sql_view("ku"), sql_view("ku_edge")
+
+
+@register(
+    "concept_names",
+    f"WITH {KU} SELECT ku_id, {concept('concept')} AS concept, {name_norm('content')} AS name, array_to_string(list_sort({tokens(concept('content'))}), ' ') AS tokens, regexp_extract(ku_id || '_ku_01', '^(.*)_ku_', 1) AS segment FROM ku",
+)
+def concept_names(spark, sf_dir):
+    u = view(spark, sf_dir, "ku")
+    return u.select(
+        "ku_id", X.normalize_concept("concept").alias("concept"), X.normalize_name("content").alias("name"),
+        F.array_join(F.array_sort(X.tokens(X.normalize_concept("content"))), " ").alias("tokens"), F.regexp_extract(F.concat("ku_id", F.lit("_ku_01")), r"^(.*)_ku_", 1).alias("segment"),
+    )
+
+
+@register("dedup_units", f"WITH {KU} SELECT doc_id, ku_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type, {concept('concept')} ORDER BY ord) AS n FROM ku) WHERE n = 1")
+def dedup_units(spark, sf_dir):
+    return knowledge.dedup_units(view(spark, sf_dir, "ku")).select("doc_id", "ku_id")
+
+
+@register(
+    "grounded_evidence",
+    f"""WITH d AS (SELECT doc_id, text, lead(text) OVER (PARTITION BY lang ORDER BY doc_id) AS other FROM documents),
+e AS (SELECT doc_id, text, split_part(text, chr(10), 1) || ' [...] ' || CASE WHEN doc_id % 2 = 0 THEN split_part(text, chr(10), 2) ELSE coalesce(split_part(other, chr(10), 1), '') END AS ev FROM d),
+p AS (SELECT doc_id, {word_tokens('text')} AS src, {strip('ev')} AS ev FROM e)
+SELECT doc_id, CASE WHEN ev = '' THEN false ELSE len(list_filter(list_filter(list_transform(string_split(ev, '[...]'), lambda x: {word_tokens('x')}), lambda x: len(x) > 0),
+  lambda x: CAST(len(list_intersect(x, src)) AS DOUBLE) / len(x) < 0.8)) = 0 END AS grounded FROM p""",
+)
+def grounded_evidence(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("other", F.lead("text").over(Window.partitionBy("lang").orderBy("doc_id")))
+    line = lambda c, k: F.split_part(F.col(c), F.lit("\n"), F.lit(k))
+    ev = F.concat(line("text", 1), F.lit(" [...] "), F.when(F.col("doc_id") % 2 == 0, line("text", 2)).otherwise(F.coalesce(line("other", 1), F.lit(""))))
+    return d.select("doc_id", X.grounded(ev, X.word_tokens("text")).alias("grounded"))
+
+
+@register("unit_degrees", f"WITH {KU}, {EDGE}, d AS (SELECT doc_id, unnest([a, b]) AS ku_id FROM ku_edge) SELECT doc_id, ku_id, count(*) AS degree, count(*) >= 4 AS hub FROM d GROUP BY ALL")
+def unit_degrees(spark, sf_dir):
+    return knowledge.degrees(view(spark, sf_dir, "ku_edge")).withColumn("hub", F.col("degree") >= 4)
+
+
+@register(
+    "capped_edges",
+    f"""WITH {EDGE}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, a, relation ORDER BY edge_seq) AS k FROM ku_edge),
+c AS (SELECT *, min(edge_seq) OVER (PARTITION BY doc_id, a, relation) AS f FROM n WHERE k <= CASE WHEN relation IN ('CONTRASTS_WITH', 'ALTERNATIVE_TO') THEN 2 ELSE 1 END)
+SELECT doc_id, a AS ku_id, b AS target, relation, CAST(row_number() OVER (PARTITION BY doc_id, a ORDER BY CASE WHEN {in_list('relation', HORIZONTAL)} THEN 0 ELSE 1 END, f, edge_seq) AS INT) AS place FROM c""",
+)
+def capped_edges(spark, sf_dir):
+    e = view(spark, sf_dir, "ku_edge").select("doc_id", F.col("a").alias("ku_id"), F.col("b").alias("target"), "relation", "edge_seq")
+    return knowledge.capped_edges(e).drop("edge_seq")
+
+
+@register("concept_index", f"WITH {KU} SELECT DISTINCT doc_id, ku_id, ord, name FROM (SELECT doc_id, ku_id, ord, unnest([{', '.join(concept(c) for c in ('concept', 'local_concept', 'owner_concept', 'parent_l2', 'parent_l1'))}]) AS name FROM ku) WHERE name <> ''")
+def concept_index(spark, sf_dir):
+    return knowledge.concept_index(view(spark, sf_dir, "ku"))
+
+
+_RELATED = "r AS (SELECT e.doc_id, e.a AS ku_id, k.concept AS target FROM ku_edge e JOIN ku k ON k.doc_id = e.doc_id AND k.ku_id = e.b WHERE e.relation IN ('SIMILAR_TO', 'PART_OF'))"
+
+
+def _related(spark, sf_dir):
+    e = view(spark, sf_dir, "ku_edge").where(F.col("relation").isin("SIMILAR_TO", "PART_OF"))
+    u = view(spark, sf_dir, "ku").select("doc_id", F.col("ku_id").alias("b"), F.col("concept").alias("target"))
+    return e.join(u, ["doc_id", "b"]).select("doc_id", F.col("a").alias("ku_id"), "target")
+
+
+@register(
+    "concept_graph",
+    f"""WITH {KU}, {EDGE}, {_RELATED}, h AS (SELECT r.doc_id, r.ku_id AS x, k.ku_id AS y FROM r JOIN ku k ON k.doc_id = r.doc_id AND {concept('k.concept')} = {concept('r.target')} WHERE r.ku_id <> k.ku_id)
+SELECT doc_id, x AS a, y AS b FROM h UNION SELECT doc_id, y, x FROM h""",
+)
+def concept_graph(spark, sf_dir):
+    return knowledge.concept_graph(view(spark, sf_dir, "ku"), _related(spark, sf_dir))
+
+
+@register(
+    "unit_priority",
+    f"""WITH {KU}, {EDGE}, {_RELATED}, d AS (SELECT doc_id, ku_id, count(*) AS n FROM (SELECT doc_id, unnest([a, b]) AS ku_id FROM ku_edge) GROUP BY ALL),
+m AS (SELECT doc_id, {concept('target')} AS c, count(DISTINCT ku_id) AS n FROM r GROUP BY ALL)
+SELECT k.doc_id, k.ku_id, round(CASE prominence WHEN 'primary' THEN 1.0::DOUBLE WHEN 'peripheral' THEN 0.1 ELSE 0.5 END + least(coalesce(d.n, 0) * 0.3::DOUBLE, 1.0) + least(coalesce(m.n, 0) * 0.2::DOUBLE, 0.6), 3) AS priority
+FROM ku k LEFT JOIN d ON d.doc_id = k.doc_id AND d.ku_id = k.ku_id LEFT JOIN m ON m.doc_id = k.doc_id AND m.c = {concept('k.concept')}""",
+)
+def unit_priority(spark, sf_dir):
+    return knowledge.unit_priority(view(spark, sf_dir, "ku"), view(spark, sf_dir, "ku_edge"), _related(spark, sf_dir)).select("doc_id", "ku_id", "priority")
+
+
+@register("distractor_pool", f"WITH {KU} SELECT doc_id, type, string_agg(concept || '/' || content, ';' ORDER BY ord) AS pool FROM ku GROUP BY doc_id, type")
+def distractor_pool(spark, sf_dir):
+    p = knowledge.distractor_pool(view(spark, sf_dir, "ku"))
+    return p.select("doc_id", "type", F.array_join(F.transform("pool", lambda x: F.concat_ws("/", x["concept"], x["content"])), ";").alias("pool"))
+
+
+_NAMES = f"nm AS (SELECT DISTINCT doc_id, CASE WHEN ord % 3 = 0 THEN 'The ' || concept || 's' WHEN ord % 3 = 1 THEN concept ELSE owner_concept END AS name FROM ku), ix AS (SELECT doc_id, {concept('concept')} AS key, min(ord) AS ord FROM ku GROUP BY ALL)"
+
+
+def _names(spark, sf_dir):
+    u = view(spark, sf_dir, "ku")
+    names = u.select("doc_id", F.when(F.col("ord") % 3 == 0, F.concat(F.lit("The "), "concept", F.lit("s"))).when(F.col("ord") % 3 == 1, F.col("concept")).otherwise(F.col("owner_concept")).alias("name")).distinct()
+    return names, u.groupBy("doc_id", X.normalize_concept("concept").alias("key")).agg(F.min("ord").alias("ord"))
+
+
+_FUZZY = f"""ex AS (SELECT nm.doc_id, nm.name, ix.key, true AS exact FROM nm JOIN ix ON ix.doc_id = nm.doc_id AND ix.key = {concept('nm.name')}),
+fz AS (SELECT nm.doc_id, nm.name, ix.key, false AS exact FROM nm JOIN ix ON ix.doc_id = nm.doc_id WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.doc_id = nm.doc_id AND ex.name = nm.name)
+  AND {subset(tokens(concept('nm.name')), tokens('ix.key'))}), hits AS (SELECT * FROM ex UNION ALL SELECT * FROM fz)"""
+
+
+@register("fuzzy_join", f"WITH {KU}, {_NAMES}, {_FUZZY} SELECT * FROM hits")
+def fuzzy_join(spark, sf_dir):
+    return knowledge.fuzzy_join(*_names(spark, sf_dir))
+
+
+@register(
+    "best_match",
+    f"WITH {KU}, {_NAMES}, {_FUZZY} SELECT doc_id, name, key, exact FROM (SELECT hits.*, row_number() OVER (PARTITION BY doc_id, name ORDER BY exact DESC, len(list_intersect({tokens(concept('name'))}, {tokens('key')})) DESC, ix.ord) AS n FROM hits JOIN ix USING (doc_id, key)) WHERE n = 1",
+)
+def best_match(spark, sf_dir):
+    return knowledge.best_match(*_names(spark, sf_dir))
+
+
+_GROUP = "({a} IN ('definition', 'mechanism') AND {b} IN ('definition', 'mechanism') OR {a} IN ('mechanism', 'procedure', 'application') AND {b} IN ('mechanism', 'procedure', 'application') OR {a} IN ('failure_mode', 'trade_off') AND {b} IN ('failure_mode', 'trade_off'))".format(a="ta", b="tb")
+_OVER = lambda a, b: f"CASE WHEN least(len({a}), len({b})) > 0 THEN CAST(len(list_intersect({a}, {b})) AS DOUBLE) / least(len({a}), len({b})) ELSE 0 END"
+_LONG = lambda x: f"list_filter({word_tokens(concept(x))}, lambda t: length(t) > 2)"
+
+
+@register(
+    "distractors",
+    f"""WITH {KU}, {EDGE}, p AS (SELECT doc_id, ku_id, type AS t, {concept('concept')} AS c, {concept("CASE WHEN owner_concept <> '' THEN owner_concept ELSE parent_l2 END")} AS o, {concept('parent_l1')} AS l, {_LONG('concept')} AS ct, {_LONG('content')} AS xt,
+  len(regexp_extract_all(verbatim_evidence, '{WORD}')) AS nw FROM ku),
+rel AS (SELECT doc_id, a AS x, b AS y, relation FROM ku_edge UNION ALL SELECT doc_id, b, a, relation FROM ku_edge),
+hub AS (SELECT doc_id, x FROM rel GROUP BY ALL HAVING count(*) >= 4),
+q AS (SELECT a.doc_id, a.ku_id AS ka, b.ku_id AS kb, a.t AS ta, b.t AS tb, a.l AS la, b.l AS lb, coalesce(r.relation, '') AS rel, a.o <> '' AND a.o = b.o AS so, a.l <> '' AND a.l = b.l AS sl,
+    {_OVER('a.ct', 'b.ct')} AS co, {_OVER('a.xt', 'b.xt')} AS xo, CASE WHEN b.nw < 6 THEN -4 ELSE least(6, b.nw // 12) END AS ev
+  FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.ku_id <> b.ku_id AND a.c <> b.c LEFT JOIN rel r ON r.doc_id = a.doc_id AND r.x = a.ku_id AND r.y = b.ku_id
+  WHERE NOT EXISTS (SELECT 1 FROM hub h WHERE h.doc_id = b.doc_id AND h.x = b.ku_id)),
+w AS (SELECT *, CASE WHEN ta = tb THEN 14 WHEN {_GROUP} THEN 5 ELSE -10 END AS bonus FROM q),
+s AS (SELECT *, unnest([
+  {{'seq': 0, 'relation': rel, 'source': CASE WHEN rel = 'SIBLING_OF' THEN CASE WHEN ta = tb AND sl THEN 'same_l1_same_type' WHEN sl AND bonus > 0 THEN 'same_l1_related_type' END
+    WHEN {in_list('rel', HORIZONTAL)} THEN CASE WHEN CASE WHEN rel IN ('CONTRASTS_WITH', 'ALTERNATIVE_TO') THEN NOT (ta = 'failure_mode' OR tb = 'failure_mode') OR (ta IN ('failure_mode', 'trade_off') AND tb IN ('failure_mode', 'trade_off')) ELSE ta = tb OR ((so OR sl) AND {_GROUP}) END THEN 'explicit_horizontal' ELSE 'same_l1_related_type' END
+    WHEN {in_list('rel', STRUCTURAL)} THEN 'structural_only_edge' END}},
+  {{'seq': 1, 'relation': '', 'source': CASE WHEN ta = tb AND so THEN 'same_owner_same_type' END}},
+  {{'seq': 2, 'relation': '', 'source': CASE WHEN ta = tb AND sl THEN 'same_l1_same_type' WHEN sl AND bonus > 0 THEN 'same_l1_related_type' END}},
+  {{'seq': 3, 'relation': '', 'source': CASE WHEN ta = tb THEN 'global_same_type' END}}]) AS f FROM w),
+z AS (SELECT doc_id, ka, kb, f.seq AS seq, f.source AS source, f.relation AS relation,
+  CASE f.source WHEN 'explicit_horizontal' THEN 108 WHEN 'same_owner_same_type' THEN 82 WHEN 'same_l1_same_type' THEN 72 WHEN 'same_l1_related_type' THEN 54 WHEN 'global_same_type' THEN 44 ELSE 32 END
+  + bonus + CASE WHEN so THEN 12 ELSE 0 END + CASE WHEN sl THEN 7 ELSE 0 END + ev
+  - (CASE WHEN co >= 0.9 THEN 28 WHEN co >= 0.7 THEN 14 ELSE 0 END + CASE WHEN xo >= 0.82 THEN 24 WHEN xo >= 0.68 THEN 12 ELSE 0 END + CASE WHEN so AND co >= 0.65 THEN 8 ELSE 0 END)
+  - CASE WHEN f.source = 'explicit_horizontal' THEN 0 ELSE CASE WHEN la <> '' AND lb <> '' AND la <> lb THEN 18 ELSE 0 END + CASE WHEN NOT so AND NOT sl THEN 12 ELSE 0 END
+    + CASE WHEN f.source = 'global_same_type' AND la <> '' AND NOT sl THEN 10 ELSE 0 END + CASE WHEN {in_list('f.relation', STRUCTURAL)} THEN 18 ELSE 0 END END
+  + CASE WHEN f.relation IN ('CONTRASTS_WITH', 'ALTERNATIVE_TO') THEN 8 WHEN f.relation = 'SIMILAR_TO' THEN 3 ELSE 0 END AS score FROM s WHERE f.source IS NOT NULL),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ka, kb ORDER BY score DESC, seq) AS n FROM z) WHERE n = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ka ORDER BY score DESC, CASE source WHEN 'explicit_horizontal' THEN 0 WHEN 'same_owner_same_type' THEN 1 WHEN 'same_l1_same_type' THEN 2 WHEN 'same_l1_related_type' THEN 3 WHEN 'global_same_type' THEN 4 ELSE 5 END, kb) AS rank FROM b)
+SELECT doc_id, ka AS ku_id, CAST(rank AS INT) AS rank, kb AS other, source, relation, CAST(score AS INT) AS score FROM k WHERE rank <= 3""",
+)
+def distractors(spark, sf_dir):
+    return ranking.distractors(view(spark, sf_dir, "ku"), view(spark, sf_dir, "ku_edge"))
+
+
+@register(
+    "distractor_tiers",
+    f"""WITH {KU}, a AS (SELECT * FROM ku WHERE completeness = 'complete' AND prominence <> 'peripheral' AND len({words('verbatim_evidence')}) >= 10), c AS (SELECT doc_id, type, count(*) AS n FROM ku GROUP BY ALL),
+t AS (SELECT a.*, CASE WHEN (c.n - 1) % 5 >= 3 THEN 'A' WHEN (c.n - 1) % 5 >= 1 THEN 'B' ELSE 'C' END AS tier FROM a JOIN c ON a.doc_id = c.doc_id AND a.type = c.type)
+SELECT doc_id, ku_id, tier, CASE tier WHEN 'A' THEN CASE WHEN prominence = 'primary' THEN 1 ELSE 2 END WHEN 'B' THEN CASE WHEN prominence = 'primary' THEN 3 ELSE 4 END ELSE 5 END AS priority,
+  CASE type WHEN 'procedure' THEN 'apply' WHEN 'application' THEN 'apply' WHEN 'trade_off' THEN 'evaluate' WHEN 'failure_mode' THEN 'analyze' ELSE 'understand' END AS bloom_level FROM t""",
+)
+def distractor_tiers(spark, sf_dir):
+    u = view(spark, sf_dir, "ku")
+    n = u.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    t = knowledge.anchors(u).join(n, ["doc_id", "type"]).withColumn("tier", questions.tier_of((F.col("n") - 1) % 5))
+    return t.select("doc_id", "ku_id", "tier", questions.priority("prominence", "tier").alias("priority"), questions.bloom_of_type("type").alias("bloom_level"))
+
+
+_BROAD = lambda c, l, o, t: f"({_FM(c, o)} OR {_FM(l, o)} OR {t} IN ('definition', 'mechanism', 'trade_off'))"  # noqa: E731,E741
+_FM = lambda v, o: f"({subset(tokens(name_norm(v)), tokens(name_norm(o)))} OR len(list_intersect({tokens(name_norm(v))}, {tokens(name_norm(o))})) >= 2)"
+
+
+@register(
+    "cross_edges",
+    f"""WITH {KU}, {EDGE}, p AS (SELECT *, CASE WHEN owner_concept <> '' THEN owner_concept ELSE parent_l2 END AS ow FROM ku),
+r AS (SELECT doc_id, ku_id, type AS t, {name_norm('ow')} AS o, {name_norm('parent_l1')} AS l, prominence = 'primary' AS pr, {_BROAD('concept', 'local_concept', 'ow', 'type')} AS br FROM p),
+j AS (SELECT e.*, a.t AS ta, b.t AS tb, a.o AS oa, b.o AS ob, a.l <> '' AND a.l = b.l AS sl, a.o <> '' AND b.o <> '' AND a.o <> b.o AS dow, a.pr AS pa, b.pr AS pb, a.br AS ba, b.br AS bb
+  FROM ku_edge e JOIN r a ON a.doc_id = e.doc_id AND a.ku_id = e.a JOIN r b ON b.doc_id = e.doc_id AND b.ku_id = e.b),
+s AS (SELECT *, CAST(dow AS INT) * 15 + CAST(sl AS INT) * 10 + CAST(pa AS INT) * 6 + CAST(pb AS INT) * 6 + CAST(ba AS INT) * 10 + CAST(bb AS INT) * 10 + CASE
+  WHEN relation IN ('CONTRASTS_WITH', 'ALTERNATIVE_TO') THEN 20 + CASE WHEN ta IN ('definition', 'mechanism', 'trade_off') AND tb IN ('definition', 'mechanism', 'trade_off') THEN 15 ELSE 0 END + CASE WHEN ta = 'failure_mode' OR tb = 'failure_mode' THEN 12 ELSE 0 END - CASE WHEN ba AND bb THEN 0 ELSE 4 END
+  WHEN relation = 'SIBLING_OF' THEN 10 + CASE WHEN sl AND dow THEN 25 ELSE 0 END + CASE WHEN ta = tb THEN 15 ELSE 0 END
+  WHEN relation = 'SIMILAR_TO' THEN 12 + CASE WHEN ta = tb THEN 15 ELSE 0 END + CASE WHEN sl THEN 15 ELSE 0 END
+  ELSE 18 + CASE WHEN oa <> ob THEN 10 ELSE 0 END + CASE WHEN ta IN ('definition', 'mechanism', 'procedure', 'application') THEN 6 ELSE 0 END + CASE WHEN tb IN ('definition', 'mechanism', 'procedure', 'application') THEN 6 ELSE 0 END END AS score FROM j)
+SELECT doc_id, a, b, relation, edge_seq, CASE WHEN relation IN ('CONTRASTS_WITH', 'ALTERNATIVE_TO') AND (ta = 'failure_mode' OR tb = 'failure_mode') THEN 'limitation' WHEN relation = 'ALTERNATIVE_TO' THEN 'alternative' WHEN relation = 'CONTRASTS_WITH' THEN 'compare'
+  WHEN relation IN ('SIBLING_OF', 'SIMILAR_TO') THEN 'distinguish' WHEN relation = 'APPLIES_TO' THEN 'application' WHEN relation IN ('EXTENDS', 'ENABLES') THEN 'builds_on' ELSE 'connection' END AS mode, score,
+  score >= CASE WHEN relation IN ('SIMILAR_TO', 'SIBLING_OF', 'PART_OF') THEN 50 ELSE 35 END AS accepted, CASE WHEN {in_list('relation', HORIZONTAL)} THEN 5 ELSE 6 END AS priority FROM s""",
+)
+def cross_edges(spark, sf_dir):
+    return ranking.cross_edges(view(spark, sf_dir, "ku"), view(spark, sf_dir, "ku_edge")).drop("complete", "a_c", "b_c")
+
+
+@register("selected_cross_edges")
+def selected_cross_edges(spark, sf_dir):
+    return ranking.selected_cross_edges(ranking.cross_edges(view(spark, sf_dir, "ku"), view(spark, sf_dir, "ku_edge"))).select("doc_id", "a", "b", "relation", "edge_seq")
+
+
+@register("capped_degrees")
+def capped_degrees(spark, sf_dir):
+    return knowledge.cap_degrees(view(spark, sf_dir, "ku_edge"))
+
+
+# Questions
+MCQ = sql_view("mcq")
+_FIELDS = ("A", "B", "C", "D", "answer", "bloom_level", "difficulty", "explanation", "question", "source_chunk")
+_OPT = ", ".join(collapse(f"lower({o})") for o in "ABCD")
+_CHECKED = f"""s AS (SELECT *, CASE WHEN {' OR '.join(f'{f} IS NULL' for f in _FIELDS)}
+    THEN 'Missing fields: [' || array_to_string(list_filter([{', '.join(f"CASE WHEN {f} IS NULL THEN '''{f}''' END" for f in _FIELDS)}], lambda x: x IS NOT NULL), ', ') || ']'
+    WHEN NOT upper({strip('answer')}) IN ('A', 'B', 'C', 'D') THEN 'Invalid answer: ''' || upper({strip('answer')}) || ''' (must be A/B/C/D)'
+    WHEN NOT lower({strip('bloom_level')}) IN ('remember', 'understand', 'apply', 'analyze', 'evaluate', 'create') THEN 'Invalid bloom_level: ''' || lower({strip('bloom_level')}) || ''''
+    WHEN NOT lower({strip('difficulty')}) IN ('easy', 'medium', 'hard') THEN 'Invalid difficulty: ''' || lower({strip('difficulty')}) || '''' END AS sr FROM mcq),
+n AS (SELECT doc_id, ord, sr, {', '.join(f'CASE WHEN sr IS NULL THEN {strip(f)} ELSE {f} END AS {f}' for f in ('question', 'A', 'B', 'C', 'D', 'explanation', 'source_chunk'))},
+  CASE WHEN sr IS NULL THEN upper({strip('answer')}) ELSE answer END AS answer, CASE WHEN sr IS NULL THEN lower({strip('bloom_level')}) ELSE bloom_level END AS bloom_level, CASE WHEN sr IS NULL THEN lower({strip('difficulty')}) ELSE difficulty END AS difficulty FROM s),
+q AS (SELECT *, CASE WHEN sr IS NOT NULL THEN NULL WHEN length(question) < 10 THEN 'Question too short (' || length(question) || ' chars)' WHEN A = '' THEN 'Option A is empty' WHEN B = '' THEN 'Option B is empty' WHEN C = '' THEN 'Option C is empty' WHEN D = '' THEN 'Option D is empty'
+    WHEN len(list_distinct([{_OPT}])) < 4 THEN 'Duplicate options' WHEN explanation = '' THEN 'Explanation is empty' END AS r1,
+  CASE WHEN sr IS NULL AND difficulty = 'hard' AND bloom_level IN ('remember', 'understand') THEN 'Bloom/Difficulty mismatch: difficulty=hard but bloom=' || bloom_level END AS r2,
+  CASE WHEN sr IS NULL THEN {collapse('lower(question)')} END AS qn,
+  (difficulty = 'easy' AND bloom_level IN ('remember', 'understand')) OR (difficulty = 'medium' AND bloom_level IN ('apply', 'analyze')) OR (difficulty = 'hard' AND bloom_level IN ('evaluate', 'create')) AS fits FROM n),
+f AS (SELECT *, coalesce(min(CASE WHEN sr IS NULL AND r1 IS NULL AND r2 IS NULL THEN ord END) OVER (PARTITION BY doc_id, qn) < ord, false) AS seen FROM q),
+v AS (SELECT *, coalesce(sr, r1, CASE WHEN sr IS NULL AND seen THEN 'Duplicate question' END, r2) AS reason, CASE WHEN sr IS NOT NULL THEN 'schema' WHEN r1 IS NOT NULL OR seen OR r2 IS NOT NULL THEN 'quality' END AS layer,
+  CASE WHEN sr IS NULL THEN round((1 + CAST(len(list_filter(list_distinct([{_OPT}]), lambda x: x <> '')) = 4 AS INT) + CAST(explanation <> '' AS INT) + CAST(fits AS INT) + CAST(qn <> '' AND NOT seen AS INT)) / 5.0::DOUBLE, 2) END AS quality_score,
+  CASE WHEN sr IS NULL THEN NOT fits END AS bloom_mismatch FROM f)"""
+
+
+def _checked(spark, sf_dir):
+    return questions.validated(view(spark, sf_dir, "mcq"))
+
+
+@register("validated_questions", f"WITH {MCQ}, {_CHECKED} SELECT doc_id, ord, layer, reason, quality_score, bloom_mismatch FROM v")
+def validated_questions(spark, sf_dir):
+    return _checked(spark, sf_dir).select("doc_id", "ord", "layer", "reason", "quality_score", "bloom_mismatch")
+
+
+@register(
+    "validation_stats",
+    f"""WITH {MCQ}, {_CHECKED} SELECT doc_id, count(*) AS total_raw, count(*) FILTER (layer IS NULL) AS valid, count(*) FILTER (layer IS NOT NULL) AS rejected, round(count(*) FILTER (layer IS NULL) / CAST(count(*) AS DOUBLE) * 100, 1) AS pass_rate,
+  count(*) FILTER (layer IS NULL AND bloom_mismatch) AS bloom_mismatch_count, coalesce(round(count(*) FILTER (layer IS NULL AND bloom_mismatch) / CAST(nullif(count(*) FILTER (layer IS NULL), 0) AS DOUBLE) * 100, 1), 0.0) AS bloom_mismatch_rate,
+  coalesce(round(avg(quality_score) FILTER (layer IS NULL), 3), 0.0) AS average_quality_score FROM v GROUP BY doc_id""",
+)
+def validation_stats(spark, sf_dir):
+    return questions.validation_stats(_checked(spark, sf_dir))
+
+
+@register(
+    "question_distributions",
+    f"""WITH {MCQ}, {_CHECKED} SELECT what, value, count(*) AS n FROM (SELECT 'bloom' AS what, bloom_level AS value FROM v WHERE layer IS NULL UNION ALL SELECT 'difficulty', difficulty FROM v WHERE layer IS NULL
+  UNION ALL SELECT 'reason', split_part(reason, ':', 1) FROM v WHERE layer IS NOT NULL UNION ALL SELECT 'layer', layer FROM v WHERE layer IS NOT NULL) GROUP BY ALL""",
+)
+def question_distributions(spark, sf_dir):
+    return questions.distributions(_checked(spark, sf_dir))
+
+
+_SAN = lambda x, n: f"regexp_replace(substr({collapse(f'''regexp_replace(coalesce({x}, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')''')}, 1, {n}), '{SPACE}+$', '')"
+_PREP = f"pr AS (SELECT doc_id, ord, upper({strip('''coalesce(answer, '')''')}) AS answer, {_SAN('question', 120)} AS question, {', '.join(f'{_SAN(o, 75)} AS {o}' for o in 'ABCD')}, explanation FROM mcq), pe AS (SELECT *, CASE WHEN NOT answer IN ('A', 'B', 'C', 'D') THEN 'invalid answer: ' || answer {' '.join(f'''WHEN {o} = '' THEN 'missing option {o}' ''' for o in 'ABCD')} WHEN question = '' THEN 'missing question' END AS error FROM pr)"
+
+
+def _prepared(spark, sf_dir):
+    return questions.prepared(view(spark, sf_dir, "mcq"))
+
+
+@register("export_errors", f"WITH {MCQ}, {_PREP} SELECT doc_id, ord, error FROM pe WHERE error IS NOT NULL")
+def export_errors(spark, sf_dir):
+    return _prepared(spark, sf_dir).where("error is not null").select("doc_id", "ord", "error")
+
+
+@register(
+    "export_kahoot",
+    f"""WITH {MCQ}, {_PREP} SELECT doc_id, ord, question AS "Question", A AS "Answer 1", B AS "Answer 2", C AS "Answer 3", D AS "Answer 4", 30 AS "Time Limit (sec)", CAST(instr('ABCD', answer) AS INT) AS "Correct Answer" FROM pe WHERE error IS NULL""",
+)
+def export_kahoot(spark, sf_dir):
+    return questions.kahoot(questions.strict(_prepared(spark, sf_dir).where("error is null")))
+
+
+@register(
+    "export_quizizz",
+    f"""WITH {MCQ}, {_PREP} SELECT doc_id, ord, question AS "Question Text", A AS "Option 1", B AS "Option 2", C AS "Option 3", D AS "Option 4", CASE answer WHEN 'A' THEN A WHEN 'B' THEN B WHEN 'C' THEN C ELSE D END AS "Correct Answer", 30 AS "Time in seconds", '' AS "Image Link" FROM pe WHERE error IS NULL""",
+)
+def export_quizizz(spark, sf_dir):
+    return questions.quizizz(_prepared(spark, sf_dir).where("error is null"))
+
+
+@register(
+    "export_forms",
+    f"""WITH {MCQ}, {_PREP} SELECT doc_id, ord, '{{"createItem":{{"item":{{"title":"' || question || '","questionItem":{{"question":{{"required":true,"grading":{{"pointValue":1,"correctAnswers":{{"answers":[{{"value":"' || CASE answer WHEN 'A' THEN A WHEN 'B' THEN B WHEN 'C' THEN C ELSE D END
+  || '"}}]}}}},"choiceQuestion":{{"type":"RADIO","options":[{{"value":"' || A || '"}},{{"value":"' || B || '"}},{{"value":"' || C || '"}},{{"value":"' || D || '"}}],"shuffle":false}}}}}}}},"location":{{"index":' || (ord - 1) || '}}}}}}' AS request FROM pe WHERE error IS NULL""",
+)
+def export_forms(spark, sf_dir):
+    return questions.forms_payload(_prepared(spark, sf_dir).where("error is null"))
+
+
+_EXPL = "coalesce(explanation, '')"
+for _old, _new in EXPLANATION_WORDS:
+    _EXPL = f"regexp_replace({_EXPL}, '{_old}', '{_new}', 'gi')"
+
+
+@register("explanations", f"WITH {MCQ} SELECT doc_id, ord, {collapse(_EXPL)} AS explanation FROM mcq")
+def explanations(spark, sf_dir):
+    return view(spark, sf_dir, "mcq").select("doc_id", "ord", X.sanitize_explanation("explanation").alias("explanation"))
+
+
+_SWAP = lambda a, b: f"replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(explanation, '(^|[^A-Za-z0-9])' || {a} || '([^A-Za-z0-9]|$)', '\\1__1__\\2', 'g'), '(^|[^A-Za-z0-9])' || {a} || '([^A-Za-z0-9]|$)', '\\1__1__\\2', 'g'), '(^|[^A-Za-z0-9])' || {b} || '([^A-Za-z0-9]|$)', '\\1__2__\\2', 'g'), '(^|[^A-Za-z0-9])' || {b} || '([^A-Za-z0-9]|$)', '\\1__2__\\2', 'g'), '__1__', {b}), '__2__', {a})"
+
+
+@register(
+    "rotated_answers",
+    f"""WITH {MCQ}, {_CHECKED}, t AS (SELECT *, substr('ABCD', CAST((row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1) % 4 + 1 AS INT), 1) AS tl, CASE answer WHEN 'A' THEN A WHEN 'B' THEN B WHEN 'C' THEN C ELSE D END AS ct FROM v WHERE layer IS NULL),
+u AS (SELECT *, CASE tl WHEN 'A' THEN A WHEN 'B' THEN B WHEN 'C' THEN C ELSE D END AS tt FROM t)
+SELECT doc_id, ord, tl AS answer, {', '.join(f"CASE WHEN tl = '{o}' THEN ct WHEN answer = '{o}' THEN tt ELSE {o} END AS {o}" for o in 'ABCD')}, CASE WHEN tl = answer THEN explanation ELSE {_SWAP('answer', 'tl')} END AS explanation FROM u""",
+)
+def rotated_answers(spark, sf_dir):
+    valid, _ = questions.split_valid(_checked(spark, sf_dir))
+    return questions.rotated(valid).select("doc_id", "ord", "answer", "A", "B", "C", "D", "explanation")
+
+
+@register("reviewed_questions", f"WITH {MCQ} SELECT doc_id, ord FROM mcq WHERE difficulty = 'hard' AND contains(lower(question), 'gear') AND bloom_level IN ('apply', 'create', 'evaluate')")
+def reviewed_questions(spark, sf_dir):
+    return questions.reviewed(view(spark, sf_dir, "mcq"), difficulty="hard", search="Gear", blooms=("apply", "create", "evaluate")).select("doc_id", "ord")
+
+
+@register("difficulty_counts", f"WITH {MCQ} SELECT doc_id, count(*) AS total, count(*) FILTER (difficulty = 'easy') AS easy, count(*) FILTER (difficulty = 'medium') AS medium, count(*) FILTER (difficulty = 'hard') AS hard FROM mcq GROUP BY doc_id")
+def difficulty_counts(spark, sf_dir):
+    return view(spark, sf_dir, "mcq").groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("difficulty") == d).alias(d) for d in ("easy", "medium", "hard")])
+
+
+@register(
+    "quiz_score",
+    f"""WITH {MCQ}, g AS (SELECT *, CASE WHEN ord % 4 = 0 THEN NULL ELSE lower(substr('ABCD', CAST(ord % 3 + 1 AS INT), 1)) || ') ' || A END AS given FROM mcq), w AS (SELECT *, upper(substr({strip('''coalesce(given, '')''')}, 1, 1)) = answer AS ok FROM g)
+SELECT doc_id, count(*) FILTER (ok) AS score, count(*) AS total, round(count(*) FILTER (ok) / CAST(count(*) AS DOUBLE) * 100, 1) AS percent, coalesce(string_agg(CAST(ord AS VARCHAR), ',' ORDER BY ord) FILTER (NOT ok), '') AS wrong FROM w GROUP BY doc_id""",
+)
+def quiz_score(spark, sf_dir):
+    m = view(spark, sf_dir, "mcq")
+    given = F.when(F.col("ord") % 4 == 0, None).otherwise(F.concat(F.lower(F.substring(F.lit("ABCD"), F.col("ord") % 3 + 1, F.lit(1))), F.lit(") "), "A"))
+    s = questions.quiz_score(m.withColumn("given", given))
+    return s.withColumn("wrong", F.array_join(F.transform("wrong", lambda x: x.cast("string")), ","))
+
+
+@register(
+    "gated_items",
+    f"""WITH {MCQ}, g AS (SELECT *, ord % 6 + 1 AS priority, len(list_filter(list_distinct([{', '.join(f"lower({strip(f'''coalesce({o}, '')''')})" for o in 'ABCD')}]), lambda x: x <> '')) = 4 AND {strip("coalesce(question, '')")} <> '' AND upper({strip("coalesce(answer, '')")}) IN ('A', 'B', 'C', 'D') AS ok FROM mcq)
+SELECT doc_id, ord, CAST(priority AS INT) AS priority, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY priority, ord) AS INT) AS place FROM g WHERE ok AND priority <= 5""",
+)
+def gated_items(spark, sf_dir):
+    m = view(spark, sf_dir, "mcq").withColumn("priority", F.col("ord") % 6 + 1)
+    m = m.where(questions.item_ok() & questions.difficulty_gate("priority", "medium"))
+    return m.select("doc_id", "ord", "priority", F.row_number().over(Window.partitionBy("doc_id").orderBy("priority", "ord")).alias("place"))
+
+
+_JUDGED = f"{sql_view('judge')}, jd AS (SELECT *, round((relevance + answerability + bloom_alignment) / 3.0::DOUBLE, 2) AS semantic_avg FROM judge)"
+
+
+@register(
+    "judge_stats",
+    f"""WITH {_JUDGED} SELECT chunk_id, count(*) AS total_mcqs, count(*) FILTER (semantic_avg >= 3.5) AS passed, round(count(*) FILTER (semantic_avg >= 3.5) / CAST(count(*) AS DOUBLE) * 100, 1) AS pass_rate,
+  {', '.join(f'round(sum({c}) / CAST(count(*) AS DOUBLE), 2) AS avg_{c}' for c in ('relevance', 'answerability', 'bloom_alignment', 'answer_correctness'))}, round(avg(semantic_avg), 2) AS avg_semantic FROM jd GROUP BY GROUPING SETS ((chunk_id), ())""",
+)
+def judge_stats(spark, sf_dir):
+    return questions.judge_stats(questions.judged(view(spark, sf_dir, "judge")))
+
+
+@register("bloom_alignment", f"WITH {_JUDGED} SELECT bloom_level, round(avg(bloom_alignment), 2) AS mean, CASE WHEN avg(bloom_alignment) / 5 >= 0.8 AND avg(semantic_avg) >= 4.0 THEN 'PASS' WHEN avg(bloom_alignment) / 5 >= 0.7 AND avg(semantic_avg) >= 3.5 THEN 'BORDERLINE' ELSE 'FAIL' END AS verdict FROM jd GROUP BY bloom_level")
+def bloom_alignment(spark, sf_dir):
+    j = questions.judged(view(spark, sf_dir, "judge")).groupBy("bloom_level").agg(F.avg("bloom_alignment").alias("m"), F.avg("semantic_avg").alias("s"))
+    return j.select("bloom_level", F.round("m", 2).alias("mean"), questions.verdict(F.col("m") / 5, F.col("s")).alias("verdict"))
+
+
+@register(
+    "provider_stats",
+    f"WITH {sql_view('call_log')} SELECT provider, model, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, round(avg(latency_seconds) FILTER (status = 'success' AND latency_seconds > 0) * 1000, 0) AS avg_latency_ms FROM call_log GROUP BY ALL",
+)
+def provider_stats(spark, sf_dir):
+    return questions.provider_stats(view(spark, sf_dir, "call_log"))
