@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.functions.vocab import DUPLICATE, INSTRUCTIONAL_TOPICS, LONG_CHUNK_CHARS, MAX_PAGES, MIN_CHUNK_CHARS, OVERLAP, STRUCTURAL_TOPICS, WEAK_IMAGE_CHARS
 
-_BY_PAGE = Window.partitionBy("doc_id").orderBy("page_num")
+def _by_page():
+    return Window.partitionBy("doc_id").orderBy("page_num")
 
 
 def dedup_pages(pages: DataFrame, keep_last: int = 3) -> DataFrame:
@@ -35,9 +36,9 @@ def dedup_pages(pages: DataFrame, keep_last: int = 3) -> DataFrame:
 def groups_by_title(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     """Adds grp: consecutive pages with one normalized title, at most max_pages together."""
     t = pages.withColumn("_t", X.normalize_title("title"))
-    t = t.withColumn("_new", F.coalesce((~F.lag("_t").over(_BY_PAGE).eqNullSafe(F.col("_t"))).cast("int"), F.lit(1)))
-    t = t.withColumn("_new", F.when(F.row_number().over(_BY_PAGE) == 1, 1).otherwise(F.col("_new")))
-    t = t.withColumn("_run", F.sum("_new").over(_BY_PAGE))
+    t = t.withColumn("_new", F.coalesce((~F.lag("_t").over(_by_page()).eqNullSafe(F.col("_t"))).cast("int"), F.lit(1)))
+    t = t.withColumn("_new", F.when(F.row_number().over(_by_page()) == 1, 1).otherwise(F.col("_new")))
+    t = t.withColumn("_run", F.sum("_new").over(_by_page()))
     t = t.withColumn("_part", F.floor((F.row_number().over(Window.partitionBy("doc_id", "_run").orderBy("page_num")) - 1) / max_pages))
     t = t.withColumn("grp", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("_run", "_part")))
     return t.drop("_t", "_new", "_run", "_part")
@@ -46,7 +47,7 @@ def groups_by_title(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
 def groups_by_overlap(pages: DataFrame, max_pages: int = MAX_PAGES, least: float = OVERLAP) -> DataFrame:
     """Adds grp: a page goes on with a chunk if its words overlap those of the chunk's last two pages."""
     w = pages.withColumn("_w", X.word_set(F.coalesce("text", F.lit(""))))
-    one, two = F.lag("_w", 1).over(_BY_PAGE), F.lag("_w", 2).over(_BY_PAGE)
+    one, two = F.lag("_w", 1).over(_by_page()), F.lag("_w", 2).over(_by_page())
     sims = w.select(
         "doc_id", "page_num", X.jaccard(one, F.col("_w")).alias("s1"), X.jaccard(F.array_union(F.coalesce(two, F.array().cast("array<string>")), one), F.col("_w")).alias("s2")
     )
@@ -64,7 +65,7 @@ def groups_by_overlap(pages: DataFrame, max_pages: int = MAX_PAGES, least: float
 
 
 def groups_fixed(pages: DataFrame, size: int, max_pages: int = MAX_PAGES) -> DataFrame:
-    return pages.withColumn("grp", (F.floor((F.row_number().over(_BY_PAGE) - 1) / min(size, max_pages)) + 1).cast("int"))
+    return pages.withColumn("grp", (F.floor((F.row_number().over(_by_page()) - 1) / min(size, max_pages)) + 1).cast("int"))
 
 
 def build_chunks(grouped: DataFrame) -> DataFrame:

@@ -249,6 +249,11 @@ def verdict(flaw_rate: Column, semantic: Column) -> Column:
     return F.when((flaw_rate >= 0.8) & (semantic >= 4.0), "PASS").when((flaw_rate >= 0.7) & (semantic >= 3.5), "BORDERLINE").otherwise("FAIL")
 
 
+def num_flaws(flags: str | Column) -> Column:
+    """How many of a map's flags are set."""
+    return F.size(F.filter(F.map_values(X.col(flags)), lambda x: F.coalesce(x, F.lit(False))))
+
+
 def quiz_score(answers: DataFrame, by: str = "doc_id") -> DataFrame:
     """answers (given, answer): matches, total, percent, and the numbers of wrong rows."""
     right = F.upper(F.substring(X.strip(F.coalesce("given", F.lit(""))), 1, 1)) == F.col("answer")

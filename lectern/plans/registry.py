@@ -1,6 +1,6 @@
 """Registered queries and their SQL, apart from the training-data subpackage."""
 
-from . import pages, units
+from . import documents, pages, units
 
-QUERIES = {**pages.QUERIES, **units.QUERIES}
-SQL = {**pages.SQL, **units.SQL}
+QUERIES = {**pages.QUERIES, **units.QUERIES, **documents.QUERIES}
+SQL = {**pages.SQL, **units.SQL, **documents.SQL}

@@ -89,11 +89,11 @@ def concept_index(spark, sf_dir):
     return knowledge.concept_index(view(spark, sf_dir, "ku"))
 
 
-_RELATED = "r AS (SELECT e.doc_id, e.a AS ku_id, k.concept AS target FROM ku_edge e JOIN ku k ON k.doc_id = e.doc_id AND k.ku_id = e.b WHERE e.relation IN ('SIMILAR_TO', 'PART_OF'))"
+_RELATED = "r AS (SELECT e.doc_id, e.a AS ku_id, k.concept AS target FROM ku_edge e JOIN ku k ON k.doc_id = e.doc_id AND k.ku_id = e.b)"
 
 
 def _related(spark, sf_dir):
-    e = view(spark, sf_dir, "ku_edge").where(F.col("relation").isin("SIMILAR_TO", "PART_OF"))
+    e = view(spark, sf_dir, "ku_edge")
     u = view(spark, sf_dir, "ku").select("doc_id", F.col("ku_id").alias("b"), F.col("concept").alias("target"))
     return e.join(u, ["doc_id", "b"]).select("doc_id", F.col("a").alias("ku_id"), "target")
 
