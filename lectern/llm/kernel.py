@@ -110,12 +110,10 @@ class Texts:
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where the lines that have a word begin and end (split at newlines), and the text of each."""
         size = len(self.data)
-        edge = np.zeros(size + 1, bool)
-        edge[self.at] = True
         newline = np.flatnonzero(self.data == 0x0A)
         begin = np.unique(np.concatenate([self.at[:-1], newline + 1]))
         begin = begin[begin < size]
-        end = np.append(begin[1:], size)
+        end = np.append(begin[1:], size)[: len(begin)]
         # a line ends before its newline, or where its text ends
         end = end - (self.data[end - 1] == 0x0A)
         first, _, _ = self.words
