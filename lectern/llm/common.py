@@ -95,15 +95,14 @@ def gapless(df: DataFrame, group: list[str], order: Column, name: str, buckets:
     """Number the rows of each group from 0 without gaps, in the order of a hash bucket and then of `order`.
 
     No task gets a whole group: counts by (group, bucket) give each bucket its offset, and only a bucket is numbered
-    by a window. `order` is a Column whose hash spreads rows evenly (ties get any of their numbers).
+    by a window. `order` is a Column whose hash spreads rows evenly (ties get any of their numbers). The columns of
+    `group` must not be null.
     """
     rows = df.withColumn("_b", F.pmod(F.xxhash64(order), F.lit(buckets)))
     counts = rows.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     own = Window.partitionBy(*group, "_b").orderBy(order)
-    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*group, "_b"]]
-    numbered = rows.withColumn("_i", F.row_number().over(own) - 1).alias("r")
-    return numbered.join(offsets.alias("o"), on).select(
-        *[F.col(f"r.{c}") for c in df.columns], (F.col("o._o") + F.col("r._i")).cast("long").alias(name)
-    )
+    numbered = rows.withColumn("_i", F.row_number().over(own) - 1)
+    # equality on the window's own keys: the join takes its partitioning over
+    return numbered.join(offsets, [*group, "_b"]).select(*df.columns, (F.col("_o") + F.col("_i")).cast("long").alias(name))
