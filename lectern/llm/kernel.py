@@ -2,7 +2,7 @@
 
 A text never becomes Python strings here: words are found as runs of bytes that are not ASCII white space (in UTF-8
 no byte of another character looks like one) and named by a 64-bit polynomial hash taken from prefix sums, so that
-every step is a numpy operation over a block of a few megabytes. Two different words share a name with a chance of
+every step is a numpy operation over a block of half a megabyte. Two different words share a name with a chance of
 about 2**-64; all counts built on names hold up to that.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is a block of its own.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
