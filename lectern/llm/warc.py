@@ -87,13 +87,9 @@ class Inflated:
 
     def read(self, n: int) -> bytes:
         while not self.rest and not self.member.eof:
-            if not self.ahead and not (more := self.member.unconsumed_tail):
-                self.ahead = self.raw.read(PIECE)
-                if not self.ahead:
-                    raise ValueError("archive ends inside a gzip member")
-            else:
-                more = self.member.unconsumed_tail
-            given = more + self.ahead
+            given = self.member.unconsumed_tail + self.ahead or self.raw.read(PIECE)
+            if not given:
+                raise ValueError("archive ends inside a gzip member")
             self.ahead = b""
             self.rest = self.member.decompress(given, PIECE)
             if self.member.eof:
