@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vocab import EXPLANATION_WORDS, LINE_END, SPACE
+from .vocab import EXPLANATION_WORDS, LINE_ENDS, SPACE, SPACES
 
 IMAGE = r"!\[[^\n]*?\]\([^\n]*?\)"
 CAPTION = r"(?i)^\s*(figure|fig\.|table|hinh|hinh\s+\d+|bang|bang\s+\d+|bảng|hình)(?![\p{L}\p{N}_])"
@@ -18,12 +18,12 @@ def col(c: str | Column) -> Column:
 
 
 def strip(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(col(c), F.lit(SPACES))
 
 
 def words(c: str | Column) -> Column:
     """Runs without (Unicode) white space, in order."""
-    return F.filter(F.split(col(c), f"{SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(col(c), SPACES, " " * len(SPACES)), " "), "")
 
 
 def word_set(c: str | Column) -> Column:
@@ -31,12 +31,12 @@ def word_set(c: str | Column) -> Column:
 
 
 def lines(c: str | Column) -> Column:
-    return F.split(col(c), LINE_END)
+    return F.split(F.translate(F.replace(col(c), F.lit("\r\n"), F.lit("\n")), LINE_ENDS, "\n" * len(LINE_ENDS)), "\n")
 
 
 def collapse(c: str | Column) -> Column:
     """White space runs to one blank, none at the ends."""
-    return F.trim(F.regexp_replace(col(c), f"{SPACE}+", " "))
+    return F.array_join(words(c), " ")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -52,12 +52,22 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def strip_markdown(c: str | Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(col(c), IMAGE, ""), r"[*_`#~]", ""))
+    own = col(c)
+    plain = F.when(F.contains(own, F.lit("![")), F.regexp_replace(own, IMAGE, "")).otherwise(own)
+    return strip(F.translate(plain, "*_`#~", ""))
 
 
-def title_of(c: str | Column) -> Column:
-    """The first heading of 4 to 199 characters, else the first line that is no list, table, image or heading; else null."""
-    own = F.transform(lines(c), strip)
+def own_lines(c: str | Column) -> Column:
+    """Lines without white space at their ends."""
+    return F.transform(lines(c), strip)
+
+
+def title_of(c: str | Column, own: Column | None = None) -> Column:
+    """The first heading of 4 to 199 characters, else the first line that is no list, table, image or heading; else null.
+
+    own: own_lines(c), where they are at hand.
+    """
+    own = own_lines(c) if own is None else own
     heads = F.transform(F.filter(own, lambda x: x.startswith("#")), lambda x: strip(F.regexp_replace(x, "^#+", "")))
     heads = F.filter(heads, lambda x: ~x.startswith("![") & (F.length(x) > 3) & (F.length(x) < 200))
     plain = F.filter(own, lambda x: (F.length(x) > 3) & ~x.rlike(r"^(-|\*|\||!\[|#)"))
@@ -69,8 +79,8 @@ def clean_title(c: str | Column) -> Column:
     return F.substring(F.when(flat.startswith("!["), F.trim(F.regexp_replace(flat, IMAGE, ""))).otherwise(flat), 1, 80)
 
 
-def first_meaningful_line(c: str | Column) -> Column:
-    own = F.filter(F.transform(lines(c), strip), lambda x: (x != "") & ~x.rlike(r"^(!\[|-|\*|\||#)"))
+def first_meaningful_line(c: str | Column, own: Column | None = None) -> Column:
+    own = F.filter(own_lines(c) if own is None else own, lambda x: (x != "") & ~x.rlike(r"^(!\[|-|\*|\||#)"))
     clean = F.filter(F.transform(own, lambda x: strip(F.regexp_replace(x, r"[*_`#]", ""))), lambda x: F.length(x) > 3)
     return F.coalesce(F.substring(F.get(clean, F.lit(0)), 1, 80), F.lit("Section"))
 
@@ -105,19 +115,21 @@ def subset_either(a: Column, b: Column) -> Column:
     return both & ((F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0))
 
 
-def is_garbled(c: str | Column) -> Column:
-    w = words(c)
+def garbled(w: Column) -> Column:
+    """Of an array of words: at least 15, and more than a quarter of them single letters."""
     single = F.size(F.filter(w, lambda x: (F.length(x) == 1) & x.rlike(r"^\p{L}$")))
     return F.when(F.size(w) >= 15, single / F.greatest(F.size(w), F.lit(1)) > 0.25).otherwise(False)
 
 
-def page_quality(c: str | Column) -> Column:
-    """Label of a page: low_text, garbled, noisy or good."""
-    w = words(c)
-    mean = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)) / F.greatest(F.size(w), F.lit(1))
-    return (
-        F.when(F.length(strip(c)) < 50, "low_text").when(is_garbled(c), "garbled").when((F.size(w) > 0) & (mean < 2), "noisy").otherwise("good")
-    )
+def is_garbled(c: str | Column) -> Column:
+    return garbled(words(c))
+
+
+def page_quality(c: str | Column, w: Column | None = None) -> Column:
+    """Label of a page: low_text, garbled, noisy or good. w: words(c), where they are at hand."""
+    w = words(c) if w is None else w
+    mean = F.length(F.array_join(w, "")) / F.greatest(F.size(w), F.lit(1))
+    return F.when(F.length(strip(c)) < 50, "low_text").when(garbled(w), "garbled").when((F.size(w) > 0) & (mean < 2), "noisy").otherwise("good")
 
 
 def section_quality(c: str | Column) -> Column:
@@ -134,7 +146,8 @@ def _table_line(x: Column) -> Column:
     cells = F.split(x, r"\s{2,}")
     short = F.size(F.filter(cells, lambda t: F.length(t) <= 18))
     pipes = F.length(x) - F.length(F.translate(x, "|", ""))
-    return F.when(pipes >= 2, True).otherwise(x.rlike(r"\S+\s{2,}\S+\s{2,}\S+") & (F.size(cells) >= 3) & (short >= 2))
+    # the plain pattern first: it does not go back over words
+    return F.when(pipes >= 2, True).otherwise(x.rlike(r"\s\s") & x.rlike(r"\S+\s{2,}\S+\s{2,}\S+") & (F.size(cells) >= 3) & (short >= 2))
 
 
 def looks_like_table(own: Column) -> Column:
@@ -146,13 +159,20 @@ def looks_like_columns(own: Column) -> Column:
     return F.size(F.filter(own, lambda x: (F.length(x) >= 40) & x.rlike(r"[a-zA-Z0-9)]\s{6,}[A-Z0-9]"))) >= 3
 
 
-def layout_flags(c: str | Column, has_image: Column | None = None) -> dict[str, Column]:
-    """has_table, has_formula, has_caption, has_columns and layout_sensitive of a text."""
+def text_lines(c: str | Column) -> Column:
+    """Lines with text, without white space at their right ends."""
+    return F.filter(F.transform(lines(F.coalesce(col(c), F.lit(""))), lambda x: F.rtrim(x, F.lit(SPACES))), lambda x: x != "")
+
+
+def layout_flags(c: str | Column, has_image: Column | None = None, own: Column | None = None) -> dict[str, Column]:
+    """has_table, has_formula, has_caption, has_columns and layout_sensitive of a text. own: text_lines(c), where at hand."""
     image = F.lit(False) if has_image is None else F.coalesce(has_image, F.lit(False))
     text = F.coalesce(col(c), F.lit(""))
-    own = F.filter(F.transform(lines(text), lambda x: F.regexp_replace(x, f"{SPACE}+$", "")), lambda x: x != "")
-    table = text.rlike(MARKDOWN_TABLE) | looks_like_table(own)
-    formula, columns = text.rlike(FORMULA), looks_like_columns(own)
+    own = text_lines(c) if own is None else own
+    has = lambda k: F.contains(text, F.lit(k))
+    # a search for a character spares most texts the pattern
+    table = (has("|") & text.rlike(MARKDOWN_TABLE)) | looks_like_table(own)
+    formula, columns = (has("=") | has("$") | has("\\")) & text.rlike(FORMULA), looks_like_columns(own)
     caption = F.exists(own, lambda x: strip_markdown(x).rlike(CAPTION))
     return {
         "has_table": table,

@@ -2,6 +2,9 @@
 
 # White space and line ends as Unicode-aware text tools see them.
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# The same characters, one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"  # beside \n, and \r\n as one
 LINE_END = r"\x0D\x0A|[\x0A-\x0D\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 WORD_CHARS = r"[\p{L}\p{N}_]"
 

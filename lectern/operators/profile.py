@@ -11,7 +11,10 @@ from lectern.functions.vocab import WHOLE_DOC_CHARS
 
 def with_page_columns(pages: DataFrame) -> DataFrame:
     """Adds char_count, text_quality and the layout flags to pages (text, has_image)."""
-    return pages.withColumns({"char_count": F.length("text"), "text_quality": X.page_quality("text"), **X.layout_flags("text", F.col("has_image"))})
+    # words and lines are columns of their own, so that they are computed once and not in each expression
+    rows = pages.withColumns({"_words": X.words("text"), "_lines": X.text_lines("text")})
+    rows = rows.withColumns({"char_count": F.length("text"), "text_quality": X.page_quality("text", F.col("_words")), **X.layout_flags("text", F.col("has_image"), F.col("_lines"))})
+    return rows.drop("_words", "_lines")
 
 
 def chunk_strategy(c: dict[str, Column]) -> Column:
@@ -72,13 +75,13 @@ def histogram(rows: DataFrame, by: str, what: str) -> DataFrame:
 
 def page_metrics(pages: DataFrame) -> DataFrame:
     """Extraction metrics of each page."""
-    w = X.words("text")
-    bare = lambda x: F.regexp_replace(x, r"""^[.,;:!?"'()\[\]{}]+|[.,;:!?"'()\[\]{}]+$""", "")
-    single = F.size(F.filter(w, lambda x: (F.length(bare(x)) == 1) & x.rlike(r"^\p{L}+$")))
+    # a word of letters alone has no punctuation to strip, so a single letter is a word of length one
+    w = F.col("_w")
+    single = F.size(F.filter(w, lambda x: (F.length(x) == 1) & x.rlike(r"^\p{L}$")))
     pipes = F.size(F.filter(X.lines("text"), lambda x: F.length(x) - F.length(F.translate(x, "|", "")) >= 2))
-    sentences = F.filter(F.transform(F.split("text", r"(?<=[.!?。])\s+|\n+"), X.strip), lambda s: s != "")
-    complete = F.size(F.filter(sentences, lambda s: F.size(X.words(s)) >= 5))
-    out = pages.withColumns({"word_count": F.size(w), "_single": single, "_pipes": pipes, "_n": F.size(sentences), "_c": complete})
+    rows = pages.withColumns({"_w": X.words("text"), "_s": F.array_remove(F.transform(F.split("text", r"(?<=[.!?。])\s+|\n+"), X.strip), "")})
+    complete = F.size(F.filter("_s", lambda s: F.size(X.words(s)) >= 5))
+    out = rows.withColumns({"word_count": F.size(w), "_single": single, "_pipes": pipes, "_n": F.size("_s"), "_c": complete})
     wc = F.col("word_count")
     return out.withColumns(
         {
@@ -87,7 +90,7 @@ def page_metrics(pages: DataFrame) -> DataFrame:
             "is_image_only": ~F.coalesce("ocr_used", F.lit(False)) & F.coalesce("has_image", F.lit(False)) & (F.col("char_count") < 80),
             "coherence_score": F.when(wc >= 10, F.when(F.col("_n") > 0, F.round(F.col("_c") / F.greatest("_n", F.lit(1)), 3)).otherwise(0.0)),
         }
-    ).drop("_single", "_pipes", "_n", "_c")
+    ).drop("_single", "_pipes", "_n", "_c", "_w", "_s")
 
 
 def parse_quality(metrics: DataFrame, by: str = "doc_id") -> DataFrame:

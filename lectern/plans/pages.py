@@ -227,9 +227,10 @@ h AS (SELECT *, list_filter(list_transform(list_filter(ls, lambda x: starts_with
 SELECT doc_id, coalesce(hs[1], substr(ps[1], 1, 200)) AS title, substr({collapse('ps[1]')}, 1, 80) AS clean, coalesce(substr(fs[1], 1, 80), 'Section') AS first_line, {title_norm('ps[1]')} AS norm FROM h""",
 )
 def titles(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("t", X.title_of("text"))
-    first = F.get(F.filter(F.transform(X.lines("text"), X.strip), lambda x: (F.length(x) > 3) & ~x.rlike(r"^(-|\*|\||!\[|#)")), F.lit(0))
-    return d.select("doc_id", F.col("t").alias("title"), X.clean_title(first).alias("clean"), X.first_meaningful_line("text").alias("first_line"), X.normalize_title(first).alias("norm"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", X.own_lines("text").alias("own"))
+    plain = F.get(F.filter("own", lambda x: (F.length(x) > 3) & ~x.rlike(r"^(-|\*|\||!\[|#)")), F.lit(0))
+    d = d.select("doc_id", X.title_of("text", F.col("own")).alias("title"), plain.alias("plain"), X.first_meaningful_line("text", F.col("own")).alias("first_line"))
+    return d.select("doc_id", "title", X.clean_title("plain").alias("clean"), "first_line", X.normalize_title("plain").alias("norm"))
 
 
 @register(
