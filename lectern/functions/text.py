@@ -39,6 +39,11 @@ def collapse(c: str | Column) -> Column:
     return F.array_join(words(c), " ")
 
 
+def exact_mean(c: str | Column) -> Column:
+    """The mean of values of at most three decimals, summed exactly, so that it does not depend on the order of rows."""
+    return F.avg(col(c).cast("decimal(18,3)")).cast("double")
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct values; 0 if either is empty."""
     union = F.size(F.array_union(a, b))

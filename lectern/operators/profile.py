@@ -107,7 +107,7 @@ def parse_quality(metrics: DataFrame, by: str = "doc_id") -> DataFrame:
         F.count_if("is_image_only").alias("image_only_pages"),
         F.count_if(F.col("text_quality") == "garbled").alias("garbled_pages"),
         F.round(F.count_if(F.col("text_quality") == "garbled") / n, 3).alias("garbled_ratio"),
-        F.coalesce(F.round(F.avg("coherence_score"), 3), F.lit(0.0)).alias("avg_layout_coherence"),
+        F.coalesce(F.round(X.exact_mean("coherence_score"), 3), F.lit(0.0)).alias("avg_layout_coherence"),
     )
 
 

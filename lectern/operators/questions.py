@@ -118,7 +118,7 @@ def validation_stats(checked: DataFrame, by: str = "doc_id") -> DataFrame:
         F.round(v / n * 100, 1).alias("pass_rate"),
         bad.alias("bloom_mismatch_count"),
         F.when(v > 0, F.round(bad / F.greatest(v, F.lit(1)) * 100, 1)).otherwise(0.0).alias("bloom_mismatch_rate"),
-        F.coalesce(F.round(F.avg(F.when(valid, F.col("quality_score"))), 3), F.lit(0.0)).alias("average_quality_score"),
+        F.coalesce(F.round(X.exact_mean(F.when(valid, F.col("quality_score"))), 3), F.lit(0.0)).alias("average_quality_score"),
     )
 
 
@@ -276,7 +276,7 @@ def judge_stats(rows: DataFrame) -> DataFrame:
         F.count_if("passed").alias("passed"),
         F.round(F.count_if("passed") / F.count(F.lit(1)) * 100, 1).alias("pass_rate"),
         *[F.round(F.sum(c) / F.count(F.lit(1)), 2).alias(f"avg_{c}") for c in ("relevance", "answerability", "bloom_alignment", "answer_correctness")],
-        F.round(F.avg("semantic_avg"), 2).alias("avg_semantic"),
+        F.round(X.exact_mean("semantic_avg"), 2).alias("avg_semantic"),
     )
 
 
@@ -284,5 +284,5 @@ def provider_stats(calls: DataFrame) -> DataFrame:
     """Calls, tokens and mean latency in milliseconds of successful calls, by provider and model."""
     good = (F.col("status") == "success") & (F.col("latency_seconds") > 0)
     return calls.groupBy("provider", "model").agg(
-        F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"), F.round(F.avg(F.when(good, F.col("latency_seconds"))) * 1000, 0).alias("avg_latency_ms")
+        F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"), F.round(X.exact_mean(F.when(good, F.col("latency_seconds"))) * 1000, 0).alias("avg_latency_ms")
     )

@@ -186,7 +186,7 @@ def file_types(spark, sf_dir):
 
 @register(
     "call_windows",
-    f"WITH {sql_view('call_log')} SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, provider, model, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, round(avg(latency_seconds) FILTER (status = 'success' AND latency_seconds > 0), 4) AS avg_latency FROM call_log GROUP BY ALL",
+    f"WITH {sql_view('call_log')} SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, provider, model, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, round(avg(CAST(latency_seconds AS DECIMAL(18, 3))) FILTER (status = 'success' AND latency_seconds > 0), 4) AS avg_latency FROM call_log GROUP BY ALL",
 )
 def call_windows(spark, sf_dir):
     return calls.windowed_stats(view(spark, sf_dir, "call_log")).withColumn("avg_latency", F.round("avg_latency", 4))

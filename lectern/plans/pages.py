@@ -212,7 +212,7 @@ def page_metrics(spark, sf_dir):
     "parse_quality",
     f"""WITH {sql_view('page_src')}, {_page_table('page_src')}, {_METRICS} SELECT doc_id, count(*) AS extracted_pages, round(CAST(sum(char_count) AS DOUBLE) / count(*), 1) AS avg_chars_per_page, count(*) FILTER (has_table) AS table_pages,
   count(*) FILTER (has_table AND table_readable) AS table_readable, count(*) FILTER (has_table AND NOT table_readable) AS table_flat, count(*) FILTER (has_image) AS image_pages, count(*) FILTER (is_image_only) AS image_only_pages,
-  count(*) FILTER (text_quality = 'garbled') AS garbled_pages, round(CAST(count(*) FILTER (text_quality = 'garbled') AS DOUBLE) / count(*), 3) AS garbled_ratio, coalesce(round(avg(coherence_score), 3), 0.0) AS avg_layout_coherence FROM mm GROUP BY doc_id""",
+  count(*) FILTER (text_quality = 'garbled') AS garbled_pages, round(CAST(count(*) FILTER (text_quality = 'garbled') AS DOUBLE) / count(*), 3) AS garbled_ratio, coalesce(round(avg(CAST(coherence_score AS DECIMAL(18, 3))), 3), 0.0) AS avg_layout_coherence FROM mm GROUP BY doc_id""",
 )
 def parse_quality(spark, sf_dir):
     return profile.parse_quality(profile.page_metrics(profile.with_page_columns(view(spark, sf_dir, "page_src"))))

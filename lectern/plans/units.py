@@ -271,7 +271,7 @@ def validated_questions(spark, sf_dir):
     "validation_stats",
     f"""WITH {MCQ}, {_CHECKED} SELECT doc_id, count(*) AS total_raw, count(*) FILTER (layer IS NULL) AS valid, count(*) FILTER (layer IS NOT NULL) AS rejected, round(count(*) FILTER (layer IS NULL) / CAST(count(*) AS DOUBLE) * 100, 1) AS pass_rate,
   count(*) FILTER (layer IS NULL AND bloom_mismatch) AS bloom_mismatch_count, coalesce(round(count(*) FILTER (layer IS NULL AND bloom_mismatch) / CAST(nullif(count(*) FILTER (layer IS NULL), 0) AS DOUBLE) * 100, 1), 0.0) AS bloom_mismatch_rate,
-  coalesce(round(avg(quality_score) FILTER (layer IS NULL), 3), 0.0) AS average_quality_score FROM v GROUP BY doc_id""",
+  coalesce(round(avg(CAST(quality_score AS DECIMAL(18, 3))) FILTER (layer IS NULL), 3), 0.0) AS average_quality_score FROM v GROUP BY doc_id""",
 )
 def validation_stats(spark, sf_dir):
     return questions.validation_stats(_checked(spark, sf_dir))
@@ -387,21 +387,21 @@ _JUDGED = f"{sql_view('judge')}, jd AS (SELECT *, round((relevance + answerabili
 @register(
     "judge_stats",
     f"""WITH {_JUDGED} SELECT chunk_id, count(*) AS total_mcqs, count(*) FILTER (semantic_avg >= 3.5) AS passed, round(count(*) FILTER (semantic_avg >= 3.5) / CAST(count(*) AS DOUBLE) * 100, 1) AS pass_rate,
-  {', '.join(f'round(sum({c}) / CAST(count(*) AS DOUBLE), 2) AS avg_{c}' for c in ('relevance', 'answerability', 'bloom_alignment', 'answer_correctness'))}, round(avg(semantic_avg), 2) AS avg_semantic FROM jd GROUP BY GROUPING SETS ((chunk_id), ())""",
+  {', '.join(f'round(sum({c}) / CAST(count(*) AS DOUBLE), 2) AS avg_{c}' for c in ('relevance', 'answerability', 'bloom_alignment', 'answer_correctness'))}, round(avg(CAST(semantic_avg AS DECIMAL(18, 3))), 2) AS avg_semantic FROM jd GROUP BY GROUPING SETS ((chunk_id), ())""",
 )
 def judge_stats(spark, sf_dir):
     return questions.judge_stats(questions.judged(view(spark, sf_dir, "judge")))
 
 
-@register("bloom_alignment", f"WITH {_JUDGED} SELECT bloom_level, round(avg(bloom_alignment), 2) AS mean, CASE WHEN avg(bloom_alignment) / 5 >= 0.8 AND avg(semantic_avg) >= 4.0 THEN 'PASS' WHEN avg(bloom_alignment) / 5 >= 0.7 AND avg(semantic_avg) >= 3.5 THEN 'BORDERLINE' ELSE 'FAIL' END AS verdict FROM jd GROUP BY bloom_level")
+@register("bloom_alignment", f"WITH {_JUDGED} SELECT bloom_level, round(avg(bloom_alignment), 2) AS mean, CASE WHEN avg(bloom_alignment) / 5 >= 0.8 AND avg(CAST(semantic_avg AS DECIMAL(18, 3))) >= 4.0 THEN 'PASS' WHEN avg(bloom_alignment) / 5 >= 0.7 AND avg(CAST(semantic_avg AS DECIMAL(18, 3))) >= 3.5 THEN 'BORDERLINE' ELSE 'FAIL' END AS verdict FROM jd GROUP BY bloom_level")
 def bloom_alignment(spark, sf_dir):
-    j = questions.judged(view(spark, sf_dir, "judge")).groupBy("bloom_level").agg(F.avg("bloom_alignment").alias("m"), F.avg("semantic_avg").alias("s"))
+    j = questions.judged(view(spark, sf_dir, "judge")).groupBy("bloom_level").agg(F.avg("bloom_alignment").alias("m"), X.exact_mean("semantic_avg").alias("s"))
     return j.select("bloom_level", F.round("m", 2).alias("mean"), questions.verdict(F.col("m") / 5, F.col("s")).alias("verdict"))
 
 
 @register(
     "provider_stats",
-    f"WITH {sql_view('call_log')} SELECT provider, model, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, round(avg(latency_seconds) FILTER (status = 'success' AND latency_seconds > 0) * 1000, 0) AS avg_latency_ms FROM call_log GROUP BY ALL",
+    f"WITH {sql_view('call_log')} SELECT provider, model, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, round(avg(CAST(latency_seconds AS DECIMAL(18, 3))) FILTER (status = 'success' AND latency_seconds > 0) * 1000, 0) AS avg_latency_ms FROM call_log GROUP BY ALL",
 )
 def provider_stats(spark, sf_dir):
     return questions.provider_stats(view(spark, sf_dir, "call_log"))

@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.functions.vocab import HORIZONTAL, STRUCTURAL
+from lectern.sources.tables import spread
+
+#: Tables whose rows are much work each.
+TEXTS = ("documents", "pages")
 
 _TYPES = "CASE p_type WHEN 'STANDARD' THEN 'definition' WHEN 'MEDIUM' THEN 'mechanism' WHEN 'PROMO' THEN 'failure_mode' WHEN 'LARGE' THEN 'trade_off' WHEN 'SMALL' THEN 'procedure' ELSE 'application' END"
 _RELATION = "CASE (a_key + b_key) % 8 " + " ".join(f"WHEN {k} THEN '{r}'" for k, r in enumerate(HORIZONTAL + STRUCTURAL)) + " END"
@@ -83,7 +87,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
