@@ -2,8 +2,8 @@
 
 Method: rare n-gram seeds join training passages to test items, then Smith-Waterman alignment scores each passage. Seeds
 are the items' word trigrams; their document frequencies are counted over the whole corpus, and those that are common
-beside the other seeds of their item are set aside. Where a document has a seed, the words around it, twice the item's
-length at least, are aligned with the item's words (match 2, mismatch and gap -1); the score is the share of the best
+beside the other seeds of their item count only three together. Where a document has a rare seed, or three common ones
+in a passage, the words around, twice the item's length at least, are aligned with the item's words (match 2, mismatch and gap -1); the score is the share of the best
 possible alignment of the whole item. On the test tables chance scores stay below 0.25 and copies reach 0.9; with a
 third of an item's words replaced nine of ten still reach the threshold.
 
@@ -26,10 +26,12 @@ from . import kernel
 from .common import read
 
 GRAM = 3
-#: Items in a block, on average.
-ITEMS = 20_000
+#: Items in a block, and bytes of their texts, on average.
+ITEMS, ITEM_BYTES = 20_000, 64 << 20
 #: A seed is rare up to so many documents, to this share of all, or to so many times its item's median.
 RARE, RARE_SHARE, RARE_TIMES = 100, 1e-4, 8
+#: A passage needs one rare seed, or so many common ones.
+TOGETHER = 3
 
 #: Alignment sees letters without case and no ASCII punctuation.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -86,6 +88,7 @@ class Seeds:
         order = np.lexsort((place, item, names))
         self.of, self.item, self.place = names[order], item[order], place[order]
         self.names = np.unique(self.of)
+        self.rare = np.ones(len(self.of), bool)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.names >> np.uint64(44)).astype(np.int64)] = True
 
@@ -98,20 +101,15 @@ class Seeds:
         true = self.names[at] == names[maybe]
         return maybe[true], at[true]
 
-    def keep_rare(self, counts: np.ndarray, n_docs: int) -> None:
-        """Set aside seeds that are in many documents, beside the median of their item's seeds that are in any."""
+    def mark_rare(self, counts: np.ndarray, n_docs: int) -> None:
+        """Tell seeds that are rare from those that many documents have, beside the median of their item's seeds that any has."""
         of = np.searchsorted(self.names, self.of)
-        keep = np.zeros(len(self.of), bool)
         order = np.argsort(self.item, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1):
             df = counts[of[own]]
             seen = df[df > 0]
             if len(seen):
-                keep[own] = (df > 0) & (df <= max(RARE, RARE_SHARE * n_docs, RARE_TIMES * np.median(seen)))
-        self.of, self.item, self.place = self.of[keep], self.item[keep], self.place[keep]
-        self.names = np.unique(self.of)
-        self.filter[:] = False
-        self.filter[(self.names >> np.uint64(44)).astype(np.int64)] = True
+                self.rare[own] = df <= max(RARE, RARE_SHARE * n_docs, RARE_TIMES * np.median(seen))
 
 
 def _frequencies(shared):
@@ -146,12 +144,14 @@ def _passages(seeds: Seeds, block: kernel.Texts) -> tuple[np.ndarray, np.ndarray
     # the item's first word would be here; hits whose starts lie close belong to one passage
     start = word - seeds.place[k]
     order = np.lexsort((start, item, text))
-    text, item, start = text[order], item[order], start[order]
+    text, item, start, rare = text[order], item[order], start[order], seeds.rare[k][order]
     step = np.maximum(lengths[item] // 4, 2)
     cell = np.floor_divide(start, step)
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (cell[1:] != cell[:-1])
-    return text[new], item[new], (cell * step)[new]
+    group = np.cumsum(new) - 1
+    meets = (np.bincount(group, rare) > 0) | (np.bincount(group) >= TOGETHER)
+    return text[new][meets], item[new][meets], (cell * step)[new][meets]
 
 
 def needed(m: int, least: float) -> float:
@@ -235,8 +235,9 @@ def _seed_blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col:
     spark = docs.sparkSession
     texts = docs.select(text_col)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
-    n_items, n_docs = items.count(), texts.count()
-    n_blocks = -(-n_items // ITEMS)
+    n_items, n_bytes = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_docs = texts.count()
+    n_blocks = max(-(-n_items // ITEMS), -(-n_bytes // ITEM_BYTES))
     for b in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()  # about ITEMS rows
         block.sort(key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
@@ -244,9 +245,9 @@ def _seed_blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col:
         counted = texts.mapInArrow(_frequencies(spark.sparkContext.broadcast(seeds)), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros(len(seeds.names), np.int64)
         counts[counted["seed"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-        rare = Seeds([r.item_id for r in block], [r.text for r in block])
-        rare.keep_rare(counts, n_docs)
-        yield spark.sparkContext.broadcast(rare)
+        marked = Seeds([r.item_id for r in block], [r.text for r in block])
+        marked.mark_rare(counts, n_docs)
+        yield spark.sparkContext.broadcast(marked)
 
 
 def contaminated(

@@ -128,3 +128,15 @@ def test_blocks_of_items(spark, monkeypatch):
     docs = [(k, some_text(rng, 50, 5000) + " " + t, "en", "s", 0) for k, t in items]
     got = decontamination.contaminated(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r.id, r.item_id) for r in got) == [(k, k) for k in range(7)]
+
+
+def test_common_seeds_count_together(spark, monkeypatch):
+    """Half of an item is in many documents, the other half's seeds are rare; the many are found all the same."""
+    for name, value in (("RARE", 1), ("RARE_SHARE", 0), ("RARE_TIMES", 1)):
+        monkeypatch.setattr(decontamination, name, value)
+    rng = random.Random(3)
+    item = some_text(rng, 40, 5000).split()
+    docs = [(k, some_text(rng, 60, 5000) + " " + " ".join(item[:20]), "en", "s", 0) for k in range(30)]
+    docs += [(100 + k, some_text(rng, 60, 5000) + " " + " ".join(item[20 + k : 23 + k]), "en", "s", 0) for k in range(16)]
+    got = decontamination.contaminated(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted(r.id for r in got) == list(range(30))
