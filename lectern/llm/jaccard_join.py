@@ -268,15 +268,19 @@ def similar_documents(
     links connect. recall: runs go on until this share of the candidate links is estimated to be found (or max_batches are run).
 
     Null and empty texts have no shingles: no links, a class of their own. Rows with equal ids must have equal texts;
-    whole repeated rows link to each other. A null id is a class of its own name (null) but counts as a link of others.
-    Further columns are ignored, whatever their names. An empty table gives an empty result.
+    whole repeated rows link to each other. Ids are below 2**62. A row without an id belongs to the class of the rows with
+    its shingles and counts as a link of theirs; if no row with an id has its shingles, it links only to its copies, and
+    class_id is a number above 2**62. Further columns are ignored, whatever their names. An empty table gives an empty
+    result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = written(texts.mapInArrow(_signatures(words), "id long, k1 long, k2 long, n int, sig array<int>"), "signatures")
+    # a set that no row with an id has is named by its key, above all ids
+    unnamed = F.first("k1").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
     groups = (
         rows.where("n > 0")
         .groupBy("k1", "k2")
-        .agg(F.coalesce(F.min("id"), F.first("k1")).alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        .agg(F.coalesce(F.min("id"), unnamed).alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     )
     sets = written(groups, "sets")
     signed = sets.select("node", "n", "sig")
@@ -307,7 +311,6 @@ def similar_documents(
     ).toPandas()
     bits = np.zeros(width // 64, np.uint64)
     bits[filled["w"].to_numpy(np.int64)] = filled["v"].to_numpy(np.int64).view(np.uint64)
-    # a set whose rows all lack an id is named by its key; its shingles are read from no row, so it keeps its own class
     shingled = (
         texts.where("id is not null")
         .withColumn("h", F.xxhash64("id"))
