@@ -33,7 +33,7 @@ RARE, RARE_SHARE, RARE_TIMES = 100, 1e-4, 8
 #: A passage needs one rare seed, or so many common ones.
 TOGETHER = 3
 
-#: Alignment sees letters without case and no ASCII punctuation.
+#: Alignment sees letters without case (of any script) and no ASCII punctuation; this is the ASCII part of it.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
 FOLD[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32
@@ -44,10 +44,20 @@ MATCH, MISS, GAP = 2, 1, 1
 LEAST, POINTS = 0.35, 20
 
 
+def folded(block: kernel.Texts) -> kernel.Texts:
+    """The same texts as alignment sees them. Letters beyond ASCII go by Unicode case folding, which may change their bytes."""
+    if (block.data > 127).any():
+        data = block.data.tobytes()
+        texts = [data[a:b] for a, b in zip(block.at[:-1], block.at[1:], strict=True)]
+        texts = [t if t.isascii() else t.decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape") for t in texts]
+        block = kernel.Texts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    return block.mapped(FOLD)
+
+
 def folded_words(texts: list[str]) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for _, _, block in kernel.blocks(pa.array(texts, pa.string())):
-        block = block.mapped(FOLD)
+        block = folded(block)
         first, names = block.words[2], block.word_names
         out += [names[first[k] : first[k + 1]] for k in range(block.n)]
     return out
@@ -118,7 +128,7 @@ def _frequencies(shared):
         for batch in batches:
             total = np.zeros(len(seeds.names), np.int64)
             for _, _, block in kernel.blocks(batch.column(0)):
-                names, at = block.mapped(FOLD).grams(GRAM)
+                names, at = folded(block).grams(GRAM)
                 where, seed = seeds.hits(names)
                 text = np.searchsorted(at, where, "right") - 1
                 total += np.bincount(np.unique(text * len(seeds.names) + seed) % max(len(seeds.names), 1), minlength=len(seeds.names))
@@ -161,7 +171,7 @@ def needed(m: int, least: float) -> float:
 
 def _found(seeds: Seeds, block: kernel.Texts, least: float) -> dict[tuple[int, int], tuple[float, int, int]]:
     """(text, item) to the score and the bounds of the best passage, where the score is `least` or more."""
-    block = block.mapped(FOLD)
+    block = folded(block)
     text, item, start = _passages(seeds, block)
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
     if not len(text):
@@ -257,7 +267,7 @@ def contaminated(
 
     score: the alignment's share of the best possible, 1 for a copy; of several passages the best. An item of less than
     ten words has to be there whole, one of up to 28 words needs ten words' worth. begin_word and
-    end_word bound the passage, in words of the text as folded (case and ASCII punctuation aside). Null and empty texts
+    end_word bound the passage, in words of the text as folded (Unicode case and ASCII punctuation aside). Null and empty texts
     hold nothing; items of fewer than three words cannot be told from chance and match nothing. Repeated rows are found
     as often as they occur. Further columns are ignored; an empty table on either side gives an empty result.
     """

@@ -140,3 +140,19 @@ def test_common_seeds_count_together(spark, monkeypatch):
     docs += [(100 + k, some_text(rng, 60, 5000) + " " + " ".join(item[20 + k : 23 + k]), "en", "s", 0) for k in range(16)]
     got = decontamination.contaminated(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
     assert sorted(r.id for r in got) == list(range(30))
+
+
+def test_upper_case_beyond_ascii(spark):
+    items = [
+        (1, "Où était né l’élève égaré à Orléans, près du théâtre où l’été s’achève déjà après trois années?"),
+        (2, "¿Cuál año señaló él, según la opinión del niño, más allá de aquí y después así?"),
+        (3, "Große Bäume müssen täglich genügend Wärme für süße Früchte über Füße schöner Höfe hinaus führen"),
+        (4, "Какая река течёт через город Ярославль и впадает в Каспийское море на юге страны"),
+    ]
+    rng = random.Random(6)
+    docs = [(10 * k + j, some_text(rng, 60, 5000) + " " + change(t) + " " + some_text(rng, 60, 5000), "fr", "s", 0) for k, t in items for j, change in enumerate((str, str.upper, str.lower, str.title))]
+    docs.append((99, some_text(rng, 60, 5000), "fr", "s", 0))
+    docs, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contaminated(docs, bench).collect()
+    assert {(r.id, r.item_id): r.score for r in got} == {(10 * k + j, k): 1.0 for k, _ in items for j in range(4)}
+    assert [r.doc_id for r in decontamination.clean_documents(docs, bench).collect()] == [99]
