@@ -5,7 +5,7 @@ are the items' word trigrams; their document frequencies are counted over the wh
 beside the other seeds of their item count only three together. Where a document has a rare seed, or three common ones
 in a passage, the words around, twice the item's length at least, are aligned with the item's words (match 2, mismatch and gap -1); the score is the share of the best
 possible alignment of the whole item. On the test tables chance scores stay below 0.25 and copies reach 0.9; with a
-third of an item's words replaced nine of ten still reach the threshold.
+third of an item's words replaced, items of 8 to 20 words still reach the threshold in nine of ten cases or more.
 
 Scale: texts are mapped over twice for each block of items and never shuffled; what is aggregated is a count for each
 seed. Items are the stated query set, taken in blocks of bounded size, so a block's seeds have a fixed bound as a
@@ -39,9 +39,11 @@ FOLD[ord("A") : ord("Z") + 1] += 32
 FOLD[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32
 
 MATCH, MISS, GAP = 2, 1, 1
-#: The share of the best possible alignment from which a document counts as contaminated, and the points that takes at
-#: least: ten words in a row, or all of a shorter item.
-LEAST, POINTS = 0.35, 20
+#: The share of the best possible alignment from which a document counts as contaminated.
+LEAST = 0.35
+#: Points that takes at least: half of the item's best, within these bounds. Four words in a row, 8 points, occur by
+#: chance, and excerpts of six words, 12 points, are less than half of an item of 13 words.
+FLOOR, FLOOR_MOST = 9, 13
 
 
 def folded(block: kernel.Texts) -> kernel.Texts:
@@ -166,7 +168,7 @@ def _passages(seeds: Seeds, block: kernel.Texts) -> tuple[np.ndarray, np.ndarray
 
 def needed(m: int, least: float) -> float:
     """Points from which an item of m words counts as found."""
-    return min(MATCH * m, max(POINTS, least * MATCH * m))
+    return min(MATCH * m, max(min(max(FLOOR, MATCH * m // 2), FLOOR_MOST), least * MATCH * m))
 
 
 def _found(seeds: Seeds, block: kernel.Texts, least: float) -> dict[tuple[int, int], tuple[float, int, int]]:
@@ -265,9 +267,9 @@ def contaminated(
 ) -> DataFrame:
     """Rows (id, item_id, score, begin_word, end_word): documents that hold an item with a score of `least` or more.
 
-    score: the alignment's share of the best possible, 1 for a copy; of several passages the best. An item of less than
-    ten words has to be there whole, one of up to 28 words needs ten words' worth. begin_word and
-    end_word bound the passage, in words of the text as folded (Unicode case and ASCII punctuation aside). Null and empty texts
+    score: the alignment's share of the best possible, 1 for a copy; of several passages the best. An item of five
+    words or less has to be there whole, one of up to twelve needs half of the best possible score (nine points at
+    least), one of up to 18 needs 13 points. begin_word and end_word bound the passage, in words of the text as folded (Unicode case and ASCII punctuation aside). Null and empty texts
     hold nothing; items of fewer than three words cannot be told from chance and match nothing. Repeated rows are found
     as often as they occur. Further columns are ignored; an empty table on either side gives an empty result.
     """

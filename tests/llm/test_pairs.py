@@ -156,3 +156,22 @@ def test_upper_case_beyond_ascii(spark):
     got = decontamination.contaminated(docs, bench).collect()
     assert {(r.id, r.item_id): r.score for r in got} == {(10 * k + j, k): 1.0 for k, _ in items for j in range(4)}
     assert [r.doc_id for r in decontamination.clean_documents(docs, bench).collect()] == [99]
+
+
+def test_edited_copies_of_short_items(spark):
+    rng = random.Random(17)
+    items = [(100 * m + k, some_text(rng, m, 5000).replace("\n", " ")) for m in (8, 10, 12, 15, 18, 20) for k in range(20)]
+    docs = []
+    for i, t in items:
+        for j, n in enumerate((len(t.split()) // 4, len(t.split()) // 3)):
+            w = t.split()
+            for at in rng.sample(range(len(w)), n):
+                w[at] = f"z{rng.randrange(10_000)}"
+            docs.append((10 * i + j, "a b c d e f " + " ".join(w) + " g h i j k l", "en", "s", 0))
+        w = t.split()
+        docs.append((10 * i + 8, "a b c d e f " + " ".join(w[2 : 8 if len(w) > 12 else 6]) + " g h i j k l", "en", "s", 0))
+    got = {r.id for r in decontamination.contaminated(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for m in (8, 10, 12, 15, 18, 20):
+        for j in range(2):
+            assert sum(10 * (100 * m + k) + j in got for k in range(20)) >= 18, (m, j)
+    assert not any(i % 10 == 8 for i in got)  # four words of a short item, six of a longer one, may be chance
