@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontamination, jaccard_join, mixing, quality_rules, sharding
-from lectern.llm.common import read, written
+from lectern.llm.common import WORD, read, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,14 +15,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest doc_id. Rows without a doc_id stay."""
-    classes = written(jaccard_join.similar_documents(docs), "classes")
-    gone = classes.where("id <> class_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # a row that is repeated whole is its own copy
-    if classes.where("id is not null and id = class_id").groupBy("id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    """Of each class of near-duplicates the row with the smallest doc_id, rows without one last. Ids may repeat or be null.
+
+    Texts without words are like no other; of those only rows that are repeated whole, with their doc_id, go.
+    """
+    bare = F.col("doc_id").isNotNull() & ~F.coalesce("text", F.lit("")).rlike(WORD)
+    whole = F.when(bare, F.sha2(F.to_json(F.struct(*docs.columns)), 256))
+    # the key of a row is written, so that all readings agree on it
+    keyed = written(docs.select("*", F.monotonically_increasing_id().alias("_key"), whole.alias("_whole")), "keyed")
+    classes = jaccard_join.similar_documents(keyed, id_col="_key").select(F.col("id").alias("_key"), "class_id")
+    rows = keyed.select("doc_id", "_key", "_whole").join(classes, "_key")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).getField("_key")
+    kept = rows.groupBy(F.coalesce("_whole", F.col("class_id").cast("string"))).agg(first.alias("_key")).select("_key")
+    return keyed.join(kept, "_key", "left_semi").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

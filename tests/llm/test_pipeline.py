@@ -64,3 +64,15 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_without_unique_ids(spark, tmp_path):
+    rng = random.Random(8)
+    a, b, c, d = (some_text(rng, 120, 4000) for _ in range(4))
+    near = lambda t: mutated(rng, t, 1)
+    rows = [(None, t, "en", "s", len(t)) for t in (a, a, near(a), b, near(b), "", "")]
+    rows += [(7, t, "en", "s", len(t)) for t in (b, c, d, d, "", "")] + [(3, t, "en", "s", len(t)) for t in (near(c),)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
+    ids = Counter((r.doc_id, r.text) for r in got)
+    assert [sum(n for (i, t), n in ids.items() if i is None and t in {x[1] for x in rows[:3]}), len(got)] == [1, 7]
+    assert ids[7, b] == ids[7, d] == ids[7, ""] == ids[3, rows[-1][1]] == 1 and ids[None, ""] == 2 and not ids[7, c]
