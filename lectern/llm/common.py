@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,12 +14,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On one machine, where it is unset, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = own.get() if own.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -39,6 +42,62 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hidden(df: DataFrame, results: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """df with its columns named c0, c1, ..., so that an operator's own columns clash with none of them.
+
+    Also the new name of each column, and Columns that give all of them back. A column named like one of `results`, in any
+    case, comes back with underscores added.
+    """
+    inner = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    taken = {x.lower() for x in results} | {x.lower() for x in df.columns}
+    back = []
+    for k, c in enumerate(df.columns):
+        name = c
+        if c.lower() in {x.lower() for x in results}:
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+        back.append(F.col(f"c{k}").alias(name))
+    return inner, {c: f"c{k}" for k, c in enumerate(df.columns)}, back
+
+
+def free(name: str, df: DataFrame) -> str:
+    """name, with underscores added until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_key(df: DataFrame, name: str) -> DataFrame:
+    """df with a 64-bit name for each row that is the same in all readings: a hash of the file and the place it is read from.
+
+    Rows that come from anything but Parquet files are written first. Two rows share a name with a chance of 2**-64.
+    """
+    try:
+        place = df.metadataColumn("_metadata")
+        return df.withColumn(name, F.xxhash64(place["file_path"], place["row_index"]))
+    except AnalysisException:
+        table = written(df, "rows")
+        place = table.metadataColumn("_metadata")
+        return table.withColumn(name, F.xxhash64(place["file_path"], place["row_index"]))
+
+
+#: At most so many keys are handed out by broadcast.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined on key with a table of one row for each key, of which `weight` is the number of rows with that key.
+
+    Keys of more than a HOT-th of the `total` rows, at most HOT of them, are broadcast, so that their rows stay where they
+    are; no task of the shuffle for the others gets more than such a share for one key. how: inner or left.
+    """
+    hot = table.where(F.col(weight) * HOT > total)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(weight) * HOT <= total), key, how)
+    return rows.join(F.broadcast(hot), key).select(*rest.columns).unionByName(rest)
+
+
 def n_words(text: str | Column) -> Column:
     """How many words a text has; none for null."""
     parts = F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"[\x20\x09-\x0D]+")
@@ -53,20 +112,20 @@ def n_words(text: str | Column) -> Column:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (id, root), root the smallest id, one per id that an edge names.
 
-    Alternates large-star and small-star steps. Each step takes minima by a partially aggregated groupBy and hands
-    them back by a join (whose skewed partitions Spark splits), so that a hub with any number of neighbours is never
+    Alternates large-star and small-star steps. Each step takes minima by a partially aggregated groupBy and hands them
+    back by a join in which the hubs, at most HOT of them, are broadcast, so that the neighbours of one id are never
     gathered in one task; nothing but a row count and a checksum reaches the driver. Loops and repeated edges are
     allowed. The number of rounds grows with the logarithm of the number of ids; beyond max_rounds it raises.
     """
-    # u > v in every pair, in and out of each step
-    def large(pairs: DataFrame) -> DataFrame:
+    # u > v in every pair, in and out of each step; n rows come in, and as many go through each join
+    def large(pairs: DataFrame, n: int) -> DataFrame:
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+        return join_hot(both.where("v > u"), low, "u", "n", n).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
-    def small(pairs: DataFrame) -> DataFrame:
-        low = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        moved = pairs.join(low, "u").where("v <> m")
+    def small(pairs: DataFrame, n: int) -> DataFrame:
+        low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        moved = join_hot(pairs, low, "u", "n", n).where("v <> m")
         return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
 
     def counted(pairs: DataFrame) -> tuple[DataFrame, tuple]:
@@ -79,7 +138,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now, got = counted(small(large(now)))
+        now, got = counted(small(large(now, seen[0]), seen[0]))
         if got == seen:
             break
         seen = got
@@ -91,18 +150,30 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
-def gapless(df: DataFrame, group: list[str], order: Column, name: str, buckets: int = 4096) -> DataFrame:
+def gapless(df: DataFrame, group: list[str], order: Column, name: str, buckets: int = 4096, weight: str | None = None) -> DataFrame:
     """Number the rows of each group from 0 without gaps, in the order of a hash bucket and then of `order`.
 
-    No task gets a whole group: counts by (group, bucket) give each bucket its offset, and only a bucket is numbered
-    by a window. `order` is a Column whose hash spreads rows evenly (ties get any of their numbers). The columns of
-    `group` must not be null.
+    With a weight, each row gets the sum of the weights of those before it. No task gets a whole group: totals by (group,
+    bucket) give each bucket its offset, and only a bucket is numbered by a window. `order` is a Column of hashes that
+    tells rows apart and is the same in two readings. The columns of `group` must not be null; names that begin with
+    gapless_ are taken.
     """
-    rows = df.withColumn("_b", F.pmod(F.xxhash64(order), F.lit(buckets)))
-    counts = rows.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    own = Window.partitionBy(*group, "_b").orderBy(order)
-    numbered = rows.withColumn("_i", F.row_number().over(own) - 1)
+    rows = df.withColumn("gapless_b", F.pmod(F.xxhash64(order), F.lit(buckets)))
+    one = F.col(weight) if weight else F.lit(1)
+    totals = rows.groupBy(*group, "gapless_b").agg(F.sum(one).alias("gapless_n"))
+    before = Window.partitionBy(*group).orderBy("gapless_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*group, "gapless_b", F.coalesce(F.sum("gapless_n").over(before), F.lit(0)).alias("gapless_o"))
+    own = Window.partitionBy(*group, "gapless_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn("gapless_i", F.coalesce(F.sum(one).over(own), F.lit(0)))
     # equality on the window's own keys: the join takes its partitioning over
-    return numbered.join(offsets, [*group, "_b"]).select(*df.columns, (F.col("_o") + F.col("_i")).cast("long").alias(name))
+    return numbered.join(offsets, [*group, "gapless_b"]).select(*df.columns, (F.col("gapless_o") + F.col("gapless_i")).cast("long").alias(name))
+
+
+def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Number all rows from 0 in the order of some columns that tell them apart: by ranges, so that no task sorts them all."""
+    parts = written(df.repartitionByRange(*order).withColumn("ranked_p", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("ranked_p").agg(F.count(F.lit(1)).alias("ranked_n"))  # a row for each task
+    before = Window.orderBy("ranked_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("ranked_p", F.coalesce(F.sum("ranked_n").over(before), F.lit(0)).alias("ranked_o"))
+    own = F.row_number().over(Window.partitionBy("ranked_p").orderBy(*order))
+    return parts.withColumn("ranked_i", own).join(F.broadcast(offsets), "ranked_p").select(*df.columns, (F.col("ranked_o") + F.col("ranked_i") - 1).alias(name))

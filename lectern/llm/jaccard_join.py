@@ -2,10 +2,10 @@
 
 Method: a chosen-path join. Every distinct shingle set gets a signature of minwise values; a run starts from all sets
 and splits them recursively on sampled values (each node of the recursion samples its own coordinates, and sets that
-agree on one go on together), until a bucket is small enough to compare all its sets. How often runs find the same
-link again tells how many they miss, and runs are repeated in batches until that is no more than the target recall
-leaves. Buckets compare signatures with a margin below the threshold and hand on candidate links, large ones only a
-forest of them; connected candidates then meet once more with their whole sets, where every pair is decided by its
+agree on one go on together), until a bucket is small enough to compare all its sets. The chance that a run finds a link
+at the threshold follows from the number of splits it went through, and runs are repeated in batches until all of them
+together reach the target recall. Buckets compare signatures with a margin below the threshold and hand on a forest of
+candidate links; connected candidates then meet once more with their whole sets, where every pair is decided by its
 exact Jaccard similarity and counted.
 
 Scale: texts are read twice and never shuffled; signatures are shuffled only for sets that share a bucket, shingles
@@ -18,6 +18,7 @@ number, which a count of links needs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,14 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import components, read, written
+from .common import components, join_hot, read, written
 
 COORDINATES = 64
 #: Signatures count as candidates this far below the threshold: four standard errors of 64 coordinates.
 MARGIN = 0.2
 #: Sets in a block of a bucket or class, and shingles in a block of a class.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
-#: A bucket of up to so many sets hands on all its candidate links.
+#: Buckets of up to so many sets are compared by one numpy call instead of one for each coordinate; the result is the same.
 FEW = 8
 #: Bits of the filter that a second reading of the texts holds, at most (8 MB).
 FILTER_BITS = 1 << 26
@@ -40,26 +41,33 @@ FILTER_BITS = 1 << 26
 _MULTIPLY = kernel.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
 
+def _keys(names: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sets of shingles laid end to end: two hashes that name each set together, and its size."""
+    n = np.diff(at)
+    some = np.flatnonzero(n)
+    one, two = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    if len(some):
+        one[some] = np.add.reduceat(names, at[:-1][some])
+        two[some] = np.add.reduceat(kernel.mix(names ^ np.uint64(0x5851F42D4C957F2D)), at[:-1][some])
+    return kernel.mix(one + n.astype(np.uint64)).view(np.int64), two.view(np.int64), n
+
+
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, block in kernel.blocks(batch.column(1)):
                 names, at = kernel.shingles(block, k)
-                n = np.diff(at)
+                k1, k2, n = _keys(names, at)
                 some = np.flatnonzero(n)
-                begin = at[:-1][some]
-                one, two = np.zeros(block.n, np.uint64), np.zeros(block.n, np.uint64)
                 sig = np.zeros((block.n, COORDINATES), np.uint32)
                 if len(some):
-                    one[some] = np.add.reduceat(names, begin)
-                    two[some] = np.add.reduceat(kernel.mix(names ^ np.uint64(0x5851F42D4C957F2D)), begin)
                     for j in range(COORDINATES):
-                        sig[some, j] = np.minimum.reduceat((names * _MULTIPLY[j]) >> np.uint64(32), begin)
+                        sig[some, j] = np.minimum.reduceat((names * _MULTIPLY[j]) >> np.uint64(32), at[:-1][some])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
-                        pa.array(kernel.mix(one + n.astype(np.uint64)).view(np.int64)),
-                        pa.array(two.view(np.int64)),
+                        pa.array(k1),
+                        pa.array(k2),
                         pa.array(n.astype(np.int32)),
                         pa.ListArray.from_arrays(
                             pa.array(np.arange(block.n + 1, dtype=np.int32) * COORDINATES), pa.array(sig.view(np.int32).ravel())
@@ -72,33 +80,34 @@ def _signatures(k: int):
 
 
 def _shingle_rows(k: int, bits: np.ndarray):
-    """Of (id, text, h): the shingles of the texts whose h is in the filter."""
+    """Of (text, h): the names and shingles of the sets of texts whose h is in the filter, each once for a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.uint64(len(bits) * 64 - 1)
         for batch in batches:
-            h = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64) & mask
+            h = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64) & mask
             hit = (bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 1
             batch = batch.filter(pa.array(hit))
-            for lo, hi, block in kernel.blocks(batch.column(1)):
+            for _, _, block in kernel.blocks(batch.column(0)):
                 names, at = kernel.shingles(block, k)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.LargeBinaryArray.from_buffers(pa.large_binary(), block.n, [None, pa.py_buffer(at * 8), pa.py_buffer(names)]).cast(pa.binary())],
-                    names=["id", "shingles"],
-                )
+                k1, k2, n = _keys(names, at)
+                _, first = np.unique(np.stack([k1, k2]), axis=1, return_index=True)
+                first = np.sort(first[n[first] > 0])
+                sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), block.n, [None, pa.py_buffer(at * 8), pa.py_buffer(names)])
+                yield pa.RecordBatch.from_arrays([pa.array(k1[first]), pa.array(k2[first]), sets.take(pa.array(first)).cast(pa.binary())], names=["k1", "k2", "shingles"])
 
     return run
 
 
 def _candidates(least: float, threshold: float):
-    """Buckets of signatures -> (a, b, run): candidate links; of more than FEW sets a forest that joins what they join, as run -1."""
+    """Buckets of signatures -> (a, b): a forest that joins the sets of a bucket that candidate links join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in kernel.whole_groups(batches, ["path", "i", "j"]):
-            node, runs = table.column("node").to_numpy(), table.column("run").to_numpy()
+            node = table.column("node").to_numpy()
             n = table.column("n").to_numpy().astype(np.float64)
             sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
-            a, b, r = [], [], []
+            a, b = [], []
             for lo, hi in zip(at[:-1], at[1:], strict=True):
                 if hi - lo < 2:
                     continue
@@ -110,17 +119,12 @@ def _candidates(least: float, threshold: float):
                     for j in range(COORDINATES):
                         same += own[:, j][:, None] == own[:, j][None, :]
                 linked = (same >= least) & (np.minimum.outer(size, size) >= threshold * np.maximum.outer(size, size) - 1e-9)
-                if hi - lo <= FEW:
-                    x, y = np.nonzero(np.triu(linked, 1))
-                else:
-                    y = kernel.labels(linked)
-                    x = np.flatnonzero(y != np.arange(hi - lo))
-                    y = y[x]
+                y = kernel.labels(linked)
+                x = np.flatnonzero(y != np.arange(hi - lo))
                 a.append(node[lo:hi][x])
-                b.append(node[lo:hi][y])
-                r.append(runs[lo:hi][x] if hi - lo <= FEW else np.full(len(x), -1, np.int32))
+                b.append(node[lo:hi][y[x]])
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, r)], names=["a", "b", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
 
     return run
 
@@ -197,54 +201,64 @@ def _block_pairs(rows: DataFrame, key: str, n_blocks: Column) -> DataFrame:
     )
 
 
-def _run_batch(sets: DataFrame, runs: range, threshold: float, limit: int, depth: int, seed: int) -> DataFrame:
-    """Candidate links (a, b, run) of some runs. sets: (node, n, sig)."""
+def _share(threshold: float) -> int:
+    """With which chance, of 2**20, a split samples a coordinate: 1 / threshold coordinates on average."""
+    return int((1 << 20) / (threshold * COORDINATES))
+
+
+def least_recall(similarity: float, runs: int, splits: int, threshold: float) -> float:
+    """The chance that a link of this similarity is found, after so many runs in which no set was split more often.
+
+    The two signatures agree in s coordinates, binomially; fewer than the margin allows are never candidates. A run looks
+    at one coordinate, and at each split at those sampled, or if none is at one more; the link gets through where a
+    coordinate looked at is one of the s. It grows with the similarity, so no link above the threshold fares worse than
+    one at it.
+    """
+    rate = _share(threshold) / (1 << 20)
+    total = 0.0
+    for s in range(int(np.ceil((threshold - MARGIN) * COORDINATES)), COORDINATES + 1):
+        together = 1 - (1 - rate) ** s + (1 - rate) ** COORDINATES * s / COORDINATES
+        chance = s / COORDINATES * min(1.0, together) ** splits
+        total += comb(COORDINATES, s) * similarity**s * (1 - similarity) ** (COORDINATES - s) * (1 - (1 - chance) ** runs)
+    return total
+
+
+def _run_batch(sets: DataFrame, n_sets: int, runs: range, threshold: float, limit: int, depth: int, seed: int) -> tuple[DataFrame, int]:
+    """Candidate links (a, b) of some runs, and how often sets were split. sets: (node, n, sig)."""
     first = F.array(
-        *[F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(seed), F.lit(r), F.element_at("sig", 1 + (r * 37 + 11) % COORDINATES)).alias("path")) for r in runs]
+        *[F.struct(F.xxhash64(F.lit(seed), F.lit(r), F.element_at("sig", 1 + (r * 37 + 11) % COORDINATES)).alias("path")) for r in runs]
     )
-    level = sets.select("node", F.inline(first))
-    share = int((1 << 20) / (threshold * COORDINATES))
+    level, total = sets.select("node", F.inline(first)), n_sets * len(runs)
     out = []
     for d in range(depth + 1):
-        if d:
-            level = written(level, "paths")
         counts = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         large = Observation()
-        sized = written(level.join(counts, "path").observe(large, F.count_if(F.col("size") > limit).alias("n")), "sized")
+        sized = join_hot(level, counts, "path", "size", total)
+        sized = written(sized.observe(large, F.count_if(F.col("size") > limit).alias("n")), "sized")
         last = d == depth or not large.get["n"]
         out.append(sized if last else sized.where(F.col("size") <= limit))
         if last:
             break
         split = sized.where(F.col("size") > limit).join(sets.select("node", "sig"), "node")
         # a node samples its coordinates by its own path, so that all sets in it agree on them
-        child = F.filter(
+        sampled = F.filter(
             F.sequence(F.lit(0), F.lit(COORDINATES - 1)),
-            lambda c: F.pmod(F.xxhash64(F.lit(seed), F.col("path"), c), F.lit(1 << 20)) < share,
+            lambda c: F.pmod(F.xxhash64(F.lit(seed), F.col("path"), c), F.lit(1 << 20)) < _share(threshold),
         )
-        level = split.select("node", "run", "path", "sig", F.explode(child).alias("c")).select(
-            "node", "run", F.xxhash64("path", "c", F.element_at("sig", F.col("c") + 1)).alias("path")
+        spare = F.array(F.pmod(F.xxhash64(F.lit(seed), F.col("path"), F.lit(COORDINATES)), F.lit(COORDINATES)).cast("int"))
+        child = F.when(F.size(sampled) > 0, sampled).otherwise(spare)
+        paths = split.select("node", "path", "sig", F.explode(child).alias("c")).select(
+            "node", F.xxhash64("path", "c", F.element_at("sig", F.col("c") + 1)).alias("path")
         )
+        n = Observation()
+        level = written(paths.observe(n, F.count(F.lit(1)).alias("n")), "paths")
+        total = n.get["n"]
     buckets = out[0]
     for more in out[1:]:
         buckets = buckets.unionByName(more)
     blocked = _block_pairs(buckets.join(sets, "node"), "path", F.ceil(F.col("size") / limit))
     least = (threshold - MARGIN) * COORDINATES
-    return blocked.select("path", "i", "j", "node", "run", "n", "sig").mapInArrow(_candidates(least, threshold), "a long, b long, run int")
-
-
-def estimated_recall(links: int, hits: int, runs: int) -> float:
-    """Of `links` links found in `hits` (link, run) pairs: the share of all links that so many runs find.
-
-    If a run finds a link with probability p, a link that is found at all is found by runs * p / (1 - (1 - p) ** runs)
-    runs on average; p follows by bisection.
-    """
-    if not links:
-        return 1.0
-    mean, low, high = hits / links, 0.0, 1.0
-    for _ in range(50):
-        p = (low + high) / 2
-        low, high = (p, high) if runs * p < mean * (1 - (1 - p) ** runs) else (low, p)
-    return 1 - (1 - (low + high) / 2) ** runs
+    return blocked.select("path", "i", "j", "node", "n", "sig").mapInArrow(_candidates(least, threshold), "a long, b long"), d
 
 
 def similar_documents(
@@ -255,7 +269,6 @@ def similar_documents(
     threshold: float = 0.8,
     recall: float = 0.999,
     runs_at_once: int = 8,
-    max_batches: int = 8,
     limit: int = BLOCK_SETS,
     depth: int = 2,
     seed: int = 7,
@@ -265,61 +278,54 @@ def similar_documents(
     A link joins two rows whose sets of `words`-word shingles have a Jaccard similarity of `threshold` or more (words
     are runs without ASCII white space, compared as they are; a text of fewer words has one shingle of all of them).
     n_links counts the other rows linked to this one, copies included; class_id is the smallest id of the rows that
-    links connect. recall: runs go on until this share of the candidate links is estimated to be found (or max_batches are run).
+    links connect. recall: runs go on until a link at the threshold is found with this chance (least_recall); a recall that
+    no number of runs can reach is a ValueError.
 
-    Null and empty texts have no shingles: no links, a class of their own. Rows with equal ids must have equal texts;
-    whole repeated rows link to each other. Ids are below 2**62. A row without an id belongs to the class of the rows with
-    its shingles and counts as a link of theirs; if no row with an id has its shingles, it links only to its copies, and
-    class_id is a number above 2**62. Further columns are ignored, whatever their names. An empty table gives an empty
+    Null and empty texts have no shingles: no links, a class of their own, named by their id. Ids may repeat, with equal or
+    other texts, or be null, and are below 2**62: rows are compared by their texts alone. A class in which no row has an
+    id is named by a number above 2**62. Further columns are ignored, whatever their names. An empty table gives an empty
     result.
     """
+    if least_recall(threshold, COORDINATES, depth, threshold) < recall:
+        raise ValueError(f"a recall of {recall} is beyond signatures of {COORDINATES} coordinates")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = written(texts.mapInArrow(_signatures(words), "id long, k1 long, k2 long, n int, sig array<int>"), "signatures")
-    # a set that no row with an id has is named by its key, above all ids
-    unnamed = F.first("k1").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    signed = texts.mapInArrow(_signatures(words), "id long, k1 long, k2 long, n int, sig array<int>")
+    seen = Observation()
+    rows = written(signed.observe(seen, F.count(F.lit(1)).alias("n")), "signatures")
     groups = (
         rows.where("n > 0")
         .groupBy("k1", "k2")
-        .agg(F.coalesce(F.min("id"), unnamed).alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     )
-    sets = written(groups, "sets")
+    many = Observation()
+    sets = written(groups.withColumn("node", F.monotonically_increasing_id()).observe(many, F.count(F.lit(1)).alias("n")), "sets")
     signed = sets.select("node", "n", "sig")
 
     found: DataFrame | None = None
-    for b in range(max_batches):
-        more = _run_batch(signed, range(b * runs_at_once, (b + 1) * runs_at_once), threshold, limit, depth, seed)
-        more = more.groupBy("a", "b").agg(F.count_distinct(F.when(F.col("run") >= 0, F.col("run"))).alias("hits"), F.bool_or(F.col("run") < 0).alias("forest"))
-        if found is not None:
-            more = found.unionByName(more).groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.bool_or("forest").alias("forest"))
-        found = written(more, "found")
-        # what lies in large buckets is met there as a whole, by other edges in each run
-        wooded = found.where("forest").select(F.explode(F.array("a", "b")).alias("w")).distinct()
-        lone = found.where("hits > 0").join(wooded, F.col("a") == F.col("w"), "left_anti").join(wooded, F.col("b") == F.col("w"), "left_anti")
-        links, hits = lone.agg(F.count(F.lit(1)), F.sum("hits")).first()
-        if estimated_recall(links, hits or 0, (b + 1) * runs_at_once) >= recall:
-            break
+    runs = splits = 0
+    while runs == 0 or least_recall(threshold, runs, splits, threshold) < recall:
+        more, deep = _run_batch(signed, many.get["n"], range(runs, runs + runs_at_once), threshold, limit, depth, seed)
+        found = written((more if found is None else found.unionByName(more)).distinct(), "found")
+        runs, splits = runs + runs_at_once, max(splits, deep)
     known = written(components(found), "classes")
 
     candidates = known.select(F.col("id").alias("node"), "root")
-    n_candidates = candidates.count()
+    named = Observation()
+    of_class = candidates.join(sets.select("node", "k1", "k2", "first_id", "copies", "n"), "node")
+    of_class = written(of_class.observe(named, F.count(F.lit(1)).alias("n")), "members")
+    n_candidates = named.get["n"]
     width = 64
     while width < min(FILTER_BITS, 16 * n_candidates):
         width *= 2
-    slot = F.xxhash64("node").bitwiseAND(F.lit(width - 1))
-    filled = candidates.groupBy(F.shiftright(slot, 6).alias("w")).agg(
+    slot = F.xxhash64("first_id").bitwiseAND(F.lit(width - 1))
+    filled = of_class.groupBy(F.shiftright(slot, 6).alias("w")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("v")
     ).toPandas()
     bits = np.zeros(width // 64, np.uint64)
     bits[filled["w"].to_numpy(np.int64)] = filled["v"].to_numpy(np.int64).view(np.uint64)
-    shingled = (
-        texts.where("id is not null")
-        .withColumn("h", F.xxhash64("id"))
-        .mapInArrow(_shingle_rows(words, bits), "id long, shingles binary")
-        .withColumnRenamed("id", "node")
-    )
-    of_class = candidates.join(sets.select("node", "copies", "n"), "node")
+    shingled = texts.select("text", F.xxhash64("id").alias("h")).mapInArrow(_shingle_rows(words, bits), "k1 long, k2 long, shingles binary")
     sizes = of_class.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
-    meet = written(of_class.join(sizes, "root"), "meet").join(shingled, "node").dropDuplicates(["node"])
+    meet = written(join_hot(of_class, sizes, "root", "m", n_candidates), "meet").join(shingled.dropDuplicates(["k1", "k2"]), ["k1", "k2"])
     n_blocks = F.greatest(F.ceil(F.col("m") / limit), F.ceil(F.col("total") / BLOCK_SHINGLES))
     paired = _block_pairs(meet, "root", n_blocks)
     links = written(
@@ -330,13 +336,20 @@ def similar_documents(
     classes = components(links.where("not whole").select(F.col("node").alias("a"), F.col("label").alias("b"))).unionByName(
         links.where("whole").select(F.col("node").alias("id"), F.col("label").alias("root"))
     )
-    named = (
-        sets.select("k1", "k2", "node", "copies")
+    # a class is named by its smallest id; one that has none, by a number above all ids
+    unnamed = F.col("k1").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    linked = classes.withColumnRenamed("id", "node").join(sets.select("node", "first_id", unnamed.alias("unnamed")), "node")
+    in_class = Observation()
+    linked = written(linked.observe(in_class, F.count(F.lit(1)).alias("n")), "linked")
+    ids = linked.groupBy("root").agg(F.coalesce(F.min("first_id"), F.min("unnamed")).alias("class_id"), F.count(F.lit(1)).alias("m"))
+    of_node = join_hot(linked.select("node", "root"), ids, "root", "m", in_class.get["n"]).select("node", "class_id")
+    of_set = (
+        sets.select("k1", "k2", "node", "copies", F.coalesce("first_id", unnamed).alias("own_id"))
         .join(counted, "node", "left")
-        .join(classes.withColumnRenamed("id", "node"), "node", "left")
-        .select("k1", "k2", F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .join(of_node, "node", "left")
+        .select("k1", "k2", "copies", F.coalesce("class_id", "own_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    with_sets = rows.where("n > 0").select("id", "k1", "k2").join(named, ["k1", "k2"])
+    with_sets = join_hot(rows.where("n > 0").select("id", "k1", "k2"), written(of_set, "named"), ["k1", "k2"], "copies", seen.get["n"])
     return with_sets.select("id", "class_id", "n_links").unionByName(
         rows.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     )

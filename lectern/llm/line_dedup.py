@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import hidden, read, with_key, written
 
 #: White space at the ends of a line does not tell lines apart.
 _TRIM = " \t\r\x0b\x0c"
@@ -44,7 +44,6 @@ def boilerplate_lines(lines: DataFrame, min_sites: int, band: float, lg_k: int)
 
 def remove_boilerplate(
     docs: DataFrame,
-    id_col: str = "doc_id",
     text_col: str = "text",
     site_col: str = "source",
     min_sites: int = 8,
@@ -56,27 +55,30 @@ def remove_boilerplate(
     A line is boilerplate if at least min_sites different sites have it, apart from white space at its ends; every
     occurrence goes. n_lines counts the lines with a word, n_removed those that went; clean_text is what stays, joined
     by newlines (blank lines stay). A null text has no lines and stays null; an empty one stays empty. A null site is a
-    site. Null or repeated ids are allowed: which lines go depends on the text alone. At 2**lg_k registers the error of
-    an estimate is about 1.04 / 2**(lg_k / 2), so a band of a quarter lies beyond ten standard errors.
+    site. No id is needed: rows are told apart by their place, so that null, repeated or missing ids and whole repeated
+    rows do not matter. An empty table gives an empty result. Further columns stay; one named like a result gets an
+    underscore. At 2**lg_k registers the error of an estimate is about 1.04 / 2**(lg_k / 2), so a band of a quarter lies
+    beyond ten standard errors.
     """
+    rows, name, back = hidden(docs, ("n_lines", "n_removed", "clean_text"))
+    rows, text = with_key(rows, "key"), F.col(name[text_col])
     lines = written(
-        docs.select(F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"), F.explode(F.split(F.col(text_col), "\n")).alias("line"))
+        rows.select("key", F.col(name[site_col]).cast("string").alias("site"), F.explode(F.split(text, "\n")).alias("line"))
         .where(_has_word(F.col("line")))
-        .select("id", "site", _line_key(F.col("line")).alias("h")),
+        .select("key", "site", _line_key(F.col("line")).alias("h")),
         "lines",
     )
     found = written(boilerplate_lines(lines.select("h", "site"), min_sites, band, lg_k), "boilerplate")
-    marked = lines.select("id", "h").join(found, "h", "left_semi").groupBy("id").agg(F.collect_set("h").alias("_gone"))
-    split = F.split(F.col(text_col), "\n")
-    gone = F.coalesce(F.col("_gone"), F.array().cast("array<bigint>"))
-    joined = docs.join(marked.withColumnRenamed("id", "_id"), docs[id_col].eqNullSafe(F.col("_id")), "left")
-    kept = joined.withColumn("_kept", F.filter(split, lambda x: ~F.array_contains(gone, _line_key(x)) | ~_has_word(x)))
+    marked = lines.select("key", "h").join(found, "h", "left_semi").groupBy("key").agg(F.collect_set("h").alias("gone"))
+    split = F.split(text, "\n")
+    gone = F.coalesce(F.col("gone"), F.array().cast("array<bigint>"))
+    kept = rows.join(marked, "key", "left").withColumn("kept", F.filter(split, lambda x: ~F.array_contains(gone, _line_key(x)) | ~_has_word(x)))
     n_lines = F.coalesce(F.size(F.filter(split, _has_word)), F.lit(0)).cast("long")
     return kept.select(
-        *[docs[c] for c in docs.columns if c not in ("n_lines", "n_removed", "clean_text")],
-        F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split) - F.size("_kept")).cast("long").alias("n_removed"),
-        F.array_join("_kept", "\n").alias("clean_text"),
+        *back,
+        F.when(text.isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
+        F.when(text.isNull(), 0).otherwise(F.size(split) - F.size("kept")).cast("long").alias("n_removed"),
+        F.array_join("kept", "\n").alias("clean_text"),
     )
 
 

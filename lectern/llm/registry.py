@@ -19,6 +19,7 @@ SQL = {
     "op1_line_dedup": line_dedup.SQL,
     "op2_ngram_jaccard_join": jaccard_join.SQL,
     "op3_mixing": mixing.SQL,
+    "op4_warc": warc.SQL,
     "op6_url_filters": url_filters.SQL,
     "op7_quality_rules": quality_rules.SQL,
 }

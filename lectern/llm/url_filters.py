@@ -24,7 +24,9 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/"'?#\s>]+)"""
 #: Up to so many rules make one expression; more are joined by host.
 CHAIN = 200
-DAMPING, STEPS, RATIO = 0.85, 20, 4.0
+DAMPING, RATIO = 0.85, 4.0
+#: Ranks are done when a step moves less than this share of all rank; a step moves at most DAMPING times the one before.
+TOLERANCE, MOST_STEPS = 1e-9, 500
 
 
 @dataclass(frozen=True)
@@ -84,10 +86,11 @@ def host_links(pages: DataFrame, html_col: str) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagated(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
+def propagated(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Ranks (kind, host, score). seeds: (kind, host, share) with shares of 1 in sum for each kind, trust or distrust.
 
     Trust follows links, distrust follows them backwards. What a host without onward links holds returns to the seeds.
+    Steps go on until one moves less than `tolerance`; beyond MOST_STEPS it raises.
     """
     both = links.select(F.lit("trust").alias("kind"), F.col("src").alias("u"), F.col("dst").alias("v"), "n").unionByName(
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("u"), F.col("src").alias("v"), "n")
@@ -95,10 +98,10 @@ def propagated(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, ste
     totals = both.groupBy("kind", "u").agg(F.sum("n").alias("t"))
     edges = written(both.join(totals, ["kind", "u"]).select("kind", "u", "v", (F.col("n") / F.col("t")).alias("w")), "links")
     ranks = written(seeds.select("kind", "host", F.col("share").alias("score")), "ranks")
-    if edges.limit(1).count() == 0:
+    if edges.isEmpty():
         return ranks
     seeds = written(seeds, "seeds")
-    for _ in range(steps):
+    for _ in range(MOST_STEPS):
         onward = (
             ranks.join(edges, (ranks.kind == edges.kind) & (ranks.host == edges.u))
             .groupBy(edges.kind, F.col("v").alias("host"))
@@ -113,9 +116,9 @@ def propagated(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, ste
         old = ranks.select("kind", "host", F.col("score").alias("was"))
         change = new.join(old, ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
         ranks = new
-        if not change or change < 1e-9:
-            break
-    return ranks
+        if not change or change < tolerance:
+            return ranks
+    raise RuntimeError(f"propagated: ranks still move after {MOST_STEPS} steps")
 
 
 def judged(
@@ -163,20 +166,10 @@ def _sql() -> str:
     fits = [f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))" for r in best]
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{r.name}'" for f, r in zip(fits, best, strict=True)) + " END"
     verdict = "CASE " + " ".join(f"WHEN {f} THEN '{r.verdict}'" for f, r in zip(fits, best, strict=True)) + " END"
-    steps = "".join(
-        f""", o{k} AS MATERIALIZED (
-  SELECT e.kind, e.v AS host, sum(r.score * e.w) AS flow FROM r{k - 1} r JOIN e ON r.kind = e.kind AND r.host = e.u GROUP BY ALL
-), r{k} AS MATERIALIZED (
-  SELECT kind, host, sum(score) AS score FROM (
-    SELECT seeds.kind, host, share * (1 - {DAMPING} * coalesce(m.moved, 0)) AS score
-    FROM seeds LEFT JOIN (SELECT kind, sum(flow) AS moved FROM o{k} GROUP BY kind) m ON m.kind = seeds.kind
-    UNION ALL SELECT kind, host, flow * {DAMPING} FROM o{k}) GROUP BY kind, host
-)"""
-        for k in range(1, STEPS + 1)
-    )
     link = _LINK.replace("'", "''")
+    # 0.85 ** 150 is below the tolerance
     return rf"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), b AS (
   SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
@@ -194,9 +187,20 @@ WITH u AS (
   WHERE src <> dst GROUP BY src, dst
 ), bi AS (SELECT 'trust' AS kind, src AS u, dst AS v, n FROM l UNION ALL SELECT 'distrust', dst, src, n FROM l
 ), e AS MATERIALIZED (SELECT kind, u, v, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY kind, u) AS w FROM bi
-), r0 AS (SELECT kind, host, share AS score FROM seeds){steps}, x AS (
+), r(step, kind, host, score) AS (
+  SELECT 0, kind, host, share FROM seeds
+  UNION ALL
+  SELECT step, kind, host, sum(score) FROM (
+    SELECT r.step + 1 AS step, e.kind, e.v AS host, {DAMPING} * r.score * e.w AS score FROM r JOIN e ON r.kind = e.kind AND r.host = e.u WHERE r.step < 150
+    UNION ALL
+    SELECT t.step + 1, seeds.kind, seeds.host, share * (1 - {DAMPING} * coalesce(m.moved, 0))
+    FROM seeds CROSS JOIN (SELECT max(step) AS step FROM r) t
+      LEFT JOIN (SELECT r.kind, sum(r.score * e.w) AS moved FROM r JOIN e ON r.kind = e.kind AND r.host = e.u GROUP BY r.kind) m ON m.kind = seeds.kind
+    WHERE t.step < 150) GROUP BY step, kind, host
+), z AS (SELECT kind, host, score FROM r WHERE step = 150
+), x AS (
   SELECT h.host FROM h
-  LEFT JOIN r{STEPS} t ON t.host = h.host AND t.kind = 'trust' LEFT JOIN r{STEPS} d ON d.host = h.host AND d.kind = 'distrust'
+  LEFT JOIN z t ON t.host = h.host AND t.kind = 'trust' LEFT JOIN z d ON d.host = h.host AND d.kind = 'distrust'
   WHERE coalesce(d.score, 0) > {RATIO} * (coalesce(t.score, 0) + CAST(h.n AS DOUBLE) / (SELECT sum(n) FROM h))
 )
 SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN host IN (SELECT host FROM x) THEN 'block' END, 'allow') AS verdict FROM p

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, read, written
+from .common import fresh_path, join_hot, read, with_key, written
 
 #: An archive is closed beyond so many bytes; the reader asks for so many at a time; headers end within so many.
 ARCHIVE, PIECE, HEADER = 64 << 20, 1 << 16, 1 << 20
@@ -31,11 +31,18 @@ _NAMES = uuid.UUID("6a0d7c1e-52a7-5d7e-9c38-1f0f3d0f4c55")
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: Hadoop's names of stores that Arrow knows by another.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
 def filesystem(path: str):
-    """The store of a path, for executors: (pyarrow file system, path in it)."""
+    """The store of a path, for executors: (pyarrow file system, path in it). Stores that Arrow does not know are an error."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"file://{path.removeprefix('file:')}")
+    scheme, mark, rest = path.partition("://")
+    if not mark:
+        return fs.FileSystem.from_uri(path if path.startswith("/") else f"file://{path.removeprefix('file:')}")
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def base32_sha1(data: bytes) -> str:
@@ -54,16 +61,17 @@ def record(fields: list[tuple[str, str | None]], block: bytes) -> bytes:
     return squeeze.compress(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n") + squeeze.flush()
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, name: str, refers_to: str | None, date: str) -> bytes:
+    """The record called name; with refers_to, the name of another, a revisit of that one."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = refers_to is not None
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", record_id(str(page_id))),
+        ("WARC-Record-ID", record_id(name)),
         ("WARC-Date", date),
         ("WARC-Target-URI", url),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
-        ("WARC-Refers-To", record_id(str(refers_to)) if revisit else None),
+        ("WARC-Refers-To", record_id(refers_to) if revisit else None),
         ("WARC-Profile", _REVISIT if revisit else None),
         ("X-Page-Id", None if page_id is None else str(page_id)),
         ("Content-Type", "application/http;msgtype=response"),
@@ -175,7 +183,7 @@ def _write(folder: str, date: str) -> Callable:
             return pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "records": n, "bytes": size}], pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
         for batch in batches:
-            ids, urls, refers = (batch.column(k).to_pylist() for k in (0, 1, 3))
+            ids, urls, names, refers = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
             html = pc.fill_null(batch.column(2).cast(pa.binary()), b"")
             for k in range(batch.num_rows):
                 if out is None:
@@ -183,7 +191,7 @@ def _write(folder: str, date: str) -> Callable:
                     name = f"pages-{uuid.uuid4().hex}.warc.gz"
                     out, size, n = store.open_output_stream(f"{base}/{name}", compression=None), 0, 0
                 payload = html[k].as_py()
-                data = page_record(ids[k], urls[k], payload, base32_sha1(payload), refers[k], date)
+                data = page_record(ids[k], urls[k], payload, base32_sha1(payload), names[k], refers[k], date)
                 out.write(data)
                 size += len(data)
                 n += 1
@@ -199,16 +207,20 @@ def _write(folder: str, date: str) -> Callable:
 def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write each row as a record, and return the manifest (path, records, bytes), itself a written table.
 
-    Of rows with equal payloads (null: empty) the one with the smallest id is a response; the others are revisits that
-    refer to it. Whole repeated rows with that id are responses each. A null id is a revisit unless all rows of that
-    payload lack an id. Further columns are ignored. An empty table gives no archive.
+    Of rows with equal payloads (null: empty) the one with the smallest id, ids before none, is a response; the others are
+    revisits that refer to it. Whole repeated rows are records of their own: one is the response, the rest revisit it.
+    A record's id is made from the page's and the row's place, so that no two are equal. Further columns are ignored. An
+    empty table gives no archive.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn(
-        "sha", F.sha1(F.coalesce(F.col("html"), F.lit("")))
-    )
-    first = rows.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
-    planned = rows.join(first, "sha", "left").select(
-        "id", "url", "html", F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id")), F.col("first")).alias("refers_to")
+    rows = with_key(pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), "key")
+    rows = rows.withColumn("sha", F.sha1(F.coalesce(F.col("html"), F.lit(""))))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    first = rows.groupBy("sha").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = written(first.select("sha", "n", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key")), "payloads")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    name = lambda i, k: F.concat(F.coalesce(F.col(i).cast("string"), F.lit("-")), F.lit("/"), F.hex(k))
+    planned = join_hot(rows, first, "sha", "n", total, "left").select(
+        "id", "url", "html", name("id", "key").alias("name"), F.when(F.col("first_key") != F.col("key"), name("first_id", "first_key")).alias("refers_to")
     )
     return written(planned.mapInArrow(_write(folder, date), "path string, records long, bytes long"), "manifest")
 
@@ -217,7 +229,8 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Fal
     """Read the archives a manifest names: a row for each record, with every digest verified.
 
     Columns: page_id, url, record_id, record_type, refers_to_id, payload_bytes (of what the record holds),
-    payload_digest, payload (null unless asked for).
+    payload_digest, payload (null unless asked for). Pages without an id or a url have nulls; an empty manifest gives no
+    rows; a path that it names twice is read twice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,24 +253,47 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Fal
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     n = max(1, manifest.count())
-    return manifest.select("path").repartition(n, "path").mapInArrow(
+    # ranges of the paths' order, as many as paths: one archive a task
+    return manifest.select("path").repartitionByRange(n, "path").mapInArrow(
         run, "page_id long, url string, record_id string, record_type string, refers_to_id string, payload_bytes long, payload_digest string, payload binary"
     )
 
 
 def resolved(found: DataFrame) -> DataFrame:
-    """Records with payload_bytes and refers_to (a page id) of revisits taken from the response that they refer to."""
+    """Records with payload_bytes and refers_to (a page id) of revisits taken from the response that they refer to.
+
+    A revisit whose response is missing, or has another digest, is an error. refers_to is null if the response's page has
+    no id. Ids may be null or repeat. Large numbers of revisits of one response are met by broadcast.
+    """
     found = written(found.drop("payload"), "records")
     responses = found.where("record_type = 'response'").select(
-        F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest")
-    ).dropDuplicates(["refers_to_id"])
-    revisits = found.where("record_type = 'revisit'").join(responses, "refers_to_id", "left")
-    good = F.when(F.col("_digest") == F.col("payload_digest"), F.col("_bytes")).otherwise(F.raise_error("a revisit's digest is not its response's"))
+        F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("response_bytes"), F.col("payload_digest").alias("response_digest")
+    )
+    revisits = found.where("record_type = 'revisit'")
+    counts = written(revisits.groupBy("refers_to_id").agg(F.count(F.lit(1)).alias("n")).join(responses, "refers_to_id", "left"), "responses")
+    met = join_hot(revisits.select("page_id", "url", "payload_digest", "record_type", "refers_to_id"), counts, "refers_to_id", "n", counts.agg(F.sum("n")).first()[0] or 0)
+    good = F.when(F.col("response_digest") == F.col("payload_digest"), F.col("response_bytes")).otherwise(F.raise_error("a revisit's digest is not its response's"))
     return found.where("record_type = 'response'").select(
         "page_id", "url", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")
-    ).unionByName(revisits.select("page_id", "url", good.cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"))
+    ).unionByName(met.select("page_id", "url", good.cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     manifest = write_archives(read(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
     return resolved(read_archives(spark, manifest)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+    row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id) AS k, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+  FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, k, first, list_transform(range(8), lambda i: CAST('0x' || substr(h, CAST(i * 5 + 1 AS INT), 5) AS BIGINT)) AS parts FROM p
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((parts[i // 4 + 1] >> (15 - 5 * (i % 4))) % 32 + 1 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first END AS refers_to
+FROM d
+"""

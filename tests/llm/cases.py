@@ -30,9 +30,17 @@ def edge_rows(seed: int = 0) -> list[tuple]:
     return rows
 
 
+#: Names that the operators use inside or for results.
+NAMES = """
+id size path n h node root _b shard host rule line kept a b item_id score links sig sha key k1 k2 sk b h none turn weight cut_b cut_h cut_size cut_words whole rest target
+source_size taken words g piece crc run place begins first rows i slot law text_crc32 grown_shard n_lines n_removed clean_text gone site gapless_b gapless_n gapless_i gapless_o
+ranked_p ranked_i ranked_o c0 c1 c2 c99 _metadata _h _sk _size _rest _whole _at _g _o _s1 _i _bin _id _gone _kept _key _n block copies m total label class_id n_links
+""".split()
+
+
 def clashing(df):
-    """The same rows with further columns whose names operators might use inside."""
+    """The same rows with further columns whose names operators might use inside, each with a value of its own."""
     from pyspark.sql import functions as F
 
-    names = ("id", "size", "path", "n", "h", "node", "root", "_b", "shard", "host", "rule", "line", "kept", "a", "b", "item_id", "score", "links", "sig", "sha")
-    return df.select("*", *[F.lit("extra").alias(n) for n in names if n not in df.columns])
+    names = [c for c in dict.fromkeys(NAMES) if c not in df.columns]
+    return df.select("*", *[F.lit(-k if k % 2 else f"extra {k}").alias(c) for k, c in enumerate(names)])

@@ -54,6 +54,15 @@ def test_join(spark, limit):
     assert sorted(((r.id, r.class_id, r.n_links) for r in got.collect()), key=str) == brute(rows)
 
 
+def test_join_repeated_ids(spark):
+    """Rows of one id with other texts are compared by their texts."""
+    rng = random.Random(2)
+    a, b, c = (some_text(rng, 80, 3000) for _ in range(3))
+    rows = [(7, a, None, None, None), (7, b, None, None, None), (8, mutated(rng, b, 1), None, None, None), (9, c, None, None, None), (9, c, None, None, None), (None, mutated(rng, c, 1), None, None, None)]
+    got = sorted((r.id or 0, r.class_id, r.n_links) for r in jaccard_join.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(0, 9, 2), (7, 7, 0), (7, 7, 1), (8, 7, 1), (9, 9, 2), (9, 9, 2)]
+
+
 def test_join_null_ids_and_empty(spark):
     t = "a b c d e f g h i j"
     rows = [(None, t, None, None, None), (5, t, None, None, None), (None, None, None, None, None), (None, "lone words that are here alone", None, None, None)]
@@ -62,10 +71,40 @@ def test_join_null_ids_and_empty(spark):
     assert jaccard_join.similar_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_estimated_recall():
-    assert jaccard_join.estimated_recall(0, 0, 8) == 1
-    assert jaccard_join.estimated_recall(1000, 8000, 8) > 0.999
-    assert jaccard_join.estimated_recall(1000, 1100, 8) < 0.9
+def test_least_recall():
+    r = jaccard_join.least_recall
+    assert r(0.8, 8, 0, 0.8) > 0.9995 and r(0.8, 8, 1, 0.8) > r(0.8, 8, 2, 0.8) > 0.99 and r(0.8, 16, 2, 0.8) >= 0.999
+    assert r(0.8, 8, 2, 0.8) < r(0.82, 8, 2, 0.8) < r(0.9, 8, 2, 0.8)
+    # a draw of the process itself
+    rng = random.Random(4)
+    hits, rate = 0, jaccard_join._share(0.8) / (1 << 20)
+    for _ in range(4000):
+        same = [rng.random() < 0.8 for _ in range(64)]
+        own = 0
+        for k in rng.sample(range(64), 4):
+            through = same[k]
+            for _ in range(2):
+                looked = [c for c in range(64) if rng.random() < rate] or [rng.randrange(64)]
+                through = through and any(same[c] for c in looked)
+            own += through
+        hits += own > 0 and sum(same) >= 38.4
+    assert abs(hits / 4000 - r(0.8, 4, 2, 0.8)) < 0.02
+
+
+def test_recall_that_signatures_cannot_reach(spark):
+    with pytest.raises(ValueError):
+        jaccard_join.similar_documents(spark.createDataFrame([], SCHEMA), recall=0.99999)
+
+
+def test_links_of_crowded_buckets(spark):
+    """Documents of one template, some of them near copies just above the threshold: splits lose none of them."""
+    rng = random.Random(21)
+    common = some_text(rng, 55, 3000)
+    base = [common + " " + some_text(rng, 45, 3000) for _ in range(60)]
+    texts = base + [mutated(rng, t, 2) for t in base]
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(texts)]
+    got = jaccard_join.similar_documents(spark.createDataFrame(rows, SCHEMA), limit=8).collect()
+    assert sorted(((r.id, r.class_id, r.n_links) for r in got), key=str) == brute(rows)
 
 
 def align(item, doc):

@@ -10,6 +10,8 @@ import pytest
 from lectern.llm import url_filters, warc
 from lectern.llm.common import fresh_path
 
+from .cases import clashing
+
 PAGES = "page_id long, url string, html string"
 
 
@@ -21,15 +23,11 @@ def pages():
 
 
 def expected(rows):
-    first = {}
-    for i, _, h in rows:
-        if i is not None:
-            first[h or ""] = min(first.get(h or "", i), i)
-    out = []
-    for i, _, h in rows:
+    first, out = {}, []
+    for i, _, h in sorted(rows, key=lambda r: (r[0] is None, r[0])):
         data = (h or "").encode()
-        to = first.get(h or "")
-        revisit = to is not None and to != i
+        revisit = data in first
+        to = first.setdefault(data, i)
         out.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", to if revisit else None))
     return sorted(out, key=str)
 
@@ -52,9 +50,19 @@ def test_round_trip(spark, monkeypatch, size):
 def test_empty_and_repeated(spark):
     none = warc.write_archives(spark.createDataFrame([], PAGES), fresh_path(spark, "warc"))
     assert none.count() == 0 and warc.resolved(warc.read_archives(spark, none)).count() == 0
-    rows = [(1, "u", "x"), (1, "u", "x"), (2, "u", "x")]
-    got = warc.resolved(warc.read_archives(spark, warc.write_archives(spark.createDataFrame(rows, PAGES), fresh_path(spark, "warc")))).collect()
-    assert sorted((r.page_id, r.record_type, r.refers_to or -1) for r in got) == [(1, "response", -1), (1, "response", -1), (2, "revisit", 1)]
+    rows = [(1, "u", "x"), (1, "u", "x"), (2, "u", "x"), (None, None, "y"), (None, None, "y")]
+    found = warc.read_archives(spark, warc.write_archives(clashing(spark.createDataFrame(rows, PAGES)), fresh_path(spark, "warc")))
+    got = warc.resolved(found).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or -1) for r in got) == [(0, "response", -1), (0, "revisit", -1), (1, "response", -1), (1, "revisit", 1), (2, "revisit", 1)]
+    assert len({r.record_id for r in found.collect()}) == len(rows)
+
+
+def test_file_systems():
+    store, path = warc.filesystem("/tmp/a")
+    assert store.type_name == "local" and path == "/tmp/a"
+    assert warc.filesystem("file:///tmp/a")[1] == warc.filesystem("file:/tmp/a")[1] == "/tmp/a"
+    with pytest.raises(Exception):
+        warc.filesystem("nosuch://x/a")
 
 
 def one(payload=b"hello", **change):
@@ -123,6 +131,18 @@ def test_rules(spark, monkeypatch, chain):
     assert len(got) == len(URLS)
 
 
+def test_propagation_goes_on_to_the_end(spark, monkeypatch):
+    """A chain of more steps than a few, and ranks that are not done in time."""
+    links = spark.createDataFrame([(f"h{k:02}", f"h{(k + 1) % 24:02}", 1) for k in range(24)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("trust", "h00", 1.0)], "kind string, host string, share double")
+    got = {r.host: r.score for r in url_filters.propagated(links, seeds, damping=0.6, tolerance=1e-6).collect() if r.kind == "trust"}
+    total = sum(0.6**k for k in range(24))
+    assert len(got) == 24 and all(abs(got[f"h{k:02}"] - 0.6**k / total) < 1e-5 for k in range(24))
+    monkeypatch.setattr(url_filters, "MOST_STEPS", 3)
+    with pytest.raises(RuntimeError):
+        url_filters.propagated(links, seeds)
+
+
 def test_propagation(spark):
     rng = random.Random(8)
     hosts = [f"h{k}.site{k % 4}.info" for k in range(14)] + ["good.example", "bad.example"]
@@ -137,7 +157,7 @@ def test_propagation(spark):
 
     def rank(seed, out):
         score = {seed: 1.0}
-        for _ in range(url_filters.STEPS):
+        for _ in range(150):
             new, kept = {}, 0.0
             for u, x in score.items():
                 total = sum(n for (a, _), n in out.items() if a == u)
