@@ -1,19 +1,23 @@
 """Benchmark decontamination: which documents hold passages of test items, copied, edited or paraphrased.
 
 Method: rare n-gram seeds join training passages to test items, then Smith-Waterman alignment scores each passage. Seeds
-are the items' word trigrams; their document frequencies are counted over the whole corpus, and those that are common
-beside the other seeds of their item count only three together. Where a document has a rare seed, or three common ones
-in a passage, the words around, twice the item's length at least, are aligned with the item's words (match 2, mismatch and gap -1); the score is the share of the best
-possible alignment of the whole item. On the test tables chance scores stay below 0.25 and copies reach 0.9; with a
-third of an item's words replaced, items of 8 to 20 words still reach the threshold in nine of ten cases or more.
+are the items' word trigrams. Those that many items share tell nothing about any of them, so documents meet an item by
+its own seeds, which a few items have at most; their document frequencies are counted over the whole corpus. A rare own
+seed makes a passage, a common one does where it and other seeds of the item, shared ones too, are three together. The
+words around are aligned with the item's words in a band about the diagonal of the seeds, half the item's length wide on
+either side, 64 words at most beyond the seeds' cell (match 2, mismatch and gap -1); the score is the share of the best
+possible alignment of the whole item. On the test tables chance scores stay below 0.25 and copies reach 0.9. Tests hold
+the recall by the rate of edits; the README has the figures.
 
 Scale: texts are mapped over twice for each block of items and never shuffled; what is aggregated is a count for each
 seed. Items are the stated query set, taken in blocks of bounded size, so a block's seeds have a fixed bound as a
-broadcast; the number of passes grows with the number of blocks.
+broadcast; the number of passes grows with the number of blocks. A hit of a seed is repeated for the few items whose own
+it is, so that stems of a benchmark cost no more than other words.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +31,9 @@ from .common import read
 
 GRAM = 3
 #: Items in a block, and bytes of their texts, on average.
-ITEMS, ITEM_BYTES = 20_000, 64 << 20
+ITEMS, ITEM_BYTES = 20_000, 8 << 20
+#: A seed is an item's own if so many different items have it at most; an item without any takes those that fewest have.
+SHARED = 8
 #: A seed is rare up to so many documents, to this share of all, or to so many times its item's median.
 RARE, RARE_SHARE, RARE_TIMES = 100, 1e-4, 8
 #: A passage needs one rare seed, or so many common ones.
@@ -46,12 +52,21 @@ LEAST = 0.35
 FLOOR, FLOOR_MOST = 9, 13
 
 
+#: Characters of scripts that put no spaces between words; each is a word.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+
+
+def _unicode(text: bytes) -> bytes:
+    if text.isascii():
+        return text
+    return _UNSPACED.sub(r" \1 ", text.decode("utf-8", "surrogateescape").casefold()).encode("utf-8", "surrogateescape")
+
+
 def folded(block: kernel.Texts) -> kernel.Texts:
     """The same texts as alignment sees them. Letters beyond ASCII go by Unicode case folding, which may change their bytes."""
     if (block.data > 127).any():
         data = block.data.tobytes()
-        texts = [data[a:b] for a, b in zip(block.at[:-1], block.at[1:], strict=True)]
-        texts = [t if t.isascii() else t.decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape") for t in texts]
+        texts = [_unicode(data[a:b]) for a, b in zip(block.at[:-1], block.at[1:], strict=True)]
         block = kernel.Texts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
     return block.mapped(FOLD)
 
@@ -66,41 +81,68 @@ def folded_words(texts: list[str]) -> list[np.ndarray]:
 
 
 def best_alignments(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smith-Waterman of one item with many windows (rows of word names): the best scores, and where they end."""
-    b, width = windows.shape
-    ramp = np.arange(width + 1, dtype=np.int32) * GAP
-    above = np.zeros((b, width + 1), np.int32)
+    """Smith-Waterman of one item with many windows (rows of word names): the best scores, and where they end.
+
+    In a band: the item's word i meets the words i, i + 1, ... of a window, as many as windows are longer than the item,
+    and one more. Time and memory are the band's, not the window's.
+    """
+    b, band = len(windows), windows.shape[1] - len(item) + 1
+    ramp = np.arange(band, dtype=np.int32) * GAP
+    above = np.zeros((b, band), np.int32)
     best, end = np.zeros(b, np.int32), np.zeros(b, np.int64)
-    for word in item:
-        row = np.zeros((b, width + 1), np.int32)
-        row[:, 1:] = np.maximum(above[:, :-1] + np.where(windows == word, MATCH, -MISS), above[:, 1:] - GAP)
+    for i, word in enumerate(item):
+        row = above + np.where(windows[:, i : i + band] == word, np.int32(MATCH), np.int32(-MISS))
+        np.maximum(row[:, :-1], above[:, 1:] - GAP, out=row[:, :-1])  # a word of the item left out
         np.maximum(row, 0, out=row)
-        row = np.maximum.accumulate(row + ramp, axis=1) - ramp
+        row = np.maximum.accumulate(row + ramp, axis=1) - ramp  # words of the window left out
         top = row.argmax(1)
         score = row[np.arange(b), top]
         better = score > best
-        best[better], end[better] = score[better], top[better]
+        best[better], end[better] = score[better], i + top[better] + 1
         above = row
     return best, end
 
 
+def cell(m: int) -> tuple[int, int]:
+    """For an item of m words: hits whose starts lie in one cell of so many words are one passage, and the slack about it."""
+    step = max(min(m // 4, 64), 2)
+    return step, min(m // 4, 64) + step + 4
+
+
 class Seeds:
-    """The seeds of a block of items: names in order, and for each the items and places that have it."""
-
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids, self.items = ids, folded_words(texts)
-        names, item, place = [], [], []
-        for k, words in enumerate(self.items):
-            got, _ = kernel.grams(words, np.array([0, len(words)]), GRAM)
-            names.append(got)
-            item.append(np.full(len(got), k))
-            place.append(np.arange(len(got)))
+    """The seeds of a block of items. Items with equal words are one; `ids` has the ids of each.
+
+    of, item, place: the own seeds, by name, and the item and the word in it where each is; names: their names, once.
+    grams: the names of all seeds of an item, in order.
+    """
+
+    def __init__(self, ids: list[int | None], texts: list[str]):
+        by: dict[bytes, tuple[np.ndarray, list]] = {}
+        for i, words in zip(ids, folded_words(texts), strict=True):
+            if len(words) >= GRAM:
+                by.setdefault(words.tobytes(), (words, []))[1].append(i)
+        self.ids, self.items = [x[1] for x in by.values()], [x[0] for x in by.values()]
+        all_grams = [kernel.grams(w, np.array([0, len(w)]), GRAM)[0] for w in self.items]
         join = lambda x, kind: np.concatenate([*x, np.zeros(0, kind)]).astype(kind)
-        names, item, place = join(names, np.uint64), join(item, np.int64), join(place, np.int64)
+        names = join(all_grams, np.uint64)
+        item = join([np.full(len(g), k) for k, g in enumerate(all_grams)], np.int64)
+        place = join([np.arange(len(g)) for g in all_grams], np.int64)
+        self.grams = [np.unique(g) for g in all_grams]
+        once, n_items = np.unique(join(self.grams, np.uint64), return_counts=True)
+        shared = n_items[np.searchsorted(once, names)] if len(names) else np.zeros(0, np.int64)
+        least = np.full(len(self.items), SHARED)
+        fewest = np.full(len(self.items), np.iinfo(np.int64).max)
+        np.minimum.at(fewest, item, shared)
+        least = np.maximum(least, fewest) if len(self.items) else least
+        own = shared <= least[item] if len(names) else np.zeros(0, bool)
+        self.has_shared = np.zeros(len(self.items), bool)
+        self.has_shared[item[~own]] = True
+        names, item, place = names[own], item[own], place[own]
         order = np.lexsort((place, item, names))
         self.of, self.item, self.place = names[order], item[order], place[order]
         self.names = np.unique(self.of)
-        self.rare = np.ones(len(self.of), bool)
+        self.lengths = np.array([len(w) for w in self.items], np.int64)
+        self.step = np.array([cell(m)[0] for m in self.lengths], np.int64)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.names >> np.uint64(44)).astype(np.int64)] = True
 
@@ -113,15 +155,17 @@ class Seeds:
         true = self.names[at] == names[maybe]
         return maybe[true], at[true]
 
-    def mark_rare(self, counts: np.ndarray, n_docs: int) -> None:
-        """Tell seeds that are rare from those that many documents have, beside the median of their item's seeds that any has."""
+    def rare(self, counts: np.ndarray, n_docs: int) -> np.ndarray:
+        """Which own seeds are rare: not those that many documents have, beside the median of their item's seeds that any has."""
+        rare = np.ones(len(self.of), bool)
         of = np.searchsorted(self.names, self.of)
         order = np.argsort(self.item, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1):
             df = counts[of[own]]
             seen = df[df > 0]
             if len(seen):
-                self.rare[own] = df <= max(RARE, RARE_SHARE * n_docs, RARE_TIMES * np.median(seen))
+                rare[own] = df <= max(RARE, RARE_SHARE * n_docs, RARE_TIMES * np.median(seen))
+        return rare
 
 
 def _frequencies(shared):
@@ -140,30 +184,31 @@ def _frequencies(shared):
     return run
 
 
-def _passages(seeds: Seeds, block: kernel.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where documents and items may meet: (text, item, first word of the window), hits of one passage joined."""
-    names, at = block.grams(GRAM)
+def _passages(seeds: Seeds, rare: np.ndarray, names: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where documents and items may meet: (text, item, first word of the cell, whether that is sure).
+
+    Hits of one cell are one passage. Not sure are those whose few common seeds count only with shared ones about them.
+    """
     where, seed = seeds.hits(names)
     if not len(where):
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4
     text = np.searchsorted(at, where, "right") - 1
     word = where - at[text]
     begin = np.searchsorted(seeds.of, seeds.names[seed], "left")
     count = np.searchsorted(seeds.of, seeds.names[seed], "right") - begin
     k = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
     text, word, item = np.repeat(text, count), np.repeat(word, count), seeds.item[k]
-    lengths = np.array([len(w) for w in seeds.items])
     # the item's first word would be here; hits whose starts lie close belong to one passage
-    start = word - seeds.place[k]
-    order = np.lexsort((start, item, text))
-    text, item, start, rare = text[order], item[order], start[order], seeds.rare[k][order]
-    step = np.maximum(lengths[item] // 4, 2)
-    cell = np.floor_divide(start, step)
+    place = np.floor_divide(word - seeds.place[k], seeds.step[item])
+    order = np.lexsort((place, item, text))
+    text, item, place, rare = text[order], item[order], place[order], rare[k][order]
     new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (cell[1:] != cell[:-1])
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (place[1:] != place[:-1])
     group = np.cumsum(new) - 1
-    meets = (np.bincount(group, rare) > 0) | (np.bincount(group) >= TOGETHER)
-    return text[new][meets], item[new][meets], (cell * step)[new][meets]
+    sure = (np.bincount(group, rare) > 0) | (np.bincount(group) >= TOGETHER)
+    text, item, start = text[new], item[new], (place * seeds.step[item])[new]
+    meets = sure | seeds.has_shared[item]
+    return text[meets], item[meets], start[meets], sure[meets]
 
 
 def needed(m: int, least: float) -> float:
@@ -171,24 +216,31 @@ def needed(m: int, least: float) -> float:
     return min(MATCH * m, max(min(max(FLOOR, MATCH * m // 2), FLOOR_MOST), least * MATCH * m))
 
 
-def _found(seeds: Seeds, block: kernel.Texts, least: float) -> dict[tuple[int, int], tuple[float, int, int]]:
+def _found(seeds: Seeds, rare: np.ndarray, block: kernel.Texts, least: float) -> dict[tuple[int, int], tuple[float, int, int]]:
     """(text, item) to the score and the bounds of the best passage, where the score is `least` or more."""
     block = folded(block)
-    text, item, start = _passages(seeds, block)
+    grams, at_gram = block.grams(GRAM)
+    text, item, start, sure = _passages(seeds, rare, grams, at_gram)
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
     if not len(text):
         return found
     first, names = block.words[2], block.word_names
-    for k in np.unique(item):
+    order = np.argsort(item, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
+        k = item[own[0]]
         words = seeds.items[k]
         m = len(words)
-        slack = m // 4 + max(m // 4, 2) + 4
-        own = np.flatnonzero(item == k)
+        slack = cell(m)[1]
         width = m + 2 * slack
         for part in np.array_split(own, max(1, len(own) * width // (1 << 20))):
-            at = start[part][:, None] - slack + np.arange(width)
-            inside = (at >= 0) & (at < np.diff(first)[text[part]][:, None])
-            view = np.where(inside, names[np.clip(at + first[text[part]][:, None], 0, len(names) - 1)], np.uint64(0))
+            view = _around(names, first, text[part], start[part] - slack, width)
+            few = np.flatnonzero(~sure[part])
+            if len(few):
+                near = _around(grams, at_gram, text[part][few], start[part][few] - slack, width)
+                drop = few[np.isin(near, seeds.grams[k]).sum(1) < TOGETHER]
+                part, view = np.delete(part, drop), np.delete(view, drop, 0)
+                if not len(part):
+                    continue
             score, end = best_alignments(words, view)
             good = np.flatnonzero(score >= needed(m, least))
             if not len(good):
@@ -205,19 +257,28 @@ def _found(seeds: Seeds, block: kernel.Texts, least: float) -> dict[tuple[int, i
     return found
 
 
-def _aligned(shared, least: float):
+def _around(names: np.ndarray, first: np.ndarray, text: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+    """For each text the names from its word `begin` on, 0 outside the text."""
+    at = begin[:, None] + np.arange(width)
+    inside = (at >= 0) & (at < np.diff(first)[text][:, None])
+    if not len(names):
+        return np.zeros(at.shape, np.uint64)
+    return np.where(inside, names[np.clip(at + first[text][:, None], 0, len(names) - 1)], np.uint64(0))
+
+
+def _aligned(shared, marks, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds: Seeds = shared.value
         for batch in batches:
             for lo, _, block in kernel.blocks(batch.column(1)):
-                found = _found(seeds, block, least)
+                found = _found(seeds, marks.value, block, least)
                 if found:
-                    keys = sorted(found)
+                    keys = [(x, i) for x in sorted(found) for i in seeds.ids[x[1]]]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            batch.column(0).take(pa.array([lo + t for t, _ in keys])),
-                            pa.array([seeds.ids[k] for _, k in keys], pa.int64()),
-                            *(pa.array([found[x][i] for x in keys], kind) for i, kind in enumerate((pa.float64(), pa.int32(), pa.int32()))),
+                            batch.column(0).take(pa.array([lo + t for (t, _), _ in keys])),
+                            pa.array([i for _, i in keys], pa.int64()),
+                            *(pa.array([found[x][n] for x, _ in keys], kind) for n, kind in enumerate((pa.float64(), pa.int32(), pa.int32()))),
                         ],
                         names=["id", "item_id", "score", "begin_word", "end_word"],
                     )
@@ -225,13 +286,13 @@ def _aligned(shared, least: float):
     return run
 
 
-def _without(shared, least: float, k: int):
+def _without(shared, marks, least: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds: Seeds = shared.value
         for batch in batches:
             for lo, hi, block in kernel.blocks(batch.column(k)):
                 keep = np.ones(hi - lo, bool)
-                keep[[t for t, _ in _found(seeds, block, least)]] = False
+                keep[[t for t, _ in _found(seeds, marks.value, block, least)]] = False
                 yield batch.slice(lo, hi - lo).filter(pa.array(keep))
 
     return run
@@ -242,8 +303,8 @@ SCHEMA = T.StructType(
 )
 
 
-def _seed_blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str) -> Iterator:
-    """For each block of items, its rare seeds as a broadcast."""
+def _seed_blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str) -> Iterator[tuple]:
+    """For each block of items its seeds, and which of them are rare, as broadcasts that live as long as what is made of them."""
     spark = docs.sparkSession
     texts = docs.select(text_col)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
@@ -254,12 +315,13 @@ def _seed_blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col:
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()  # about ITEMS rows
         block.sort(key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
         seeds = Seeds([r.item_id for r in block], [r.text for r in block])
-        counted = texts.mapInArrow(_frequencies(spark.sparkContext.broadcast(seeds)), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()
+        if not len(seeds.names):
+            continue
+        shared = spark.sparkContext.broadcast(seeds)
+        counted = texts.mapInArrow(_frequencies(shared), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros(len(seeds.names), np.int64)
         counts[counted["seed"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-        marked = Seeds([r.item_id for r in block], [r.text for r in block])
-        marked.mark_rare(counts, n_docs)
-        yield spark.sparkContext.broadcast(marked)
+        yield shared, spark.sparkContext.broadcast(seeds.rare(counts, n_docs))
 
 
 def contaminated(
@@ -270,22 +332,27 @@ def contaminated(
     score: the alignment's share of the best possible, 1 for a copy; of several passages the best. An item of five
     words or less has to be there whole, one of up to twelve needs half of the best possible score (nine points at
     least), one of up to 18 needs 13 points. begin_word and end_word bound the passage, in words of the text as folded (Unicode case and ASCII punctuation aside). Null and empty texts
-    hold nothing; items of fewer than three words cannot be told from chance and match nothing. Repeated rows are found
-    as often as they occur. Further columns are ignored; an empty table on either side gives an empty result.
+    hold nothing; items of fewer than three words cannot be told from chance and match nothing. Words are runs without
+    white space, but for scripts that put no spaces between words, of which each character is a word. Repeated rows are
+    found as often as they occur, items with equal words each; ids may be null. Further columns are ignored; an empty
+    table on either side gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out: DataFrame | None = None
-    for shared in _seed_blocks(docs, benchmark, text_col, item_col, item_text_col):
-        found = rows.mapInArrow(_aligned(shared, least), SCHEMA)
+    for shared, marks in _seed_blocks(docs, benchmark, text_col, item_col, item_text_col):
+        found = rows.mapInArrow(_aligned(shared, marks, least), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """The rows of docs that hold no item, with their own columns."""
+    """The rows of docs that hold no item (see contaminated), with their own columns, whatever their names.
+
+    Null and empty texts stay; repeated rows share one fate; ids are not looked at. Without items all rows stay.
+    """
     out = docs
-    for shared in _seed_blocks(docs, benchmark, text_col, item_col, item_text_col):
-        out = out.mapInArrow(_without(shared, least, docs.columns.index(text_col)), docs.schema)
+    for shared, marks in _seed_blocks(docs, benchmark, text_col, item_col, item_text_col):
+        out = out.mapInArrow(_without(shared, marks, least, docs.columns.index(text_col)), docs.schema)
     return out
 
 

@@ -180,6 +180,19 @@ def blocks(texts: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, Texts
         row = end
 
 
+def by_bytes(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Cut an Arrow string array into slices (first row, row after the last) of at most so many bytes, or of one row."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    lo = total = 0
+    for k, n in enumerate(sizes):
+        if k > lo and total + n > most:
+            yield lo, k
+            lo, total = k, 0
+        total += int(n)
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """From batches in which equal keys lie together: tables of whole groups, and where each group begins and the last ends.
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read
+from .kernel import by_bytes
 
 #: Bytes of text in a batch; entries of the table of counts; characters of the longest piece it holds.
 BATCH_BYTES, TABLE, PIECE = 4 << 20, 1_000_000, 48
@@ -105,19 +106,6 @@ def _count(texts: pa.Array, path: str, cut: str) -> np.ndarray:
     return total[ends[1:]] - total[ends[:-1]]
 
 
-def _batches(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    lo = total = 0
-    for k, n in enumerate(sizes):
-        if total and total + n > BATCH_BYTES:
-            yield lo, k
-            lo = k
-            total = 0
-        total += int(n)
-    if lo < len(sizes):
-        yield lo, len(sizes)
-
-
 def token_counts(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cut: str = "dropped", limit: int = 2048
 ) -> DataFrame:
@@ -134,7 +122,7 @@ def token_counts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
-            for lo, hi in _batches(texts):
+            for lo, hi in by_bytes(texts, BATCH_BYTES):
                 part = texts.slice(lo, hi - lo)
                 counts = pa.array(_count(part, path, cut))
                 yield pa.RecordBatch.from_arrays(

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from lectern.llm import decontamination, jaccard_join
 
@@ -197,6 +198,94 @@ def test_upper_case_beyond_ascii(spark):
     assert [r.doc_id for r in decontamination.clean_documents(docs, bench).collect()] == [99]
 
 
+def test_scripts_without_spaces(spark):
+    rng = random.Random(8)
+    kanji = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    items = [(1, kanji(30) + "。"), (2, "ประเทศไทยมีเมืองหลวงชื่อว่ากรุงเทพมหานคร")]
+    docs = [(10, kanji(200) + items[0][1] + kanji(100), "ja", "s", 0), (11, kanji(300), "ja", "s", 0), (12, "ก" * 20 + items[1][1], "th", "s", 0)]
+    docs.append((13, kanji(50) + items[0][1][:10] + kanji(1) + items[0][1][11:20] + kanji(50), "ja", "s", 0))
+    got = decontamination.contaminated(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.id, r.item_id) for r in got} == {(10, 1), (12, 2), (13, 1)} and {r.score for r in got if r.id != 13} == {1.0}
+
+
+def _stems(n):
+    rng = random.Random(5)
+    stem = "which of the following statements is true about the"
+    return [(k, f"{stem} {some_text(rng, 9, 5000)}".replace("\n", " ")) for k in range(n)]
+
+
+def test_shared_stems(spark):
+    """Items that begin alike are told apart, and a stem alone is no item; equal items are found together."""
+    items = _stems(300) + [(1000, _stems(1)[0][1].upper())]
+    rng = random.Random(6)
+    docs = [(k, some_text(rng, 40, 5000) + " " + t + " " + some_text(rng, 40, 5000), "en", "s", 0) for k, t in items[:20]]
+    docs += [(500 + k, "which of the following statements is true about the " + some_text(rng, 60, 5000).replace("w", "v"), "en", "s", 0) for k in range(200)]
+    got = decontamination.contaminated(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.id, r.item_id) for r in got if r.score == 1} == {(k, k) for k in range(20)} | {(0, 1000)}
+    assert not [r for r in got if r.id >= 500]
+
+
+def test_work_does_not_grow_with_shared_stems():
+    """Documents that have the stem of all items: as many passages for 2000 items as for 250."""
+    from lectern.llm import kernel
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    texts = pa.array([some_text(rng, 30, 5000) + " which of the following statements is true about the " + some_text(rng, 30, 5000) for _ in range(400)])
+    n = []
+    for m in (250, 2000):
+        items = _stems(m)
+        seeds = decontamination.Seeds([i for i, _ in items], [t for _, t in items])
+        _, _, block = next(kernel.blocks(texts))
+        names, at = decontamination.folded(block).grams(3)
+        n.append(len(decontamination._passages(seeds, np.ones(len(seeds.of), bool), names, at)[0]))
+    assert n[1] <= n[0] + 400
+
+
+def test_long_items(spark):
+    """Items of thousands of words are aligned in a band."""
+    rng = random.Random(10)
+    item = some_text(rng, 4000, 5000).replace("\n", " ").split()
+    docs = [
+        (1, " ".join(item), "en", "s", 0),
+        (2, some_text(rng, 500, 5000) + " " + " ".join(w for w in item if rng.random() > 0.01), "en", "s", 0),
+        (3, some_text(rng, 5000, 5000), "en", "s", 0),
+        (4, " ".join(item[:800]), "en", "s", 0),
+    ]
+    got = {r.id: r.score for r in decontamination.contaminated(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2} and got[1] == 1 and got[2] > 0.9
+
+
+def test_band_equals_the_whole_alignment():
+    rng = np.random.default_rng(3)
+    for m in (3, 8, 20, 60):
+        slack = decontamination.cell(m)[1]
+        item = rng.integers(1, 40, m).astype(np.uint64)
+        rows = rng.integers(1, 40, (12, m + 2 * slack)).astype(np.uint64)
+        for k in range(12):
+            copy = [w for w in item if rng.random() > 0.15][: m]
+            rows[k, slack : slack + len(copy)] = copy
+        best, end = decontamination.best_alignments(item, rows)
+        assert [align(list(item), list(r)) for r in rows] == list(best)
+        assert all(align(list(item), list(r[:e])) == b for r, e, b in zip(rows, end, best, strict=True))
+
+
+def test_recall_by_edits(spark):
+    """Copies of items of 20 to 60 words with a share of words replaced, dropped or doubled: the README's figures."""
+    rng = random.Random(23)
+    items = [(k, some_text(rng, rng.randrange(20, 60), 5000).replace("\n", " ")) for k in range(120)]
+    rates, docs = (0.1, 0.2, 0.3, 0.4), []
+    for i, t in items:
+        for j, rate in enumerate(rates):
+            copy = [x if rng.random() >= rate else rng.choice(["", f"z{rng.randrange(9999)}", x + " more"]) for x in t.split()]
+            docs.append((10 * i + j, some_text(rng, 50, 5000) + " " + " ".join(copy) + " " + some_text(rng, 50, 5000), "en", "s", 0))
+    got = {(r.id, r.item_id) for r in decontamination.contaminated(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    recall = [sum((10 * i + j, i) in got for i, _ in items) / len(items) for j in range(4)]
+    print("recall by edits", dict(zip(rates, recall, strict=True)))
+    assert recall[0] == 1 and recall[1] >= 0.99 and recall[2] >= 0.95 and recall[3] >= 0.8
+    assert all(d // 10 == i for d, i in got)
+
+
 def test_edited_copies_of_short_items(spark):
     rng = random.Random(17)
     items = [(100 * m + k, some_text(rng, m, 5000).replace("\n", " ")) for m in (8, 10, 12, 15, 18, 20) for k in range(20)]

@@ -360,17 +360,53 @@ def test_secrets(spark, rows):
 
 def test_network_on_findings_not_seen():
     net = secret_scan.trained()
-    x, y = secret_scan.labelled_findings(1000, 77)
-    p = net.probabilities(x)
-    assert (p[y == 1] >= net.threshold).mean() >= 0.9
+    findings = secret_scan.labelled_findings(1500, 77)
+    x, of = secret_scan.window_rows(findings)
+    y = np.array([f[3] for f in findings])
+    p = secret_scan.highest(net.probabilities(x), of, len(findings), 0.0)
+    assert (p[y == 1] >= net.threshold).mean() >= 0.96
     assert (p[y == 0] >= net.threshold).mean() <= 0.02
     assert abs(p.mean() - y.mean()) < 0.05  # calibrated
+    bodies = [t[a:b] for t, a, b, _ in findings]
+    plain = np.array([not re.search("[0-9]", b) for b in bodies])
+    long = np.array([len(b) > secret_scan.INSIDE for b in bodies])
+    for some in (plain, long):  # without digits, and of several windows
+        assert (y & some).sum() > 20 and (p[(y == 1) & some] >= net.threshold).mean() >= 0.85
+    assert set(of[y[of] == 1]) == set(np.flatnonzero(y == 1))  # every credential is a candidate
+
+
+def test_candidates():
+    def found(text):
+        return [text[a:b] for a, b in secret_scan.candidates(text, secret_scan.base_spans(text))]
+
+    key = "QzXvbnRtYWtJhGfLpWqYcKdMsNeUoTiR"
+    assert found(f"use ghp_{key} now") == [f"ghp_{key}"]  # no digit is needed
+    assert found("pwd=hunter2abc, -u admin:qwertyuiop x") == ["hunter2abc", "qwertyuiop"]
+    assert found("Authorization: Bearer abcdefgh12") == ["Authorization", "abcdefgh12"][1:]
+    assert found("some ordinary wordings here") == [] and found("short=abc") == []
+    hexes = "0123456789abcdef" * 2
+    assert found(f"/hooks/{hexes}/tail9tail9x") == ["hooks", "tail9tail9x"][1:]  # what a base span leaves of a run
+    assert found("AKIA" + "A1" * 8 + "/" + key) == [key]
+    assert found("x" * 7) == [] and found("." * 30) == [] and found("") == []
+
+
+def test_time_is_in_proportion_to_a_text():
+    """Candidates meet base spans in order, and windows are scored as they come."""
+    net = secret_scan.trained()
+    took = []
+    for n in (4000, 16_000):
+        text = "password=abcdefgh12 " * n
+        began = time.perf_counter()
+        base, _ = secret_scan._scan([text], net)
+        took.append(time.perf_counter() - began)
+        assert len(base[0]) == n
+    assert took[1] < 10 * took[0] + 0.2
 
 
 def test_windows_cover_long_candidates():
     text = "k" + " " + "a1" * 200 + " z"
-    rows = secret_scan.windows(text, 2, 402)
+    rows = list(secret_scan.windows(text, 2, 402))
     assert all(len(r) == secret_scan.WIDTH for r in rows)
     inner = [r[secret_scan.BEFORE : secret_scan.BEFORE + secret_scan.INSIDE] for r in rows]
     assert len(inner) > 5 and all(x == b"a1" * 32 for x in inner)
-    assert np.frombuffer(secret_scan.windows("ab", 0, 2)[0], np.uint8).shape == (secret_scan.WIDTH,)
+    assert np.frombuffer(next(secret_scan.windows("ab", 0, 2)), np.uint8).shape == (secret_scan.WIDTH,)
