@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import components, join_hot, read, written
+from .common import HOT, components, join_hot, read, written
 
 COORDINATES = 64
 #: Signatures count as candidates this far below the threshold: four standard errors of 64 coordinates.
@@ -223,23 +223,33 @@ def least_recall(similarity: float, runs: int, splits: int, threshold: float) ->
     return total
 
 
+def runs_needed(recall: float, splits: int, threshold: float) -> int:
+    """How many runs of so many splits find a link at the threshold with this chance; ValueError if no number of them does."""
+    for runs in range(1, COORDINATES + 1):
+        if least_recall(threshold, runs, splits, threshold) >= recall:
+            return runs
+    raise ValueError(f"a recall of {recall} is beyond signatures of {COORDINATES} coordinates")
+
+
 def _run_batch(sets: DataFrame, n_sets: int, runs: range, threshold: float, limit: int, depth: int, seed: int) -> tuple[DataFrame, int]:
     """Candidate links (a, b) of some runs, and how often sets were split. sets: (node, n, sig)."""
     first = F.array(
         *[F.struct(F.xxhash64(F.lit(seed), F.lit(r), F.element_at("sig", 1 + (r * 37 + 11) % COORDINATES)).alias("path")) for r in runs]
     )
     level, total = sets.select("node", F.inline(first)), n_sets * len(runs)
-    out = []
+    small: list[DataFrame] = []
+    crowded: DataFrame | None = None
     for d in range(depth + 1):
-        counts = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        large = Observation()
-        sized = join_hot(level, counts, "path", "size", total)
-        sized = written(sized.observe(large, F.count_if(F.col("size") > limit).alias("n")), "sized")
-        last = d == depth or not large.get["n"]
-        out.append(sized if last else sized.where(F.col("size") <= limit))
-        if last:
+        sizes, many = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > limit), Observation()
+        large = written(sizes.observe(many, F.count(F.lit(1)).alias("n")), "large")
+        if not many.get["n"]:
+            small.append(level)
+            break
+        hot = F.col("size") * HOT > total
+        small.append(level.join(F.broadcast(large.where(hot).select("path")), "path", "left_anti").join(large.where(~hot).select("path"), "path", "left_anti"))
+        crowded = join_hot(level, large, "path", "size", total)
+        if d == depth:
             break
-        split = sized.where(F.col("size") > limit).join(sets.select("node", "sig"), "node")
         # a node samples its coordinates by its own path, so that all sets in it agree on them
         sampled = F.filter(
             F.sequence(F.lit(0), F.lit(COORDINATES - 1)),
@@ -247,15 +257,20 @@ def _run_batch(sets: DataFrame, n_sets: int, runs: range, threshold: float, limi
         )
         spare = F.array(F.pmod(F.xxhash64(F.lit(seed), F.col("path"), F.lit(COORDINATES)), F.lit(COORDINATES)).cast("int"))
         child = F.when(F.size(sampled) > 0, sampled).otherwise(spare)
-        paths = split.select("node", "path", "sig", F.explode(child).alias("c")).select(
+        paths = crowded.join(sets.select("node", "sig"), "node").select("node", "path", "sig", F.explode(child).alias("c")).select(
             "node", F.xxhash64("path", "c", F.element_at("sig", F.col("c") + 1)).alias("path")
         )
-        n = Observation()
+        n, crowded = Observation(), None
         level = written(paths.observe(n, F.count(F.lit(1)).alias("n")), "paths")
         total = n.get["n"]
-    buckets = out[0]
-    for more in out[1:]:
-        buckets = buckets.unionByName(more)
+    rows = small[0].select("path", "node")
+    for more in small[1:]:
+        rows = rows.unionByName(more.select("path", "node"))
+    # at most `limit` nodes a path; most paths have but one
+    grouped = rows.groupBy("path").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1)
+    buckets = grouped.select("path", F.size("nodes").cast("long").alias("size"), F.explode("nodes").alias("node"))
+    if crowded is not None:
+        buckets = buckets.unionByName(crowded.select("path", "size", "node"))
     blocked = _block_pairs(buckets.join(sets, "node"), "path", F.ceil(F.col("size") / limit))
     least = (threshold - MARGIN) * COORDINATES
     return blocked.select("path", "i", "j", "node", "n", "sig").mapInArrow(_candidates(least, threshold), "a long, b long"), d
@@ -268,7 +283,6 @@ def similar_documents(
     words: int = 5,
     threshold: float = 0.8,
     recall: float = 0.999,
-    runs_at_once: int = 8,
     limit: int = BLOCK_SETS,
     depth: int = 2,
     seed: int = 7,
@@ -286,8 +300,7 @@ def similar_documents(
     id is named by a number above 2**62. Further columns are ignored, whatever their names. An empty table gives an empty
     result.
     """
-    if least_recall(threshold, COORDINATES, depth, threshold) < recall:
-        raise ValueError(f"a recall of {recall} is beyond signatures of {COORDINATES} coordinates")
+    runs_needed(recall, depth, threshold)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = texts.mapInArrow(_signatures(words), "id long, k1 long, k2 long, n int, sig array<int>")
     seen = Observation()
@@ -303,10 +316,10 @@ def similar_documents(
 
     found: DataFrame | None = None
     runs = splits = 0
-    while runs == 0 or least_recall(threshold, runs, splits, threshold) < recall:
-        more, deep = _run_batch(signed, many.get["n"], range(runs, runs + runs_at_once), threshold, limit, depth, seed)
+    while runs < (wanted := runs_needed(recall, splits, threshold)):
+        more, deep = _run_batch(signed, many.get["n"], range(runs, wanted), threshold, limit, depth, seed)
         found = written((more if found is None else found.unionByName(more)).distinct(), "found")
-        runs, splits = runs + runs_at_once, max(splits, deep)
+        runs, splits = wanted, max(splits, deep)
     known = written(components(found), "classes")
 
     candidates = known.select(F.col("id").alias("node"), "root")
