@@ -17,7 +17,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gapless, hidden, read, with_key, written
+from .common import gapless, hidden, join_hot, read, with_key, written
 
 #: Significant bits of a group's size.
 BITS = 16
@@ -106,10 +106,10 @@ def shards(
     groups = written(groups, "groups")
     runs = groups.groupBy("run").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")).toPandas().sort_values("run", ascending=False)
     counts = schedule([(n / m if n % m else n // m, m) for n, m in zip(runs["n"].tolist(), runs["m"].tolist(), strict=True)], n_shards)
-    table = [(r, [sum(c[:s]) for s in range(n_shards)]) for r, c in zip(runs["run"].tolist(), counts, strict=True)]
-    begins = docs.sparkSession.createDataFrame(table, "run long, begins array<long>")
+    table = [(r, m, [sum(c[:s]) for s in range(n_shards)]) for r, m, c in zip(runs["run"].tolist(), runs["m"].tolist(), counts, strict=True)]
+    begins = docs.sparkSession.createDataFrame(table, "run long, m long, begins array<long>")
     # the place of a group among those of its size tells its shard
-    placed = gapless(groups, ["run"], F.xxhash64("g"), "place").join(F.broadcast(begins), "run")
+    placed = join_hot(gapless(groups, ["run"], F.xxhash64("g"), "place"), begins, "run", "m", int(runs["m"].sum()))
     shard = (F.size(F.filter("begins", lambda x: x <= F.col("place"))) - 1).cast("int")
     of_group = written(placed.select("g", shard.alias("shard")), "shards")
     # each piece of a group has its place in the shard; only a piece is numbered by a window
