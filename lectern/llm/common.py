@@ -112,20 +112,21 @@ def n_words(text: str | Column) -> Column:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (id, root), root the smallest id, one per id that an edge names.
 
-    Alternates large-star and small-star steps. Each step takes minima by a partially aggregated groupBy and hands them
-    back by a join in which the hubs, at most HOT of them, are broadcast, so that the neighbours of one id are never
-    gathered in one task; nothing but a row count and a checksum reaches the driver. Loops and repeated edges are
-    allowed. The number of rounds grows with the logarithm of the number of ids; beyond max_rounds it raises.
+    Alternates large-star and small-star steps. Each step takes minima by a partially aggregated groupBy, writes them, and
+    hands them back by a join: a small table of minima is broadcast, and of a large one Spark splits the partitions that a
+    hub crowds, since a written table leaves both sides of the join free. So the neighbours of one id are never gathered in
+    one task; nothing but a row count and a checksum reaches the driver. Loops and repeated edges are allowed. The number
+    of rounds grows with the logarithm of the number of ids; beyond max_rounds it raises.
     """
-    # u > v in every pair, in and out of each step; n rows come in, and as many go through each join
-    def large(pairs: DataFrame, n: int) -> DataFrame:
-        both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
-        return join_hot(both.where("v > u"), low, "u", "n", n).select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-    def small(pairs: DataFrame, n: int) -> DataFrame:
-        low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        moved = join_hot(pairs, low, "u", "n", n).where("v <> m")
+    # u > v in every pair, in and out of each step
+    def large(pairs: DataFrame) -> DataFrame:
+        both = pairs.select(F.col("v").alias("w"), F.col("u").alias("other")).unionByName(pairs.select(F.col("u").alias("w"), F.col("v").alias("other")))
+        low = written(both.groupBy("w").agg(F.least(F.min("other"), F.col("w")).alias("m")), "minima")
+        return pairs.withColumnRenamed("v", "w").join(low, "w").select("u", F.col("m").alias("v"))
+
+    def small(pairs: DataFrame) -> DataFrame:
+        low = written(pairs.groupBy("u").agg(F.min("v").alias("m")), "minima")
+        moved = pairs.join(low, "u").where("v <> m")
         return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
 
     def counted(pairs: DataFrame) -> tuple[DataFrame, tuple]:
@@ -138,7 +139,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now, got = counted(small(large(now, seen[0]), seen[0]))
+        now, got = counted(small(large(now)))
         if got == seen:
             break
         seen = got

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import HOT, components, join_hot, read, written
+from .common import components, read, written
 
 COORDINATES = 64
 #: Signatures count as candidates this far below the threshold: four standard errors of 64 coordinates.
@@ -231,12 +231,12 @@ def runs_needed(recall: float, splits: int, threshold: float) -> int:
     raise ValueError(f"a recall of {recall} is beyond signatures of {COORDINATES} coordinates")
 
 
-def _run_batch(sets: DataFrame, n_sets: int, runs: range, threshold: float, limit: int, depth: int, seed: int) -> tuple[DataFrame, int]:
+def _run_batch(sets: DataFrame, runs: range, threshold: float, limit: int, depth: int, seed: int) -> tuple[DataFrame, int]:
     """Candidate links (a, b) of some runs, and how often sets were split. sets: (node, n, sig)."""
     first = F.array(
         *[F.struct(F.xxhash64(F.lit(seed), F.lit(r), F.element_at("sig", 1 + (r * 37 + 11) % COORDINATES)).alias("path")) for r in runs]
     )
-    level, total = sets.select("node", F.inline(first)), n_sets * len(runs)
+    level = written(sets.select("node", F.inline(first)), "paths")
     small: list[DataFrame] = []
     crowded: DataFrame | None = None
     for d in range(depth + 1):
@@ -245,9 +245,8 @@ def _run_batch(sets: DataFrame, n_sets: int, runs: range, threshold: float, limi
         if not many.get["n"]:
             small.append(level)
             break
-        hot = F.col("size") * HOT > total
-        small.append(level.join(F.broadcast(large.where(hot).select("path")), "path", "left_anti").join(large.where(~hot).select("path"), "path", "left_anti"))
-        crowded = join_hot(level, large, "path", "size", total)
+        small.append(level.join(large, "path", "left_anti"))
+        crowded = level.join(large, "path")
         if d == depth:
             break
         # a node samples its coordinates by its own path, so that all sets in it agree on them
@@ -260,9 +259,7 @@ def _run_batch(sets: DataFrame, n_sets: int, runs: range, threshold: float, limi
         paths = crowded.join(sets.select("node", "sig"), "node").select("node", "path", "sig", F.explode(child).alias("c")).select(
             "node", F.xxhash64("path", "c", F.element_at("sig", F.col("c") + 1)).alias("path")
         )
-        n, crowded = Observation(), None
-        level = written(paths.observe(n, F.count(F.lit(1)).alias("n")), "paths")
-        total = n.get["n"]
+        level, crowded = written(paths, "paths"), None
     rows = small[0].select("path", "node")
     for more in small[1:]:
         rows = rows.unionByName(more.select("path", "node"))
@@ -303,21 +300,19 @@ def similar_documents(
     runs_needed(recall, depth, threshold)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = texts.mapInArrow(_signatures(words), "id long, k1 long, k2 long, n int, sig array<int>")
-    seen = Observation()
-    rows = written(signed.observe(seen, F.count(F.lit(1)).alias("n")), "signatures")
+    rows = written(signed, "signatures")
     groups = (
         rows.where("n > 0")
         .groupBy("k1", "k2")
         .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     )
-    many = Observation()
-    sets = written(groups.withColumn("node", F.monotonically_increasing_id()).observe(many, F.count(F.lit(1)).alias("n")), "sets")
+    sets = written(groups.withColumn("node", F.monotonically_increasing_id()), "sets")
     signed = sets.select("node", "n", "sig")
 
     found: DataFrame | None = None
     runs = splits = 0
     while runs < (wanted := runs_needed(recall, splits, threshold)):
-        more, deep = _run_batch(signed, many.get["n"], range(runs, wanted), threshold, limit, depth, seed)
+        more, deep = _run_batch(signed, range(runs, wanted), threshold, limit, depth, seed)
         found = written((more if found is None else found.unionByName(more)).distinct(), "found")
         runs, splits = wanted, max(splits, deep)
     known = written(components(found), "classes")
@@ -337,10 +332,12 @@ def similar_documents(
     bits = np.zeros(width // 64, np.uint64)
     bits[filled["w"].to_numpy(np.int64)] = filled["v"].to_numpy(np.int64).view(np.uint64)
     shingled = texts.select("text", F.xxhash64("id").alias("h")).mapInArrow(_shingle_rows(words, bits), "k1 long, k2 long, shingles binary")
-    sizes = of_class.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
-    meet = written(join_hot(of_class, sizes, "root", "m", n_candidates), "meet").join(shingled.dropDuplicates(["k1", "k2"]), ["k1", "k2"])
-    n_blocks = F.greatest(F.ceil(F.col("m") / limit), F.ceil(F.col("total") / BLOCK_SHINGLES))
-    paired = _block_pairs(meet, "root", n_blocks)
+    # classes of more than one block; written, so that Spark can split what meets them
+    n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / limit), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
+    large = written(of_class.groupBy("root").agg(n_blocks.alias("blocks")).where("blocks > 1"), "large")
+    meet = of_class.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    meet = meet.join(shingled.dropDuplicates(["k1", "k2"]), ["k1", "k2"])
+    paired = _block_pairs(meet, "root", F.col("blocks"))
     links = written(
         paired.select("root", "i", "j", "block", "whole", "node", "copies", "shingles").mapInArrow(_exact(threshold), "node long, links long, label long, whole boolean"), "links"
     )
@@ -352,17 +349,16 @@ def similar_documents(
     # a class is named by its smallest id; one that has none, by a number above all ids
     unnamed = F.col("k1").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
     linked = classes.withColumnRenamed("id", "node").join(sets.select("node", "first_id", unnamed.alias("unnamed")), "node")
-    in_class = Observation()
-    linked = written(linked.observe(in_class, F.count(F.lit(1)).alias("n")), "linked")
-    ids = linked.groupBy("root").agg(F.coalesce(F.min("first_id"), F.min("unnamed")).alias("class_id"), F.count(F.lit(1)).alias("m"))
-    of_node = join_hot(linked.select("node", "root"), ids, "root", "m", in_class.get["n"]).select("node", "class_id")
+    linked = written(linked, "linked")
+    ids = written(linked.groupBy("root").agg(F.coalesce(F.min("first_id"), F.min("unnamed")).alias("class_id")), "names")
+    of_node = linked.select("node", "root").join(ids, "root").select("node", "class_id")
     of_set = (
         sets.select("k1", "k2", "node", "copies", F.coalesce("first_id", unnamed).alias("own_id"))
         .join(counted, "node", "left")
         .join(of_node, "node", "left")
         .select("k1", "k2", "copies", F.coalesce("class_id", "own_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    with_sets = join_hot(rows.where("n > 0").select("id", "k1", "k2"), written(of_set, "named"), ["k1", "k2"], "copies", seen.get["n"])
+    with_sets = rows.where("n > 0").select("id", "k1", "k2").join(written(of_set, "named"), ["k1", "k2"])
     return with_sets.select("id", "class_id", "n_links").unionByName(
         rows.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     )
