@@ -243,14 +243,14 @@ def runs_needed(recall: float, splits: int, threshold: float) -> int:
     raise ValueError(f"a recall of {recall} is beyond signatures of {COORDINATES} coordinates")
 
 
-def _run_batch(sets: DataFrame, runs: range, threshold: float, limit: int, depth: int, seed: int) -> tuple[DataFrame, int]:
-    """Candidate links (a, b) of some runs, and how often sets were split. sets: (node, n, sig, low)."""
+def _run_batch(sets: DataFrame, runs: range, threshold: float, limit: int, depth: int, seed: int) -> tuple[DataFrame, int, DataFrame | None]:
+    """Candidate links (a, b) of some runs, how often sets were split, and which (node). sets: (node, n, sig, low)."""
     first = F.array(
         *[F.struct(F.xxhash64(F.lit(seed), F.lit(r), F.element_at("sig", 1 + (r * 37 + 11) % COORDINATES)).alias("path")) for r in runs]
     )
     level = written(sets.select("node", F.inline(first)), "paths")
     small: list[DataFrame] = []
-    crowded: DataFrame | None = None
+    crowded = parted = None
     for d in range(depth + 1):
         sizes, many = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > limit), Observation()
         large = written(sizes.observe(many, F.count(F.lit(1)).alias("n")), "large")
@@ -258,7 +258,8 @@ def _run_batch(sets: DataFrame, runs: range, threshold: float, limit: int, depth
             small.append(level)
             break
         small.append(level.join(large, "path", "left_anti"))
-        crowded = level.join(large, "path")
+        crowded = written(level.join(large, "path"), "crowded")
+        parted = crowded if parted is None else parted
         if d == depth:
             break
         # a node samples its coordinates by its own path, so that all sets in it agree on them
@@ -280,9 +281,11 @@ def _run_batch(sets: DataFrame, runs: range, threshold: float, limit: int, depth
     buckets = grouped.select("path", F.size("nodes").cast("long").alias("size"), F.explode("nodes").alias("node"))
     if crowded is not None:
         buckets = buckets.unionByName(crowded.select("path", "size", "node"))
+    buckets = written(buckets, "buckets")
     blocked = _block_pairs(buckets.join(sets.select("node", "n", "low"), "node"), "path", F.ceil(F.col("size") / limit))
     least = (threshold - MARGIN) * COORDINATES
-    return blocked.select("path", "i", "j", "node", "n", "low").mapInArrow(_candidates(least, threshold), "a long, b long"), d
+    links = blocked.select("path", "i", "j", "node", "n", "low").mapInArrow(_candidates(least, threshold), "a long, b long")
+    return links, d, None if parted is None else parted.select("node").distinct()
 
 
 def similar_documents(
@@ -324,8 +327,11 @@ def similar_documents(
     found: DataFrame | None = None
     runs = splits = 0
     while runs < (wanted := runs_needed(recall, splits, threshold)):
-        more, deep = _run_batch(signed, range(runs, wanted), threshold, limit, depth, seed)
+        more, deep, parted = _run_batch(signed, range(runs, wanted), threshold, limit, depth, seed)
         found = written((more if found is None else found.unionByName(more)).distinct(), "found")
+        if not runs and parted is not None:
+            # links that met no split have had their runs; a split can only lose links between sets that it parted
+            signed = written(signed.join(parted, "node", "left_semi"), "parted")
         runs, splits = wanted, max(splits, deep)
     known = written(components(found), "classes")
 
