@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .vocab import EXPLANATION_WORDS, LINE_ENDS, SPACE, SPACES
 
+# Patterns of images, captions, formulas and tables.
 IMAGE = r"!\[[^\n]*?\]\([^\n]*?\)"
 CAPTION = r"(?i)^\s*(figure|fig\.|table|hinh|hinh\s+\d+|bang|bang\s+\d+|bảng|hình)(?![\p{L}\p{N}_])"
 FORMULA = r"(?s)(\$\$.*?\$\$|\$[^$\n]{2,}\$|\\\(.+?\\\)|\\\[.+?\\\]|[A-Za-z]\s*=\s*[^,\n]{2,})"

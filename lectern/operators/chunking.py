@@ -110,46 +110,41 @@ def auto_groups(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     return both.withColumn("grp", F.when(F.col("_by_overlap"), F.col("_g2")).otherwise(F.col("grp"))).drop("_g2", "_by_overlap")
 
 
-def is_weak_image(text: str | Column, has_image: Column) -> Column:
-    own = F.filter(F.transform(X.lines(text), X.strip), lambda x: x != "")
-    pictures = F.size(F.filter(own, lambda x: x.startswith("![") | F.contains(x, F.lit("intentionally omitted"))))
-    share = F.when(F.size(own) > 0, pictures / F.greatest(F.size(own), F.lit(1)) > 0.6).otherwise(True)
-    return F.coalesce(has_image, F.lit(False)) & (F.length(X.col(text)) < WEAK_IMAGE_CHARS) & share
-
-
-def _merge_weak(pdf):
-    """One document's chunks in order: weak image chunks join the chunk before, or the next if there is none."""
-    import pandas as pd
-
-    rows = pdf.sort_values("grp").to_dict("records")
-
-    def weak(c: dict) -> bool:
-        if not c["has_image"] or len(c["text"]) >= WEAK_IMAGE_CHARS:
-            return False
-        own = [s for s in (x.strip() for x in c["text"].splitlines()) if s]
-        return not own or sum(s.startswith("![") or "intentionally omitted" in s for s in own) / len(own) > 0.6
-
-    kept: list[dict] = []
-    for i, c in enumerate(rows):
-        c["pages"] = list(c["pages"])
-        if len(rows) == 1 or not weak(c) or (not kept and i + 1 == len(rows)):
-            kept.append(c)
-        elif kept:
-            kept[-1] |= {"text": kept[-1]["text"] + "\n\n" + c["text"], "pages": kept[-1]["pages"] + c["pages"], "has_image": True}
-        else:
-            after = rows[i + 1]
-            rows[i + 1] = after | {"text": c["text"] + "\n\n" + after["text"], "pages": c["pages"] + list(after["pages"]), "has_image": True}
-    return pd.DataFrame(kept, columns=pdf.columns)
-
-
 def merge_weak_images(chunks: DataFrame) -> DataFrame:
-    """Strictly sequential in each document (a merged chunk may stop being weak), so one document is one group.
+    """Chunks that show images and say little join the chunk before them; at a document's start, the first that says more.
 
-    Documents without a weak chunk are not sent to Python.
+    Weak is a chunk with an image, of few characters, and of lines that are placeholders for images for the most part. What
+    leads a document is judged together with all before it, so running counts of characters and lines tell where the lead
+    ends; behind it a chunk is judged alone. A chunk of several is named by the one that the others join. A null text
+    counts as empty; a document of one chunk stays as it is.
     """
-    marked = chunks.withColumn("_weak", F.max(is_weak_image("text", F.col("has_image"))).over(Window.partitionBy("doc_id")))
-    calm, todo = marked.where(~F.col("_weak")).drop("_weak"), marked.where("_weak").drop("_weak")
-    return calm.unionByName(todo.groupBy("doc_id").applyInPandas(_merge_weak, todo.schema))
+    own = [c for c in chunks.columns if c != "doc_id"]
+    place = Window.partitionBy("doc_id").orderBy("grp")
+    text = F.coalesce("text", F.lit(""))
+    lines = F.filter(F.transform(X.lines(text), X.strip), lambda x: x != "")
+    shown = F.filter(lines, lambda x: x.startswith("![") | F.contains(x, F.lit("intentionally omitted")))
+    few = lambda image, chars, n, pictures: image & (chars < WEAK_IMAGE_CHARS) & ((n == 0) | (pictures / F.greatest(n, F.lit(1)) > 0.6))
+    counted = chunks.select(
+        "doc_id", F.struct(*own).alias("c"), F.row_number().over(place).alias("k"), F.coalesce("has_image", F.lit(False)).alias("image"), F.length(text).alias("chars"), F.size(lines).alias("n"), F.size(shown).alias("pictures")
+    )
+    sofar = Window.partitionBy("doc_id").orderBy("k")
+    together = [F.sum(c).over(sofar) for c in ("n", "pictures")]
+    leading = few(F.first("image").over(sofar), F.sum("chars").over(sofar) + 2 * (F.col("k") - 1), *together)
+    counted = counted.withColumns({"weak": few(*(F.col(c) for c in ("image", "chars", "n", "pictures"))), "leading": leading})
+    whole = Window.partitionBy("doc_id")
+    head = F.coalesce(F.min(F.when(~F.col("leading"), F.col("k"))).over(whole), F.max("k").over(whole))
+    grouped = counted.withColumn("head", head).withColumn("group", F.sum(((F.col("k") > F.col("head")) & ~F.col("weak")).cast("int")).over(sofar))
+    rows = grouped.groupBy("doc_id", "group").agg(
+        F.min_by("c", F.when(F.col("k") == F.col("head"), 0).otherwise(F.col("k"))).alias("c"),
+        F.array_sort(F.collect_list(F.struct("k", F.coalesce("c.text", F.lit("")).alias("text"), F.col("c.pages").alias("pages")))).alias("parts"),
+        F.bool_or("image").alias("image"),
+    )
+    merged = {
+        "text": F.array_join(F.transform("parts", lambda x: x["text"]), "\n\n"),
+        "pages": F.flatten(F.transform("parts", lambda x: x["pages"])),
+        "has_image": F.col("image"),
+    }
+    return rows.select(*[merged.get(c, F.col("doc_id") if c == "doc_id" else F.col(f"c.{c}")).alias(c) for c in chunks.columns])
 
 
 def chunk_type(topic: Column, text: Column, min_chars: int = MIN_CHUNK_CHARS) -> Column:
@@ -210,7 +205,7 @@ _SLIDE = r"(?i)<!--\s*Slide number:\s*\d+\s*-->"
 def sections(files: DataFrame, text_col: str = "markdown", max_chars: int = 6000) -> DataFrame:
     """Rows (section, title, body) of each file: by slide marks, else headings of level one and two, else paragraphs."""
     body = F.col(text_col)
-    slides = F.transform(F.slice(F.split(body, _SLIDE), 2, F.lit(1_000_000)), X.strip)
+    slides = F.transform(F.slice(F.split(body, _SLIDE), 2, F.size(F.split(body, _SLIDE))), X.strip)
     head = r"(?m)^#{1,3}\s+(.+)$"
     after = lambda s: X.strip(F.regexp_extract(s, r"(?ms)^#{1,3}\s+[^\n]+$(.*)\z", 1))
     first = lambda s: F.get(F.filter(F.transform(X.lines(s), X.strip), lambda x: (x != "") & ~x.startswith("![")), F.lit(0))
@@ -220,7 +215,8 @@ def sections(files: DataFrame, text_col: str = "markdown", max_chars: int = 6000
             F.struct(F.coalesce(X.clean_title(first(s)), F.concat(F.lit("Slide "), (i + 1).cast("string"))).alias("title"), s.alias("body"))
         ),
     )
-    cut = F.slice(F.split(F.concat(F.lit("\n"), body), r"\n(?=#{1,2}\s+[^\n])"), 2, F.lit(1_000_000))
+    parts = F.split(F.concat(F.lit("\n"), body), r"\n(?=#{1,2}\s+[^\n])")
+    cut = F.slice(parts, 2, F.size(parts))
     rest = lambda s: X.strip(F.regexp_extract(s, r"(?s)^[^\n]*(.*)$", 1))
     name = lambda s: F.regexp_extract(s, r"^#{1,2}\s+([^\n]+)", 1)
     by_head = F.transform(

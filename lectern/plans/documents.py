@@ -147,11 +147,11 @@ def work_list(spark, sf_dir):
 
 @register(
     "checkpoint_summary",
-    f"WITH {sql_view('page_src')}, {_CH}, it AS (SELECT doc_id || '__' || chunk_id AS k, page_num FROM ch CROSS JOIN (SELECT unnest([1, 2]) AS l) WHERE coalesce(chunk_type, 'conceptual') = 'conceptual') SELECT count(*) AS items, count(DISTINCT split_part(k, '__', 2)) AS chunks, CAST(sum(page_num % 3) AS BIGINT) AS mcqs FROM it",
+    f"WITH {sql_view('page_src')}, {_CH}, it AS (SELECT doc_id, chunk_id, page_num FROM ch CROSS JOIN (SELECT unnest([1, 2]) AS l) WHERE coalesce(chunk_type, 'conceptual') = 'conceptual') SELECT count(*) AS items, count(DISTINCT (doc_id, chunk_id)) AS chunks, CAST(sum(page_num % 3) AS BIGINT) AS mcqs FROM it",
 )
 def checkpoint_summary(spark, sf_dir):
     items = generation.work_list(_chunks(spark, sf_dir), ("apply", "analyze"))
-    return generation.checkpoint_summary(items.select("item_key", (F.col("page_num") % 3).alias("n_mcqs")))
+    return generation.checkpoint_summary(items.select("doc_id", "chunk_id", (F.col("page_num") % 3).alias("n_mcqs")))
 
 
 @register(
@@ -229,17 +229,17 @@ def resolved_relations(spark, sf_dir):
     return segments.remapped_relations(segs, tree, _relations(spark, sf_dir)).drop("from_concept", "to_concept")
 
 
-_CHUNK_TEXTS = "ct AS (SELECT 'chunk_' || lpad(CAST(doc_id % 80 AS VARCHAR), 3, '0') AS source_chunk, max(text) AS chunk_text FROM documents GROUP BY 1)"
-
-
 @register(
     "questions_with_chunks",
-    f"WITH {sql_view('mcq')}, {_CHUNK_TEXTS} SELECT doc_id, ord, source_chunk, length(chunk_text) AS chunk_chars FROM mcq JOIN ct USING (source_chunk) WHERE chunk_text <> ''",
+    f"""WITH {sql_view('mcq')}, {sql_view('page_src')}, ct AS (SELECT 'chunk_' || lpad(CAST(page_num AS VARCHAR), 3, '0') AS source_chunk, doc_id AS source, text AS chunk_text FROM page_src)
+SELECT mcq.doc_id, ord, source, source_chunk, length(chunk_text) AS chunk_chars FROM mcq JOIN ct USING (source_chunk) WHERE chunk_text <> ''""",
 )
 def questions_with_chunks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    chunks = d.groupBy(F.concat(F.lit("chunk_"), F.lpad((F.col("doc_id") % 80).cast("string"), 3, "0")).alias("source_chunk")).agg(F.max("text").alias("chunk_text"))
-    return view(spark, sf_dir, "mcq").join(chunks.where("chunk_text <> ''"), "source_chunk").select("doc_id", "ord", "source_chunk", F.length("chunk_text").cast("long").alias("chunk_chars"))
+    # a question of every part for the chunk of its number in each source: chunks of one page, all of them
+    pages = view(spark, sf_dir, "page_src")
+    chunks = pages.select(F.col("doc_id").alias("source"), F.format_string("chunk_%03d", "page_num").alias("source_chunk"), F.col("text").alias("chunk_text"))
+    asked = generation.with_chunk_texts(view(spark, sf_dir, "mcq"), chunks, ["source_chunk"])
+    return asked.select("doc_id", "ord", "source", "source_chunk", F.length("chunk_text").cast("long").alias("chunk_chars"))
 
 
 @register(

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.functions.vocab import EXPLANATION_WORDS, HORIZONTAL, SPACE, STRUCTURAL
+from lectern.functions.vocab import EDGE_PRIORITY, EXPLANATION_WORDS, HORIZONTAL, SPACE, STRUCTURAL
 from lectern.operators import knowledge, questions, ranking
 
 from .pages import collapse, strip, words
@@ -226,12 +226,40 @@ def cross_edges(spark, sf_dir):
     return ranking.cross_edges(view(spark, sf_dir, "ku"), view(spark, sf_dir, "ku_edge")).drop("complete", "a_c", "b_c")
 
 
-@register("selected_cross_edges")
+@register(
+    "selected_cross_edges",
+    f"""WITH RECURSIVE {KU}, c AS ({SQL["cross_edges"]}), n AS (SELECT doc_id, ku_id, completeness = 'complete' AS done, {name_norm('concept')} AS nm FROM ku),
+q AS (SELECT c.doc_id, a, b, relation, edge_seq, least(x.nm, y.nm) || chr(1) || greatest(x.nm, y.nm) || chr(1) || relation AS pair, row_number() OVER (PARTITION BY c.doc_id ORDER BY edge_seq) AS k
+  FROM c JOIN n x ON x.doc_id = c.doc_id AND x.ku_id = a JOIN n y ON y.doc_id = c.doc_id AND y.ku_id = b WHERE accepted AND x.done AND y.done AND x.nm <> '' AND y.nm <> '' AND x.nm <> y.nm),
+r AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST([] AS VARCHAR[]) AS pairs, CAST([] AS VARCHAR[]) AS ends FROM q WHERE k = 1
+  UNION ALL
+  SELECT doc_id, k, CASE WHEN fits THEN list_append(taken, seq) ELSE taken END, CASE WHEN fits THEN list_append(pairs, pair) ELSE pairs END, CASE WHEN fits THEN list_concat(ends, [a, b]) ELSE ends END FROM (
+    SELECT q.doc_id, q.k, taken, pairs, ends, q.pair, q.a, q.b, CAST(q.edge_seq AS BIGINT) AS seq,
+      len(taken) < 8 AND NOT list_contains(pairs, q.pair) AND len(list_filter(ends, lambda x: x = q.a)) < 2 AND len(list_filter(ends, lambda x: x = q.b)) < 2 AS fits
+    FROM r JOIN q ON q.doc_id = r.doc_id AND q.k = r.k + 1)
+), f AS (SELECT doc_id, max_by(taken, k) AS taken FROM r GROUP BY doc_id)
+SELECT q.doc_id, a, b, relation, edge_seq FROM q JOIN f ON f.doc_id = q.doc_id WHERE list_contains(taken, edge_seq)""",
+)
 def selected_cross_edges(spark, sf_dir):
     return ranking.selected_cross_edges(ranking.cross_edges(view(spark, sf_dir, "ku"), view(spark, sf_dir, "ku_edge"))).select("doc_id", "a", "b", "relation", "edge_seq")
 
 
-@register("capped_degrees")
+_RANK = "CASE relation " + " ".join(f"WHEN '{r}' THEN {n}" for r, n in EDGE_PRIORITY.items()) + " ELSE 9 END"
+
+
+@register(
+    "capped_degrees",
+    f"""WITH RECURSIVE {EDGE}, o AS (
+  SELECT doc_id, a AS u, 2 * edge_seq AS pos, {_RANK} AS p, edge_seq AS s FROM ku_edge UNION ALL SELECT doc_id, b, 2 * edge_seq + 1, {_RANK}, edge_seq FROM ku_edge
+), n AS (SELECT doc_id, u, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS k, list(s ORDER BY p, s) AS own FROM o GROUP BY doc_id, u
+), r AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST([] AS INT[]) AS gone FROM n WHERE k = 1
+  UNION ALL
+  SELECT n.doc_id, n.k, list_concat(gone, list_filter(own, lambda x: NOT list_contains(gone, x))[5:]) FROM r JOIN n ON n.doc_id = r.doc_id AND n.k = r.k + 1
+), f AS (SELECT doc_id, max_by(gone, k) AS gone FROM r GROUP BY doc_id)
+SELECT e.doc_id, a, b, relation, edge_seq FROM ku_edge e JOIN f ON f.doc_id = e.doc_id WHERE NOT list_contains(gone, edge_seq)""",
+)
 def capped_degrees(spark, sf_dir):
     return knowledge.cap_degrees(view(spark, sf_dir, "ku_edge"))
 

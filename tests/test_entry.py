@@ -51,7 +51,8 @@ def test_rest_works_without_the_llm_subpackage(tmp_path):
     from pathlib import Path
 
     root = Path(e.__file__).parent
-    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm"))
+    assert (tmp_path / "repo" / "corpus_pipeline.py").exists() == (root / "corpus_pipeline.py").exists()
     code = "import __spark_entry__ as e; print(sorted(e.queries())[:3], any(q.startswith('op') for q in e.queries()), len(e.oracle_sql()))"
     got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True)
     assert got.returncode == 0 and "False" in got.stdout, got.stderr

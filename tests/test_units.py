@@ -274,3 +274,15 @@ def test_stream(spark, sf_dir, tmp_path):
     want = calls.windowed_stats(spark.sql(VIEWS["call_log"][1], events=table))
     assert spark.table("windows").count() == want.count()
     assert spark.table("windows").agg(F.sum("calls")).first()[0] == table.count()
+
+
+def test_within_degree():
+    from lectern.functions.caps import within_degree
+
+    ends = [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("c", "d")]
+    assert within_degree(ends, [1, 1, 1, 1, 1], 3) == [True] * 5
+    assert within_degree(ends, [1, 1, 1, 1, 1], 2) == [True, True, False, True, False]
+    assert within_degree(ends, [9, 1, 1, 1, 1], 2) == [False, True, True, True, False]
+    assert within_degree([], [], 2) == []
+    # the order of nodes decides who gives up first
+    assert within_degree([("a", "b"), ("b", "c")], [2, 1], 1) == [False, True] and within_degree([("a", "b"), ("b", "c")], [1, 1], 1, ["b"]) == [True, False] and within_degree([("a", "b"), ("b", "c")], [2, 1], 1, ["b"]) == [False, True]
