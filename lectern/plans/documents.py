@@ -11,7 +11,7 @@ from lectern.operators import chunking, generation, graph, questions, segments
 from lectern.sources import files
 from lectern.streaming import calls
 
-from .pages import strip
+from .pages import strip, words
 from .units import EDGE, KU, concept
 from .views import sql_view, table, view
 
@@ -279,3 +279,52 @@ def flaw_counts(spark, sf_dir):
     n = questions.num_flaws(F.create_map(*[x for k, v in flags for x in (F.lit(k), v)]))
     j = view(spark, sf_dir, "judge").withColumn("num_flaws", n)
     return j.select("mcq_key", "num_flaws", questions.verdict(1 - F.col("num_flaws") / 4.0, F.col("answerability").cast("double")).alias("verdict"))
+
+
+# Eight units of a document make a segment; every third is a recap.
+_PARTS = f"""{KU}, {EDGE}, rl AS (SELECT e.doc_id, edge_seq, a.concept AS f, b.concept AS t, relation FROM ku_edge e JOIN ku a ON a.doc_id = e.doc_id AND a.ku_id = e.a JOIN ku b ON b.doc_id = e.doc_id AND b.ku_id = e.b),
+sg AS (SELECT doc_id, CAST(ord // 8 AS INT) AS ord, list_sort(list_distinct(list(concept))) AS concepts, min(parent_l1) AS parent, CASE WHEN ord // 8 % 3 = 2 THEN 'Summary of ' ELSE '' END || min(concept) AS label FROM ku GROUP BY doc_id, ord // 8),
+st AS (SELECT *, regexp_matches(lower(label), '(^|[^a-z0-9])({"|".join(k.replace("&", chr(92) + "&") for k in SKIP_LABELS)})([^a-z0-9]|$)') AS skip, CASE WHEN parent <> '' THEN list_append(concepts, parent) ELSE concepts END AS owners FROM sg)"""
+
+
+@register(
+    "extraction_prompts",
+    f"""WITH {_PARTS}, it AS (SELECT doc_id, ord, unnest(owners) AS name, unnest(range(1, len(owners) + 1)) AS pos FROM st WHERE NOT skip),
+fi AS (SELECT doc_id, name, min(ord * 100000 + pos) AS at_pos FROM it GROUP BY doc_id, name),
+se AS (SELECT st.doc_id, st.ord, list(fi.name ORDER BY at_pos) AS seen FROM st JOIN fi ON fi.doc_id = st.doc_id AND at_pos < st.ord * 100000 GROUP BY st.doc_id, st.ord),
+cn AS (SELECT doc_id, ord, string_agg(chr(10) || '- [' || relation || '] ' || f || ' -> ' || t, '' ORDER BY edge_seq) AS lines FROM (
+  SELECT DISTINCT st.doc_id, st.ord, rl.* EXCLUDE (doc_id) FROM (SELECT doc_id, ord, unnest(concepts) AS c FROM st) st JOIN rl ON rl.doc_id = st.doc_id AND (lower(f) = lower(c) OR lower(t) = lower(c))) GROUP BY doc_id, ord),
+pr AS (SELECT st.doc_id, st.ord, 'Extract knowledge units from the text as a JSON array. Use only these concept names: ' || array_to_string(owners, '; ') || '. Quote the evidence word for word.' || chr(10) || 'Chunk: seg_' || lpad(CAST(st.ord + 1 AS VARCHAR), 3, '0')
+  || chr(10) || 'Topic: ' || label || CASE WHEN parent <> '' THEN chr(10) || 'Scope: ' || label || ', a part of ' || parent || '; leave out what its other parts say.' || CASE WHEN list_contains(coalesce(seen, []), parent) THEN ' ' || parent || ' itself is covered already.' ELSE '' END ELSE '' END
+  || CASE WHEN contains(lower(label), 'summary') OR contains(lower(label), 'review') OR contains(lower(label), 'recap') THEN CASE WHEN len(coalesce(seen, [])) > 0 THEN chr(10) || 'A recap. Covered before: ' || array_to_string(seen, '; ') || '. Only what is new counts; if nothing is, the array is empty.' ELSE '' END ELSE '' END
+  || coalesce(chr(10) || 'Connected in the document:' || lines, '') AS head FROM st LEFT JOIN se ON se.doc_id = st.doc_id AND se.ord = st.ord LEFT JOIN cn ON cn.doc_id = st.doc_id AND cn.ord = st.ord)
+SELECT doc_id, ord, CAST(length(head) AS INT) AS chars, md5(head) AS head_md5 FROM pr""",
+)
+def extraction_prompts(spark, sf_dir):
+    u = view(spark, sf_dir, "ku").withColumn("part", F.floor(F.col("ord") / 8).cast("int"))
+    segs = u.groupBy("doc_id", F.col("part").alias("ord")).agg(
+        F.array_sort(F.collect_set("concept")).alias("concepts"), F.min("parent_l1").alias("parent_concept_name"), F.min("concept").alias("first"), F.array_join(F.collect_list("content"), "\n").alias("text")
+    )
+    segs = segs.withColumns({"segment_id": F.format_string("seg_%03d", F.col("ord") + 1), "label": F.concat(F.when(F.col("ord") % 3 == 2, "Summary of ").otherwise(""), "first"), "source_pages": F.array("ord")})
+    parts = segments.with_connections(segments.with_context(segs), _relations(spark, sf_dir))
+    chunks = segments.to_chunks(parts)
+    head = generation.unit_head(chunks.columns)
+    return chunks.select("doc_id", F.get("pages", F.lit(0)).alias("ord"), F.length(head).alias("chars"), F.md5(head).alias("head_md5"))
+
+
+_BAD = lambda x: f"(len({words(x)}) >= 15 AND CAST(len(list_filter({words(x)}, lambda w: regexp_full_match(w, '\\p{{L}}'))) AS DOUBLE) / len({words(x)}) > 0.25)"
+# Some pages are cut short, some have texts of single letters; so do what recognition and a second extractor offer.
+_OFFERS = """SELECT doc_id, doc_id % 2 = 0 AS has_image, CASE doc_id % 4 WHEN 0 THEN substr(text, 1, 30) WHEN 1 THEN repeat('x y z ', 20) ELSE text END AS text,
+  CASE WHEN doc_id % 3 = 0 THEN text ELSE 'few' END AS ocr_text, CASE doc_id % 5 WHEN 0 THEN substr(text, 1, 20) WHEN 1 THEN repeat('a b ', 30) WHEN 2 THEN NULL ELSE text END AS second_text FROM {documents}"""
+
+
+@register(
+    "recovered_pages",
+    f"""WITH o AS ({_OFFERS.replace('{documents}', 'documents')}), f AS (SELECT *, length({strip('text')}) < 50 AS low, CASE WHEN length({strip('text')}) < 50 THEN {strip('ocr_text')} ELSE {strip('text')} END AS t FROM o),
+g AS (SELECT *, {_BAD('t')} AS bad, coalesce(second_text, '') AS s FROM f WHERE NOT low OR (has_image AND length(t) >= 50)), b AS (SELECT *, bad AND length(s) >= 50 AND NOT {_BAD('s')} AS better FROM g)
+SELECT doc_id, md5(CASE WHEN better THEN s ELSE t END) AS text_md5, CASE WHEN better THEN 'pdfplumber' WHEN low THEN 'pytesseract' ELSE 'pymupdf4llm' END AS parser, low AS ocr_used,
+  array_to_string(list_filter([CASE WHEN low THEN 'low_text_with_image' END, CASE WHEN bad THEN 'garbled_text_detected' END], lambda x: x IS NOT NULL), ';') AS warnings FROM b""",
+)
+def recovered_pages(spark, sf_dir):
+    pages = spark.sql(_OFFERS, documents=table(spark, sf_dir, "documents"))
+    return files.recovered_pages(pages).select("doc_id", F.md5("text").alias("text_md5"), "parser", "ocr_used", F.array_join("warnings", ";").alias("warnings"))

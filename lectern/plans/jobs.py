@@ -42,7 +42,7 @@ def knowledge_job(pages: DataFrame, outline_model: Callable, unit_model: Callabl
     tree, rels = staged(tree, "outline"), staged(rels, "told")
     cut = staged(segments.merged_small(segments.built(segments.flattened(tree, pages), pages, absorb_trailing=False), tree), "segments")
     rels = staged(segments.remapped_relations(cut, tree, rels), "relations")
-    parts = staged(segments.with_context(segments.split_long(cut)), "parts")
+    parts = staged(segments.with_connections(segments.with_context(segments.split_long(cut)), rels), "parts")
     told = staged(generation.extracted_units(segments.to_chunks(parts.where("NOT skip")), unit_model), "told")
     units = staged(knowledge.dedup_units(_in_order(told)).where("prominence <> 'peripheral'"), "units")
     names = tree.where("size(children) > 0").select("doc_id", "l1_ord", F.transform("children", lambda c: c["name"]).alias("names"))

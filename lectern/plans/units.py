@@ -220,7 +220,13 @@ s AS (SELECT *, CAST(dow AS INT) * 15 + CAST(sl AS INT) * 10 + CAST(pa AS INT) *
   ELSE 18 + CASE WHEN oa <> ob THEN 10 ELSE 0 END + CASE WHEN ta IN ('definition', 'mechanism', 'procedure', 'application') THEN 6 ELSE 0 END + CASE WHEN tb IN ('definition', 'mechanism', 'procedure', 'application') THEN 6 ELSE 0 END END AS score FROM j)
 SELECT doc_id, a, b, relation, edge_seq, CASE WHEN relation IN ('CONTRASTS_WITH', 'ALTERNATIVE_TO') AND (ta = 'failure_mode' OR tb = 'failure_mode') THEN 'limitation' WHEN relation = 'ALTERNATIVE_TO' THEN 'alternative' WHEN relation = 'CONTRASTS_WITH' THEN 'compare'
   WHEN relation IN ('SIBLING_OF', 'SIMILAR_TO') THEN 'distinguish' WHEN relation = 'APPLIES_TO' THEN 'application' WHEN relation IN ('EXTENDS', 'ENABLES') THEN 'builds_on' ELSE 'connection' END AS mode, score,
-  score >= CASE WHEN relation IN ('SIMILAR_TO', 'SIBLING_OF', 'PART_OF') THEN 50 ELSE 35 END AS accepted, CASE WHEN {in_list('relation', HORIZONTAL)} THEN 5 ELSE 6 END AS priority FROM s""",
+  score >= CASE WHEN relation IN ('SIMILAR_TO', 'SIBLING_OF', 'PART_OF') THEN 50 ELSE 35 END AS accepted, CASE WHEN {in_list('relation', HORIZONTAL)} THEN 5 ELSE 6 END AS priority,
+  coalesce(nullif(array_to_string(list_filter([CASE WHEN dow THEN 'different-owner' END, CASE WHEN sl THEN 'same-l1' END,
+    CASE WHEN hard AND ta IN ('definition', 'mechanism', 'trade_off') AND tb IN ('definition', 'mechanism', 'trade_off') THEN 'comparable-types' END,
+    CASE WHEN hard AND (ta = 'failure_mode' OR tb = 'failure_mode') THEN 'limitation-mode' END, CASE WHEN hard AND NOT (ba AND bb) THEN 'weak-representative' END,
+    CASE WHEN relation = 'SIBLING_OF' AND sl AND dow THEN 'true-sibling' END, CASE WHEN relation IN ('SIBLING_OF', 'SIMILAR_TO') AND ta = tb THEN 'same-type' END,
+    CASE WHEN relation = 'SIMILAR_TO' AND sl THEN 'same-l1' END], lambda x: x IS NOT NULL), ','), ''), 'base') AS reasons
+FROM (SELECT *, relation IN ('CONTRASTS_WITH', 'ALTERNATIVE_TO') AS hard FROM s)""",
 )
 def cross_edges(spark, sf_dir):
     return ranking.cross_edges(view(spark, sf_dir, "ku"), view(spark, sf_dir, "ku_edge")).drop("complete", "a_c", "b_c")

@@ -102,3 +102,28 @@ def done_items(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.schema(schema).json(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
+
+
+def recovered_pages(pages: DataFrame, least: int = 50) -> DataFrame:
+    """Pages (text, has_image, ocr_text, second_text) with the text that stands, and (parser, ocr_used, warnings).
+
+    A page of fewer than `least` characters with an image takes the text that was recognised in it, if that is long enough;
+    otherwise such a page goes. A garbled text gives way to the second extractor's, if that is long enough and not garbled.
+    Null texts count as empty. pages may carry further columns; those named like a result are replaced.
+    """
+    text, second = X.strip(F.coalesce("text", F.lit(""))), F.coalesce("second_text", F.lit(""))
+    seen = X.strip(F.coalesce("ocr_text", F.lit("")))
+    low, image = F.length(text) < least, F.coalesce("has_image", F.lit(False))
+    first = pages.withColumns({"_low": low, "_text": F.when(low, seen).otherwise(text)}).where(~low | (image & (F.length(seen) >= least)))
+    bad = X.is_garbled("_text")
+    better = bad & (F.length(second) >= least) & ~X.is_garbled("second_text")
+    warnings = F.array_compact(F.array(F.when(F.col("_low"), "low_text_with_image"), F.when(bad, "garbled_text_detected")))
+    done = first.withColumns(
+        {
+            "text": F.when(better, second).otherwise(F.col("_text")),
+            "parser": F.when(better, "pdfplumber").when(F.col("_low"), "pytesseract").otherwise("pymupdf4llm"),
+            "ocr_used": F.col("_low"),
+            "warnings": warnings,
+        }
+    )
+    return done.drop("_low", "_text", "ocr_text", "second_text")

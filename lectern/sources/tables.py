@@ -22,6 +22,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal an input of fewer splits than cores anew, so that one small file is not one task; a larger one stays as it is."""
+    """Deal an input of fewer files than cores anew, so that one small file is not one task; a larger one stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
