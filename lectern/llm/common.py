@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -27,8 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scopes: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
+    return "/".join([shared_dir(spark), "lectern", *_scopes[-1:], f"{name}-{uuid.uuid4().hex}"])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What operators write inside goes when the block ends; a result that is to outlive it has to be written elsewhere first."""
+    _scopes.append("/".join([*_scopes[-1:], uuid.uuid4().hex]))
+    try:
+        yield
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lectern/{_scopes.pop()}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

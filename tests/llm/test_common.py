@@ -1,6 +1,9 @@
 import random
 
-from lectern.llm.common import components, gapless, n_words
+import pytest
+
+from lectern.llm import common
+from lectern.llm.common import components, gapless, join_hot, n_words, ranked, scratch, written
 from pyspark.sql import functions as F
 
 from .cases import edge_rows, SCHEMA, words
@@ -38,3 +41,50 @@ def test_gapless(spark):
         own = sorted(r.slot for r in got if r.g == g)
         assert own == list(range(len(own)))
     assert len(got) == 1000
+
+
+def test_gapless_with_weights(spark):
+    df = spark.range(500).select("id", (F.col("id") % 2).alias("g"), (F.col("id") % 5 + 1).alias("w"))
+    got = gapless(df, ["g"], F.xxhash64("id"), "at", 16, weight="w").collect()
+    for g in range(2):
+        at = 0
+        for r in sorted((r for r in got if r.g == g), key=lambda r: r["at"]):
+            assert r["at"] == at
+            at += r.w
+
+
+def test_ranked(spark):
+    rng = random.Random(1)
+    names = rng.sample([f"n{k}" for k in range(5000)], 700)
+    got = ranked(spark.createDataFrame([(x,) for x in names], "x string"), ["x"], "place").collect()
+    assert {r.x: r.place for r in got} == {x: k for k, x in enumerate(sorted(names))}
+
+
+def test_join_hot(spark):
+    """Hot and other keys, and rows whose key the table lacks."""
+    rows = spark.createDataFrame([(k % 7 if k < 900 else k, k) for k in range(1000)], "key long, v long")
+    table = rows.where("key < 950").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    for how, n in (("inner", 950), ("left", 1000)):
+        for total in (1000, 10**6):
+            got = join_hot(rows, table, "key", "n", total, how).collect()
+            assert len({r.v for r in got}) == len(got) == n
+            assert all(r.n == (1 if r.key >= 900 else 129 if r.key < 4 else 128) for r in got if r.key < 950)
+
+
+def test_scratch(spark):
+    import os
+
+    folder = common.shared_dir(spark).removeprefix("file://") + "/lectern"
+    outside = written(spark.range(3), "outside")
+    before = set(os.listdir(folder))
+    with scratch(spark):
+        assert written(spark.range(3), "x").count() == 3 and len(set(os.listdir(folder)) - before) == 1
+    assert set(os.listdir(folder)) == before and outside.count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    context = SimpleNamespace(master="spark://x", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
+    with pytest.raises(RuntimeError):
+        common.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
