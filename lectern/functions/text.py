@@ -18,6 +18,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def by_number(c: str | Column) -> Column:
+    """An order of ids such as chunk_999, chunk_1000 or seg_012b by the number in them, then as text."""
+    return F.struct(F.regexp_extract(col(c), r"(\d+)", 1).try_cast("long"), col(c))
+
+
 def strip(c: str | Column) -> Column:
     return F.trim(col(c), F.lit(SPACES))
 

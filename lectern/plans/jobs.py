@@ -58,7 +58,7 @@ def knowledge_job(pages: DataFrame, outline_model: Callable, unit_model: Callabl
 def _in_order(units: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    return units.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id", "ord")))
+    return units.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy(X.by_number("chunk_id"), "ord")))
 
 
 def chunk_job(pages: DataFrame, model: Callable, levels: tuple[str, ...], difficulty: str, done: DataFrame | None = None, strategy: str = "auto") -> dict[str, DataFrame]:
@@ -77,4 +77,4 @@ def chunk_job(pages: DataFrame, model: Callable, levels: tuple[str, ...], diffic
 def _by_place():
     from pyspark.sql import Window
 
-    return Window.partitionBy("doc_id").orderBy("source_chunk", "level_ord", "pos")
+    return Window.partitionBy("doc_id").orderBy(X.by_number("source_chunk"), "level_ord", "pos")

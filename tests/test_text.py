@@ -97,3 +97,26 @@ def test_labels_and_sanitize(spark):
 def test_page_label(spark):
     df = spark.createDataFrame([(0, [3, 1, 2, 7]), (1, [4]), (2, []), (3, [5, 6]), (4, [2, 2])], "k int, p array<int>")
     assert column(df, X.page_label(F.col("p"))) == ["Pages 1-3, 7", "Page 4", "", "Pages 5-6", "Page 2"]
+
+
+def test_order_of_ids(spark):
+    from lectern.operators.graph import by_number
+
+    ids = ["seg_1000", "seg_999", "seg_012b", "seg_012a", "seg_002", "x"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(ids)], "k int, t string")
+    want = ["x", "seg_002", "seg_012a", "seg_012b", "seg_999", "seg_1000"]
+    assert [r.t for r in df.orderBy(X.by_number("t")).collect()] == want == sorted(ids, key=by_number)
+
+
+def test_flags(spark):
+    from lectern.operators import generation, profile
+
+    df = spark.createDataFrame([(0, "ab", "x" * 299), (1, "12. 3", "x" * 300), (2, "Figure 2", "x" * 12_001), (3, None, "")], "k int, t string, c string")
+    flags = {k: column(df, v) for k, v in {**profile.title_flags("t"), **profile.chunk_flags("c")}.items()}
+    assert flags["title_short"] == [True, False, False, True] and flags["title_numeric"] == [False, True, False, False]
+    assert flags["title_caption"] == [False, False, True, False]
+    assert flags["chunk_short"] == [True, False, False, True] and flags["chunk_long"] == [False, False, True, False]
+    assert column(df, X.merged_flag(F.col("k") > 1, F.lit(None).cast("boolean"))) == [False, False, True, True]
+    import hashlib
+
+    assert column(df, generation.checkpoint_key("c")) == [hashlib.sha256(c.encode()).hexdigest()[:12] for c in ("x" * 299, "x" * 300, "x" * 12_001, "")]
