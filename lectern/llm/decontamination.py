@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.sources.tables import spread
+
 from . import kernel
 from .common import read
 
@@ -357,5 +359,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = contaminated(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), read(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id").withColumn("score", F.round("score", 6))

@@ -22,6 +22,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.sources.tables import spread
+
 from . import kernel
 from .common import read
 
@@ -266,7 +268,7 @@ def kept_documents(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, .
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     out = measured(docs, estimated_order(docs, BASE + METHOD))
     return out.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.sources.tables import spread
+
 from .common import read
 from .kernel import by_bytes
 
@@ -397,4 +399,4 @@ def found_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return found_secrets(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return found_secrets(spread(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")

@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.sources.tables import spread
+
 from .common import read
 from .kernel import by_bytes
 
@@ -141,4 +143,4 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return token_counts(read(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
+    return token_counts(spread(read(spark, sf_dir, "documents")), tokenizer_path()).withColumnRenamed("id", "doc_id")
