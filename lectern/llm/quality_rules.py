@@ -152,7 +152,7 @@ def _lines(f: Features) -> np.ndarray:
 
 
 #: A document goes from this share of words in repeated passages of ten words on.
-PASSAGE_PERCENT = 30
+PASSAGE_PERCENT = 40
 
 
 def _passages(f: Features) -> np.ndarray:
@@ -308,6 +308,6 @@ WITH w AS (
 ), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR (n_lines >= 5 AND 2 * n_dup_lines > n_lines)
-    OR 100 * n_passage > 30 * n_words OR 10 * top_pair > n_words OR few_letters) AS kept
+    OR 100 * n_passage > 40 * n_words OR 10 * top_pair > n_words OR few_letters) AS kept
 FROM b
 """

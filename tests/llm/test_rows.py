@@ -267,7 +267,7 @@ def keeps(t):
     bits = -sum(x / total * math.log2(x / total) for x in letters.values())
     bad = (
         n < 50, 100 * repeat > 50 * n, 10 * symbols > 3 * n, chars < 2 * n, len(lines) >= 5 and 2 * dup > len(lines),
-        100 * len(covered) > 30 * n, 10 * max(pairs.values(), default=0) > n, total >= 200 and bits < 2.6,
+        100 * len(covered) > 40 * n, 10 * max(pairs.values(), default=0) > n, total >= 200 and bits < 2.6,
     )
     return not any(bad)
 
@@ -276,7 +276,7 @@ def test_quality(spark, rows):
     rng = random.Random(15)
     w = [f"x{k}" for k in range(60)]
     more = [
-        " ".join(w[:40] + w[:20] + w[:14]), " ".join(w + ["ab cd"] * 9 + ["ab", "z1", "cd"]), " ".join(_hex(rng, 8) for _ in range(80)), " ".join(w[:33] + w[:12] + w[33:]),
+        " ".join(w[:40] + w[:20] + w[:14]), " ".join(w + ["ab cd"] * 9 + ["ab", "z1", "cd"]), " ".join(_hex(rng, 8) for _ in range(80)), " ".join(w[:33] + w[:16] + w[33:]),
         " ".join(x + " of the" for x in w), "AbC " * 3 + some_text(rng, 90, 3000),
     ]
     rows = rows + [(900 + k, t, None, None, None) for k, t in enumerate(more)]
