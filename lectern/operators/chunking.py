@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.functions.vocab import DUPLICATE, INSTRUCTIONAL_TOPICS, LONG_CHUNK_CHARS, MAX_PAGES, MIN_CHUNK_CHARS, OVERLAP, STRUCTURAL_TOPICS, WEAK_IMAGE_CHARS
+from lectern.functions.vocab import DUPLICATE, INSTRUCTIONAL_TOPICS, LONG_CHUNK_CHARS, MAX_PAGES, MIN_CHUNK_CHARS, OVERLAP, SPACE, STRUCTURAL_TOPICS, WEAK_IMAGE_CHARS
 
 def _by_page():
     return Window.partitionBy("doc_id").orderBy("page_num")
@@ -206,8 +206,8 @@ def sections(files: DataFrame, text_col: str = "markdown", max_chars: int = 6000
     """Rows (section, title, body) of each file: by slide marks, else headings of level one and two, else paragraphs."""
     body = F.col(text_col)
     slides = F.transform(F.slice(F.split(body, _SLIDE), 2, F.size(F.split(body, _SLIDE))), X.strip)
-    head = r"(?m)^#{1,3}\s+(.+)$"
-    after = lambda s: X.strip(F.regexp_extract(s, r"(?ms)^#{1,3}\s+[^\n]+$(.*)\z", 1))
+    head = rf"(?dm)^#{{1,3}}{SPACE}+(.+)$"
+    after = lambda s: X.strip(F.regexp_extract(s, rf"(?dms)^#{{1,3}}{SPACE}+[^\n]+$(.*)\z", 1))
     first = lambda s: F.get(F.filter(F.transform(X.lines(s), X.strip), lambda x: (x != "") & ~x.startswith("![")), F.lit(0))
     by_slide = F.transform(
         slides,
@@ -215,19 +215,16 @@ def sections(files: DataFrame, text_col: str = "markdown", max_chars: int = 6000
             F.struct(F.coalesce(X.clean_title(first(s)), F.concat(F.lit("Slide "), (i + 1).cast("string"))).alias("title"), s.alias("body"))
         ),
     )
-    parts = F.split(F.concat(F.lit("\n"), body), r"\n(?=#{1,2}\s+[^\n])")
-    cut = F.slice(parts, 2, F.size(parts))
-    rest = lambda s: X.strip(F.regexp_extract(s, r"(?s)^[^\n]*(.*)$", 1))
-    name = lambda s: F.regexp_extract(s, r"^#{1,2}\s+([^\n]+)", 1)
+    mark = rf"(?dm)^#{{1,2}}{SPACE}+(.+)$"
     by_head = F.transform(
-        cut,
-        lambda s, i: F.struct(
-            F.when(X.strip(name(s)).startswith("!["), F.coalesce(X.clean_title(first(rest(s))), F.concat(F.lit("Section "), (i + 1).cast("string")))).otherwise(X.clean_title(name(s))).alias("title"),
-            rest(s).alias("body"),
+        F.arrays_zip(F.regexp_extract_all(body, F.lit(mark), 1).alias("name"), F.transform(F.slice(F.split(body, mark), 2, F.size(F.split(body, mark))), X.strip).alias("rest")),
+        lambda z, i: F.struct(
+            F.when(X.strip(z["name"]).startswith("!["), F.coalesce(X.clean_title(first(z["rest"])), F.concat(F.lit("Section "), (i + 1).cast("string")))).otherwise(X.clean_title(z["name"])).alias("title"),
+            z["rest"].alias("body"),
         ),
     )
     whole = F.array(F.struct(F.lit("Document").alias("title"), body.alias("body")))
-    marked = files.withColumn("_s", F.when(body.rlike(_SLIDE), by_slide).when(body.rlike(r"(?m)^#{1,2}\s+.+$"), by_head).when(F.length(body) <= max_chars, whole))
+    marked = files.withColumn("_s", F.when(body.rlike(_SLIDE), by_slide).when(body.rlike(mark), by_head).when(F.length(body) <= max_chars, whole))
     told = marked.where(F.col("_s").isNotNull()).select(*files.columns, F.posexplode("_s").alias("section", "_x")).select(*files.columns, "section", "_x.title", "_x.body")
     long = packed(marked.where(F.col("_s").isNull()).drop("_s"), text_col, max_chars)
     return told.unionByName(long.select(*files.columns, F.col("part").alias("section"), X.first_meaningful_line("part_text").alias("title"), F.col("part_text").alias("body")))

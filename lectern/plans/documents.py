@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lectern.functions import text as X
-from lectern.functions.vocab import SKIP_LABELS
+from lectern.functions.vocab import SKIP_LABELS, SPACE
 from lectern.operators import chunking, generation, graph, questions, segments
 from lectern.sources import files
 from lectern.streaming import calls
 
-from .pages import strip, words
+from .pages import IMAGE, collapse, lines, strip, words
 from .units import EDGE, KU, concept
 from .views import sql_view, table, view
 
@@ -192,7 +192,19 @@ def call_windows(spark, sf_dir):
     return calls.windowed_stats(view(spark, sf_dir, "call_log")).withColumn("avg_latency", F.round("avg_latency", 4))
 
 
-@register("heading_sections")
+_MARK = f"(?m)^#{{1,2}}{SPACE}+(.+)$"
+_CLEAN = lambda x: f"substr(CASE WHEN starts_with({collapse(x)}, '![') THEN trim(regexp_replace({collapse(x)}, '{IMAGE}', '', 'g')) ELSE {collapse(x)} END, 1, 80)"
+_OWN = lambda x: f"list_transform({lines(x)}, lambda l: {strip('l')})"
+
+
+@register(
+    "heading_sections",
+    f"""WITH d AS (SELECT doc_id, replace(text, chr(10), chr(10) || '## ') AS md FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, unnest(range(len(names))) AS section, unnest(names) AS name, unnest(bodies[2:]) AS body FROM (SELECT doc_id, regexp_extract_all(md, '{_MARK}', 1) AS names, regexp_split_to_array(md, '{_MARK}') AS bodies FROM d WHERE regexp_matches(md, '{_MARK}')))
+SELECT doc_id, CAST(section AS INT) AS section, CASE WHEN starts_with({strip('name')}, '![') THEN coalesce({_CLEAN(f"list_filter({_OWN('body')}, lambda l: l <> '' AND NOT starts_with(l, '!['))[1]")}, 'Section ' || (section + 1)) ELSE {_CLEAN('name')} END AS title, CAST(length({strip('body')}) AS INT) AS chars FROM h
+UNION ALL SELECT doc_id, 0, CASE WHEN length(md) <= 6000 THEN 'Document' ELSE coalesce(substr(list_filter(list_transform(list_filter({_OWN('md')}, lambda l: l <> '' AND NOT regexp_matches(l, '^(!\\[|-|\\*|\\||#)')), lambda l: {strip("regexp_replace(l, '[*_`#]', '', 'g')")}), lambda l: length(l) > 3)[1], 1, 80), 'Section') END, CAST(length(md) AS INT)
+FROM d WHERE NOT regexp_matches(md, '{_MARK}')""",
+)
 def heading_sections(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n## ").alias("markdown"))
     return chunking.sections(d).select("doc_id", "section", "title", F.length("body").alias("chars"))

@@ -145,7 +145,23 @@ def dedup_pages(spark, sf_dir):
     return chunking.dedup_pages(view(spark, sf_dir, "page_near")).select("doc_id", "page_num")
 
 
-@register("chunk_pipeline")
+# Weak images: what leads a document grows until it says more; later chunks are judged alone.
+_WEAK = lambda image, text: f"""({image} AND length({text}) < 200 AND (len({_SAID(text)}) = 0 OR CAST(len(list_filter({_SAID(text)}, lambda x: starts_with(x, '![') OR contains(x, 'intentionally omitted'))) AS DOUBLE) / len({_SAID(text)}) > 0.6))"""
+_SAID = lambda text: f"list_filter(list_transform({lines(text)}, lambda x: {strip('x')}), lambda x: x <> '')"
+_PIPELINE = f"""dd AS (SELECT p.* FROM page_near p JOIN ({{dedup}}) k ON k.doc_id = p.doc_id AND k.page_num = p.page_num),
+{_TITLED.replace('page_src', 'dd')}, {_LAPPED.replace('{src}', 'dd')}, hd AS (SELECT doc_id, grp, min_by(title, page_num) AS topic FROM titled GROUP BY ALL), sh AS (SELECT doc_id, CAST(count(DISTINCT topic) AS DOUBLE) / count(*) AS r, count(*) AS n FROM hd GROUP BY doc_id),
+au AS (SELECT t.doc_id, t.page_num, t.title, t.text, t.has_image, CASE WHEN r < 0.4 OR (r > 0.85 AND n > 15) THEN l.grp ELSE t.grp END AS grp
+  FROM titled t JOIN sh USING (doc_id) JOIN lapped l ON l.doc_id = t.doc_id AND l.page_num = t.page_num), {_CHUNKS.replace('{src}', 'au').replace('c AS', 'c0 AS')},
+c1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY grp) AS k, {_WEAK('has_image', 'text')} AS weak FROM c0),
+wk AS (SELECT doc_id, k, 0 AS g, weak AS open, CASE WHEN weak THEN text END AS lead, has_image AS image FROM c1 WHERE k = 1
+  UNION ALL SELECT c1.doc_id, c1.k, CASE WHEN open OR c1.weak THEN g ELSE g + 1 END, open AND {_WEAK('(image OR c1.has_image)', "(lead || chr(10) || chr(10) || c1.text)")}, CASE WHEN open THEN lead || chr(10) || chr(10) || c1.text END, image OR c1.has_image
+  FROM wk JOIN c1 ON c1.doc_id = wk.doc_id AND c1.k = wk.k + 1),
+lx AS (SELECT doc_id, coalesce(min(k) FILTER (NOT open), max(k)) AS head FROM wk GROUP BY doc_id),
+c AS (SELECT doc_id, g AS grp, arg_min(topic, CASE WHEN k = head THEN 0 ELSE k END) AS topic, flatten(list(pages ORDER BY k)) AS pages, string_agg(text, chr(10) || chr(10) ORDER BY k) AS text, bool_or(has_image) AS has_image
+  FROM c1 JOIN wk USING (doc_id, k) JOIN lx USING (doc_id) GROUP BY doc_id, g)"""
+
+
+@register("chunk_pipeline", f"WITH RECURSIVE {sql_view('page_near')}, {_PIPELINE.replace('{dedup}', SQL['dedup_pages'])} {_OUT}")
 def chunk_pipeline(spark, sf_dir):
     return _digest(chunking.chunk_pages(view(spark, sf_dir, "page_near")))
 

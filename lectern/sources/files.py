@@ -104,6 +104,12 @@ def done_items(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def clear_log(spark: SparkSession, path: str) -> bool:
+    """Removes a log, so that the next run starts anew; False if there was none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def recovered_pages(pages: DataFrame, least: int = 50) -> DataFrame:
     """Pages (text, has_image, ocr_text, second_text) with the text that stands, and (parser, ocr_used, warnings).
 
