@@ -1,6 +1,7 @@
 """Queries of this subpackage and their SQL."""
 
-from . import decontamination, jaccard_join, line_dedup, mixing, quality_rules, secret_scan, sharding, token_counts, url_filters, warc
+from . import decontamination, jaccard_join, line_dedup, mixing, periodic_runs, quality_rules, secret_scan, sharding
+from . import spelling_variants, token_counts, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -13,6 +14,9 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_token_counts": token_counts.query,
     "op10_decontamination": decontamination.query,
+    "op11_spelling_variants": spelling_variants.query,
+    "op12_toxicity": toxicity.query,
+    "op13_periodic_runs": periodic_runs.query,
 }
 
 SQL = {
@@ -22,4 +26,5 @@ SQL = {
     "op4_warc": warc.SQL,
     "op6_url_filters": url_filters.SQL,
     "op7_quality_rules": quality_rules.SQL,
+    "op11_spelling_variants": spelling_variants.SQL,
 }
