@@ -2,7 +2,8 @@
 
 Method: batch encoding in Arrow functions that return lengths only. Batches are cut by bytes, not rows, and texts are
 split at safe boundaries, across which neither the tokenizer's normaliser nor its merges reach, so that counts of the
-pieces add up to the count of the text. For tokenizers that drop white space these are ASCII white space, and in long
+pieces add up to the count of the text. First come the tokenizer's added tokens (special strings), which it looks for in
+the text as it is: each is one token, and what lies between them is split further. For tokenizers that drop white space these are ASCII white space, and in long
 pieces without any the places before an ASCII digit or after a letter or digit before a mark of ASCII or CJK
 punctuation; for those that put a space before the word, single spaces between other characters. What lies between is
 one unit of the tokenizer itself, which no cut divides without changing the count. Pieces that recur are encoded once;
@@ -16,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -40,21 +42,40 @@ _INSIDE = re.compile(r"(?=[0-9])|(?<=[A-Za-z0-9\u3041-\u3096\u30a1-\u30fa\u4e00-
 _BEFORE = re.compile(r"(?<=[A-Za-z0-9.,;:!?)])(?= [A-Za-z0-9(])")
 
 
+@dataclass(frozen=True)
+class Counter:
+    """A tokenizer: from texts to token counts; a table of counts; its added tokens.
+
+    odd: it looks for added tokens in the normalised text, or some take white space or whole words; then no text is cut.
+    """
+
+    encode: Callable[[list[str]], list[int]]
+    table: dict[str, int]
+    strings: tuple[str, ...] = ()
+    added: re.Pattern | None = None
+    odd: bool = False
+
+
 @lru_cache(maxsize=4)
-def _counter(path: str) -> tuple[Callable[[list[str]], list[int]], dict[str, int]]:
-    """For the executor's Python worker: a function from texts to token counts, and its table."""
+def _counter(path: str) -> Counter:
+    """For the executor's Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)], {}
+        return Counter(lambda texts: [len(x) for x in model.encode(texts, num_threads=1)], {})
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], {}
+    tokens = list(tokenizer.get_added_tokens_decoder().values())
+    strings = tuple(t.content for t in tokens)
+    # at each place the longest that fits
+    added = re.compile("|".join(re.escape(x) for x in sorted(strings, key=lambda x: (-len(x), x)))) if strings else None
+    odd = any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in tokens)
+    return Counter(lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], {}, strings, added, odd)
 
 
 def _long(piece: str, encode: Callable[[list[str]], list[int]]) -> int:
@@ -78,9 +99,20 @@ def _packs(parts: list[str]) -> Iterator[list[str]]:
 
 def _count(texts: pa.Array, path: str, cut: str) -> np.ndarray:
     """Token counts of some texts."""
-    encode, table = _counter(path)
-    if cut == "none":
-        return np.array(encode(texts.to_pylist()), np.int64)
+    own = _counter(path)
+    if cut == "none" or own.odd:
+        return np.array(own.encode(texts.to_pylist()), np.int64)
+    if any(pc.any(pc.match_substring(texts, x)).as_py() for x in own.strings):
+        parts = [own.added.split(t) for t in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, parts)])
+        each = np.concatenate([[0], np.cumsum(_between(pa.array([p for x in parts for p in x], pa.large_string()), own, cut))])
+        return each[ends[1:]] - each[ends[:-1]] + np.diff(ends) - 1
+    return _between(texts, own, cut)
+
+
+def _between(texts: pa.Array, own: Counter, cut: str) -> np.ndarray:
+    """Token counts of some texts without added tokens."""
+    encode, table = own.encode, own.table
     if cut == "before":
         parts = [[p for p in _BEFORE.split(t) if p] for t in texts.to_pylist()]
         flat = pa.array([p for own in parts for p in own], pa.large_string())

@@ -229,12 +229,40 @@ def test_token_counts(spark, rows, name, cut):
     assert sorted(map(str, [tuple(r) for r in got])) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize(("name", "cut"), [("word_bpe_49k.json", "dropped"), ("byte_bpe_50k.json", "before"), ("byte_bpe_50k.json", "none"), ("piece_bpe_32k.model", "none")])
+def test_special_strings(tmp_path, name, cut):
+    """Every added token inside, before, behind and between long and short pieces, repeated, and nearly written."""
+    path = token_counts.tokenizer_path(name)
+    if name.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        count, added = lambda t: len(model.encode(t)), ["<s>", "</s>", "<unk>"]
+        variants = [(path, count, added)]
+    else:
+        from tokenizers import AddedToken, Tokenizer
+
+        variants = []
+        for more in ([], ["<a b>", "<a b>c", "word"], [AddedToken("<pad>", lstrip=True), AddedToken("UPPER", normalized=True), AddedToken("solo", single_word=True), "<x>"]):
+            tok = Tokenizer.from_file(path)
+            tok.add_special_tokens(more)
+            tok.save(own := f"{tmp_path}/{len(variants)}.json")
+            added = [t.content for t in tok.get_added_tokens_decoder().values()]
+            variants.append((own, lambda t, tok=tok: len(tok.encode(t, add_special_tokens=False).ids), added))
+    for own, count, added in variants:
+        texts = ["", "no such string", "a" * 60]
+        for x in added:
+            for long in ("a" * 60, "9" * 60, "漢字。" * 30, "ab.cd" * 20, "é" * 70, "short", "a b  c\n d "):
+                texts += [long + x, x + long, long + x + long, f"{long} {x} {long}", x * 10, f" {x} ", x[:-1] + long, x.upper() + long, (long + x) * 5, x + "'s" + long, f"{x}{added[0]}{long}"]
+        assert token_counts._count(pa.array(texts), own, cut).tolist() == [count(t) for t in texts]
+
+
 def test_token_table_is_bounded(monkeypatch):
     monkeypatch.setattr(token_counts, "TABLE", 3)
     path = token_counts.tokenizer_path()
     token_counts._counter.cache_clear()
     count = lambda texts: token_counts._count(pa.array(texts), path, "dropped").tolist()
-    encode, table = token_counts._counter(path)
+    encode, table = token_counts._counter(path).encode, token_counts._counter(path).table
     for texts in (["a b c d", "b c e", "f" * 60 + " a"], ["d e"], ["a b", "c"], ["", " "], ["9" * 60 + "x" * 70]):
         assert count(texts) == encode(texts)
         assert len(table) <= 3 and not any(len(w) > token_counts.PIECE for w in table)
@@ -247,7 +275,7 @@ def test_long_pieces_go_by_parts(monkeypatch):
     path = token_counts.tokenizer_path()
     rng = random.Random(3)
     text = "".join(rng.choice("0123456789abcdefABCDEF+/") for _ in range(50_000))
-    encode, _ = token_counts._counter(path)
+    encode = token_counts._counter(path).encode
     sizes = []
     assert token_counts._long(text, lambda p: sizes.append(sum(map(len, p))) or encode(p)) == encode([text])[0]
     assert max(sizes) <= 1000 and len(sizes) >= 50
