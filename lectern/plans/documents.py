@@ -11,6 +11,7 @@ from lectern.operators import chunking, generation, graph, questions, segments
 from lectern.sources import files
 from lectern.streaming import calls
 
+from .graph import relations_of
 from .pages import IMAGE, collapse, lines, strip, words
 from .units import EDGE, KU, concept
 from .views import sql_view, table, view
@@ -92,23 +93,6 @@ def segment_labels(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.has_label(label, SKIP_LABELS).alias("skip"), X.contains_any(F.lower(label), ("summary", "review", "recap")).alias("recap"))
 
 
-def _relations(spark, sf_dir):
-    e = view(spark, sf_dir, "ku_edge")
-    u = view(spark, sf_dir, "ku").select("doc_id", "ku_id", "concept")
-    e = e.join(u.withColumnsRenamed({"ku_id": "a", "concept": "from_concept"}), ["doc_id", "a"]).join(u.withColumnsRenamed({"ku_id": "b", "concept": "to_concept"}), ["doc_id", "b"])
-    return e.select("doc_id", F.col("edge_seq").alias("rel_ord"), "from_concept", "to_concept", "relation")
-
-
-@register("concept_edges")
-def concept_edges(spark, sf_dir):
-    u, e = view(spark, sf_dir, "ku"), view(spark, sf_dir, "ku_edge")
-    names = u.select("doc_id", F.col("ku_id").alias("b"), F.col("concept").alias("target_concept"))
-    own = e.join(names, ["doc_id", "b"]).groupBy("doc_id", F.col("a").alias("ku_id")).agg(F.array_sort(F.collect_list(F.struct("target_concept", "relation", F.lit("").alias("evidence")))).alias("related_kus"))
-    tree = u.groupBy("doc_id", F.col("parent_l1").alias("l1")).agg(F.array_sort(F.collect_set("owner_concept")).alias("names"))
-    tree = tree.withColumn("l1_ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("l1")))
-    return graph.concept_edges(u.join(own, ["doc_id", "ku_id"], "left"), _relations(spark, sf_dir), tree)
-
-
 @register(
     "display_edges",
     f"""WITH {KU}, {EDGE}, tr AS (SELECT DISTINCT doc_id, parent_l1 AS source, owner_concept AS target FROM ku), nd AS (SELECT doc_id, source AS node FROM tr UNION SELECT doc_id, target FROM tr),
@@ -238,7 +222,7 @@ def resolved_relations(spark, sf_dir):
     u = view(spark, sf_dir, "ku")
     segs = u.groupBy("doc_id", F.format_string("seg_%03d", F.floor(F.col("ord") / 8) + 1).alias("segment_id")).agg(F.array_sort(F.collect_set("concept")).alias("concepts"))
     tree = u.groupBy("doc_id", F.col("parent_l1").alias("name")).agg(F.array_sort(F.collect_set(F.struct(F.col("owner_concept").alias("name")))).alias("children")).withColumn("l1_ord", F.xxhash64("name"))
-    return segments.remapped_relations(segs, tree, _relations(spark, sf_dir)).drop("from_concept", "to_concept")
+    return segments.remapped_relations(segs, tree, relations_of(spark, sf_dir)).drop("from_concept", "to_concept")
 
 
 @register(
@@ -318,7 +302,7 @@ def extraction_prompts(spark, sf_dir):
         F.array_sort(F.collect_set("concept")).alias("concepts"), F.min("parent_l1").alias("parent_concept_name"), F.min("concept").alias("first"), F.array_join(F.collect_list("content"), "\n").alias("text")
     )
     segs = segs.withColumns({"segment_id": F.format_string("seg_%03d", F.col("ord") + 1), "label": F.concat(F.when(F.col("ord") % 3 == 2, "Summary of ").otherwise(""), "first"), "source_pages": F.array("ord")})
-    parts = segments.with_connections(segments.with_context(segs), _relations(spark, sf_dir))
+    parts = segments.with_connections(segments.with_context(segs), relations_of(spark, sf_dir))
     chunks = segments.to_chunks(parts)
     head = generation.unit_head(chunks.columns)
     return chunks.select("doc_id", F.get("pages", F.lit(0)).alias("ord"), F.length(head).alias("chars"), F.md5(head).alias("head_md5"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import chunking, generation, graph, knowledge, questions, segments
+from lectern.operators import chunking, concept_graph, generation, knowledge, questions, segments
 from lectern.sources.tables import staged
 
 _CHILD = "struct<concept_id:string,name:string,last_page:int>"
@@ -46,7 +46,7 @@ def knowledge_job(pages: DataFrame, outline_model: Callable, unit_model: Callabl
     told = staged(generation.extracted_units(segments.to_chunks(parts.where("NOT skip")), unit_model), "told")
     units = staged(knowledge.dedup_units(_in_order(told)).where("prominence <> 'peripheral'"), "units")
     names = tree.where("size(children) > 0").select("doc_id", "l1_ord", F.transform("children", lambda c: c["name"]).alias("names"))
-    edges = staged(graph.concept_edges(units, rels, names, parts.select("doc_id", "segment_id", "label", "concepts")), "edges")
+    edges = staged(concept_graph.concept_edges(units, rels, names, parts.select("doc_id", "segment_id", "label", "concepts")), "edges")
     out = staged(generation.single_questions(units, edges, question_model), "single")
     if difficulty in ("medium", "hard"):
         more = generation.cross_questions(units, edges, question_model, horizontal_only=difficulty != "hard", total=6 if difficulty == "medium" else 8)

@@ -4,11 +4,13 @@ import json
 import random
 
 import pytest
-from lectern.operators import generation, graph, knowledge, questions, segments
+from lectern.operators import concept_graph, generation, graph, knowledge, questions, segments
 from lectern.sources import files
 from lectern.streaming import calls
 from pyspark.sql import functions as F
 
+from . import plain_graph
+
 MCQ = "doc_id string, ord int, question string, A string, B string, C string, D string, answer string, explanation string, bloom_level string, difficulty string, source_chunk string"
 GOOD = ("d", 1, "What does the gate decide?", "keep", "drop", "add", "skip", "a", "It keeps.", "Apply", "medium", "chunk_001")
 
@@ -133,14 +135,14 @@ def unit(k, concept, kind="definition", owner="", l1="L", prominence="primary",
 def test_document_edges():
     units = [unit(1, "lstm", related=[("GRUs", "CONTRASTS_WITH", "")]), unit(2, "gru"), unit(3, "gate", "mechanism", "lstm"), unit(4, "peephole", "failure_mode", "lstm"), unit(5, "rnn")]
     rel = lambda k, a, b, r: {"rel_ord": k, "from_concept": a, "to_concept": b, "relation": r}
-    e = graph.document_edges(units, [rel(1, "rnn", "lstm", "EXTENDS"), rel(2, "lstm", "gru", "SIMILAR_TO")], [["lstm", "gru", "rnn"]])
+    e = plain_graph.document_edges(units, [rel(1, "rnn", "lstm", "EXTENDS"), rel(2, "lstm", "gru", "SIMILAR_TO")], [["lstm", "gru", "rnn"]])
     ids = lambda a, b: (f"seg_001_ku_0{a}", f"seg_001_ku_0{b}")
     kinds = {(a, b): r for a, b, r in e}
     assert kinds[ids(1, 2)] == "CONTRASTS_WITH"  # the first relation of a pair stays
     assert kinds[ids(1, 5)] == "EXTENDS"
     assert kinds[ids(2, 5)] == "SIBLING_OF"  # lstm and rnn follow each other, gru and rnn do not
     assert all(a < b for a, b, _ in e) and len(kinds) == len(e)
-    assert graph.document_edges([], [], []) == []
+    assert plain_graph.document_edges([], [], []) == []
 
 
 def test_graph_operator(spark):
@@ -149,7 +151,41 @@ def test_graph_operator(spark):
     df = spark.createDataFrame([("d", *[u[c.split(" ")[0]] if c.split(" ")[0] != "related_kus" else [tuple(x.values()) for x in u["related_kus"]] for c in schema.split(", ")[1:]]) for u in units], schema)
     none = spark.createDataFrame([], "doc_id string, rel_ord int, from_concept string, to_concept string, relation string")
     tree = spark.createDataFrame([], "doc_id string, l1_ord int, names array<string>")
-    assert [(r.a[-2:], r.b[-2:], r.relation) for r in graph.concept_edges(df, none, tree).collect()] == [("01", "02", "CONTRASTS_WITH")]
+    assert [(r.a[-2:], r.b[-2:], r.relation) for r in concept_graph.concept_edges(df, none, tree).collect()] == [("01", "02", "CONTRASTS_WITH")]
+
+
+def test_concept_edges_against_the_plain_version(spark):
+    """Documents with few names, so that degrees decide, and with segments that units do not name."""
+    rng = random.Random(11)
+    words = ["deep", "nets", "recurrent-cell", "Gate", "gates", "memory", "x"]
+    name = lambda: rng.choice([" ".join(rng.sample(words, rng.randrange(1, 4))), rng.choice(words), "", None, "+", " - "])
+    kinds, rels = ["definition", "mechanism", "failure_mode", "procedure", "application", "trade_off"], [*concept_graph.MODES, "PART_OF", None]
+    units, relations, trees, segs = [], [], [], []
+    for d in range(12):
+        n = rng.randrange(1, 40)
+        for k in range(n):
+            related = [(name(), rng.choice(rels), "") for _ in range(rng.randrange(4))]
+            units.append((f"d{d}", k, f"seg_{k % 5:03d}_ku_{k:02d}", rng.choice(kinds), name(), name(), name(), name(), name(), rng.choice([None, "w " * rng.randrange(40)]), rng.choice(["primary", "supporting", "peripheral", None]), related or None))
+        relations += [(f"d{d}", k, name(), name(), rng.choice(rels)) for k in range(rng.randrange(40))]
+        trees += [(f"d{d}", k, [name() for _ in range(rng.randrange(6))]) for k in range(rng.randrange(4))]
+        segs += [(f"d{d}", f"seg_{k:03d}", name(), rng.choice([None, [name(), name(), "only here"]])) for k in range(rng.randrange(8))]
+    schema = "doc_id string, ord int, ku_id string, type string, concept string, local_concept string, owner_concept string, parent_l1 string, parent_l2 string, verbatim_evidence string, prominence string, related_kus array<struct<target_concept:string,relation:string,evidence:string>>"
+    columns = [x.split(" ")[0] for x in schema.split(", ")]
+    tables = [spark.createDataFrame(units, schema), spark.createDataFrame(relations, "doc_id string, rel_ord int, from_concept string, to_concept string, relation string"), spark.createDataFrame(trees, "doc_id string, l1_ord int, names array<string>"), spark.createDataFrame(segs, "doc_id string, segment_id string, label string, concepts array<string>")]
+    for with_segments in (True, False):
+        got = {}
+        for r in concept_graph.concept_edges(*tables[: 4 if with_segments else 3], most=3).orderBy("doc_id", "edge_seq").collect():
+            got.setdefault(r.doc_id, []).append((r.a, r.b, r.relation))
+        for d in range(12):
+            mine = lambda rows: [r[1:] for r in rows if r[0] == f"d{d}"]  # noqa: E731, B023
+            own = [dict(zip(columns[1:], r, strict=True)) for r in mine(units)]
+            for u in own:
+                u["related_kus"] = [{"target_concept": t, "relation": r or "", "evidence": e} for t, r, e in u["related_kus"] or []]
+            rel = [dict(zip(("rel_ord", "from_concept", "to_concept", "relation"), (*r[:3], r[3] or ""), strict=True)) for r in mine(relations)]
+            seg = [{"segment_id": i, "label": x, "concepts": c or []} for i, x, c in mine(segs)] if with_segments else []
+            want = plain_graph.document_edges(own, rel, [t[1] for t in mine(trees)], sorted(seg, key=lambda s: plain_graph.by_number(s["segment_id"])), 3)
+            assert got.get(f"d{d}", []) == want
+    assert concept_graph.concept_edges(*[t.limit(0) for t in tables]).count() == 0
 
 
 def test_segments(spark):
