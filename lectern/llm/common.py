@@ -85,18 +85,37 @@ def free(name: str, df: DataFrame) -> str:
     return name
 
 
+#: Steps over a table's files that neither repeat rows nor mix them, so that file and place still tell rows apart.
+_ROW_BY_ROW = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "View"}
+
+
+def _as_read(df: DataFrame) -> bool:
+    """Whether each row of df is a row of its own in the Parquet files that it is read from."""
+    steps = [df._jdf.queryExecution().analyzed()]
+    while steps:
+        step = steps.pop()
+        if step.nodeName() not in _ROW_BY_ROW:
+            return False
+        children = step.children()
+        steps += [children.apply(k) for k in range(children.size())]
+    return True
+
+
 def with_key(df: DataFrame, name: str) -> DataFrame:
     """df with a 64-bit name for each row that is the same in all readings: a hash of the file and the place it is read from.
 
-    Rows that come from anything but Parquet files are written first. Two rows share a name with a chance of 2**-64.
+    Rows that come from anything but the selected or filtered rows of Parquet files, such as joined, exploded, sampled or
+    united ones, are written first and named by their places there. Two rows share a name with a chance of 2**-64.
     """
-    try:
-        place = df.metadataColumn("_metadata")
-        return df.withColumn(name, F.xxhash64(place["file_path"], place["row_index"]))
-    except AnalysisException:
-        table = written(df, "rows")
-        place = table.metadataColumn("_metadata")
-        return table.withColumn(name, F.xxhash64(place["file_path"], place["row_index"]))
+    if _as_read(df):
+        try:
+            place = df.metadataColumn("_metadata")
+            return df.withColumn(name, F.xxhash64(place["file_path"], place["row_index"]))
+        except AnalysisException:  # no files
+            pass
+    table = written(df, "rows")
+    place = table.metadataColumn("_metadata")
+    return table.withColumn(name, F.xxhash64(place["file_path"], place["row_index"]))
 
 
 #: At most so many keys are handed out by broadcast.

@@ -71,6 +71,25 @@ def test_join_hot(spark):
             assert all(r.n == (1 if r.key >= 900 else 129 if r.key < 4 else 128) for r in got if r.key < 950)
 
 
+def test_keys_are_unique(spark, tmp_path):
+    """Also where file and place are not: in joined, exploded, repeated and united rows. The same in each reading."""
+    path = f"{tmp_path}/t"
+    spark.range(40).select("id", F.concat(F.lit("a "), "id").alias("text")).repartition(3).write.parquet(path)
+    df = spark.read.parquet(path)
+    two = spark.createDataFrame([(1,), (2,)], "k int")
+    frames = {
+        "read": (df, 40), "filtered": (df.where("id % 2 = 0").select("text").withColumn("x", F.lit(1)), 20),
+        "joined": (df.crossJoin(two), 80), "exploded": (df.select("*", F.explode(F.split("text", " ")).alias("w")), 80), "united": (df.union(df), 80),
+        "sampled": (df.sample(True, 3.0, seed=5), None), "made": (two, 2), "grouped": (df.groupBy((F.col("id") % 4).alias("g")).count(), 4), "view": (df, 40),
+    }
+    df.createOrReplaceTempView("keys_view")
+    frames["view"] = (spark.sql("SELECT text FROM keys_view WHERE id >= 0"), 40)
+    for name, (frame, n) in frames.items():
+        keyed = common.with_key(frame, "key")
+        keys = sorted(r["key"] for r in keyed.collect())
+        assert len(set(keys)) == len(keys) and len(keys) == (n or len(keys)) and keys == sorted(r["key"] for r in keyed.collect()), name
+
+
 def test_scratch(spark):
     import os
 
