@@ -11,13 +11,15 @@ hashes of their own boilerplate lines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import hidden, read, with_key, written
 
 #: White space at the ends of a line does not tell lines apart.
 _TRIM = " \t\r\x0b\x0c"
+#: Rows with at most so many different boilerplate lines hold them beside the text; of others each line meets its own.
+FEW = 64
 
 
 def _line_key(line: Column) -> Column:
@@ -69,10 +71,21 @@ def remove_boilerplate(
         "lines",
     )
     found = written(boilerplate_lines(lines.select("h", "site"), min_sites, band, lg_k), "boilerplate")
-    marked = lines.select("key", "h").join(found, "h", "left_semi").groupBy("key").agg(F.collect_set("h").alias("gone"))
+    marked, many = lines.select("key", "h").join(found, "h", "left_semi").groupBy("key").agg(F.collect_set("h").alias("gone")), Observation()
+    marked = written(marked.observe(many, F.count(F.when(F.size("gone") > FEW, 1)).alias("n")), "marked")
     split = F.split(text, "\n")
     gone = F.coalesce(F.col("gone"), F.array().cast("array<bigint>"))
-    kept = rows.join(marked, "key", "left").withColumn("kept", F.filter(split, lambda x: ~F.array_contains(gone, _line_key(x)) | ~_has_word(x)))
+    joined = rows.join(marked, "key", "left")
+    kept = joined.where(F.size(gone) <= FEW).withColumn("kept", F.filter(split, lambda x: ~F.array_contains(gone, _line_key(x)) | ~_has_word(x)))
+    if many.get["n"]:
+        # of rows with many such lines each line is looked up by itself, so that the work follows the number of lines
+        crowded = marked.where(F.size("gone") > FEW)
+        out = crowded.select("key", F.explode("gone").alias("h"))
+        each = rows.join(crowded.select("key"), "key").select("key", F.posexplode(split).alias("at", "line"))
+        each = each.withColumn("h", F.when(_has_word(F.col("line")), _line_key(F.col("line")))).join(out, ["key", "h"], "left_anti")
+        left = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("left"))
+        whole = joined.where(F.size(gone) > FEW).join(left, "key", "left")
+        kept = kept.unionByName(whole.withColumn("kept", F.coalesce(F.col("left.line"), F.array().cast("array<string>"))).drop("left"))
     n_lines = F.coalesce(F.size(F.filter(split, _has_word)), F.lit(0)).cast("long")
     return kept.select(
         *back,
