@@ -76,7 +76,49 @@ def built_segments(spark, sf_dir):
     return s.select("doc_id", "segment_id", "label", F.array_join(F.transform("source_pages", lambda p: p.cast("string")), ",").alias("pages"), F.md5("text").alias("text_md5"))
 
 
-@register("segments_merged_and_split")
+_SKIPS = "'(^|[^a-z0-9])(" + "|".join(k.replace("&", "\\&") for k in SKIP_LABELS) + ")([^a-z0-9]|$)'"
+_RULE = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+
+
+@register(
+    "segments_merged_and_split",
+    f"""WITH RECURSIVE {_RAW}, pv AS (SELECT *, coalesce(max(last_page) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS prev FROM br),
+a AS (SELECT v.doc_id, v.ord, p.page_num, CASE WHEN {strip('p.text')} <> '' THEN '[' || p.title || ']' || chr(10) || {strip('p.text')} END AS t FROM pv v JOIN page_src p ON p.doc_id = v.doc_id AND p.page_num > v.prev AND p.page_num <= v.last_page),
+s AS (SELECT doc_id, ord, list(page_num ORDER BY page_num) AS pages, string_agg(t, {_RULE} ORDER BY page_num) AS text FROM a GROUP BY ALL),
+sg AS MATERIALIZED (SELECT b.doc_id, b.ord, 'seg_' || lpad(CAST(row_number() OVER (PARTITION BY b.doc_id ORDER BY b.ord) AS VARCHAR), 3, '0') AS segment_id, label, string_split(concepts, ';') AS concepts, pages, text, parent_concept_id AS pid,
+  CASE WHEN parent_concept_id <> '' THEN 'Topic ' || substr(parent_concept_id, 2) ELSE '' END AS pname FROM br b JOIN s ON s.doc_id = b.doc_id AND s.ord = b.ord WHERE text <> ''),
+sm AS (SELECT DISTINCT doc_id FROM sg WHERE length(text) < 500 AND pid <> ''),
+fm AS MATERIALIZED (SELECT doc_id, pid, any_value(pname) AS pname, min(ord) AS first, bool_and(length(text) < 500) AS alls, list({{'label': label, 'concepts': concepts, 'pages': pages, 'text': text}} ORDER BY pages[1], ord) AS f FROM sg WHERE pid <> '' AND doc_id IN (FROM sm) GROUP BY doc_id, pid),
+w AS (SELECT doc_id, pid, list_transform(f, lambda x, i: {{'n': length(x.text), 'm': [i]}}) AS todo, CAST([] AS STRUCT(n BIGINT, m BIGINT[])[]) AS done, false AS changed FROM fm WHERE NOT alls
+  UNION ALL
+  SELECT doc_id, pid, CASE WHEN len(todo) = 0 THEN done WHEN todo[1].n < 500 AND len(todo) > 1 THEN todo[3:] ELSE todo[2:] END,
+    CASE WHEN len(todo) = 0 THEN [] WHEN todo[1].n < 500 AND len(todo) > 1 THEN list_append(done, {{'n': todo[1].n + todo[2].n + 7, 'm': list_concat(todo[1].m, todo[2].m)}}) ELSE list_append(done, todo[1]) END,
+    len(todo) > 0 AND (changed OR (todo[1].n < 500 AND len(todo) > 1)) FROM w WHERE len(todo) > 0 OR changed),
+un AS (SELECT doc_id, pid, unnest(done) AS u, unnest(range(len(done))) AS place FROM w WHERE len(todo) = 0 AND NOT changed
+  UNION ALL SELECT doc_id, pid, {{'n': 0, 'm': range(1, len(f) + 1)}}, 0 FROM fm WHERE alls),
+mg AS (SELECT doc_id, label, concepts, pages, text, '' AS pname, 0 AS level, ord AS first, 0 AS place FROM sg WHERE pid = '' AND doc_id IN (FROM sm)
+  UNION ALL SELECT un.doc_id, CASE WHEN alls THEN pname ELSE array_to_string(list_transform(u.m, lambda k: f[k].label), ' + ') END,
+    CASE WHEN alls THEN list_concat([pname], [pname || ' part 1', pname || ' part 2', pname || ' part 3']) ELSE flatten(list_transform(u.m, lambda k: f[k].concepts)) END, list_sort(flatten(list_transform(u.m, lambda k: f[k].pages))),
+    array_to_string(list_transform(u.m, lambda k: f[k].text), {_RULE}), CASE WHEN alls THEN '' ELSE pname END, 1, first, place FROM un JOIN fm ON fm.doc_id = un.doc_id AND fm.pid = un.pid),
+al AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pages[1], level, first, place) AS ord, label, concepts, pages, text, pname, '' AS segment_id FROM mg
+  UNION ALL SELECT doc_id, ord, label, concepts, pages, text, pname, segment_id FROM sg WHERE doc_id NOT IN (FROM sm)),
+nm AS MATERIALIZED (SELECT * REPLACE (CASE WHEN segment_id = '' THEN 'seg_' || lpad(CAST(ord AS VARCHAR), 3, '0') ELSE segment_id END AS segment_id), string_split(text, {_RULE}) AS bl FROM al),
+ct AS (SELECT doc_id, segment_id, list_transform(bl, lambda x: length(x) + 9) AS sz, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(a BIGINT, b BIGINT)[]) AS o FROM nm WHERE length(text) > 5000
+  UNION ALL SELECT doc_id, segment_id, sz, i + 1, CASE WHEN len(o) = 0 OR n + sz[i] > 5000 THEN sz[i] ELSE n + sz[i] END,
+    CASE WHEN len(o) = 0 OR n + sz[i] > 5000 THEN list_append(o, {{'a': i - 1, 'b': i - 1}}) ELSE list_append(o[:-2], {{'a': o[-1].a, 'b': i - 1}}) END FROM ct WHERE i <= len(sz)),
+pt AS (SELECT doc_id, segment_id, unnest(o) AS r, unnest(range(len(o))) AS k FROM ct WHERE i > len(sz) AND len(o) > 1),
+fp AS (SELECT n.doc_id, ord, label, concepts, pname, n.segment_id, '' AS parent_segment_id, pages, text FROM nm n WHERE (doc_id, segment_id) NOT IN (SELECT (doc_id, segment_id) FROM pt)
+  UNION ALL SELECT n.doc_id, ord, label, concepts, pname, n.segment_id || chr(CAST(97 + k AS INT)), n.segment_id,
+    CASE WHEN least(r.b * len(pages) // len(bl) + 1, len(pages)) > r.a * len(pages) // len(bl) THEN pages[r.a * len(pages) // len(bl) + 1:least(r.b * len(pages) // len(bl) + 1, len(pages))] ELSE pages END,
+    array_to_string(bl[r.a + 1:r.b + 1], {_RULE}) FROM pt JOIN nm n ON n.doc_id = pt.doc_id AND n.segment_id = pt.segment_id),
+lb AS (SELECT doc_id, segment_id, CASE WHEN sum(b - a + 1) = 1 THEN 'Page ' ELSE 'Pages ' END || string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) AS pages FROM (
+    SELECT doc_id, segment_id, min(p) AS a, max(p) AS b FROM (SELECT doc_id, segment_id, p, p - row_number() OVER (PARTITION BY doc_id, segment_id ORDER BY p) AS g FROM (SELECT DISTINCT doc_id, segment_id, unnest(pages) AS p FROM fp)) GROUP BY doc_id, segment_id, g) GROUP BY ALL),
+sk AS (SELECT *, regexp_matches(lower(label), {_SKIPS}) AS skip, contains(lower(label), 'summary') OR contains(lower(label), 'review') OR contains(lower(label), 'recap') AS recap,
+  row_number() OVER (PARTITION BY doc_id ORDER BY ord, segment_id) AS at FROM fp),
+sn AS (SELECT s.doc_id, s.at, list_distinct(flatten(list(CASE WHEN p.pname <> '' THEN list_append(p.concepts, p.pname) ELSE p.concepts END))) AS seen FROM sk s JOIN sk p ON p.doc_id = s.doc_id AND p.at < s.at AND NOT p.skip GROUP BY ALL)
+SELECT sk.doc_id, sk.segment_id, parent_segment_id, label, lb.pages, CAST(length(text) AS INT) AS chars, skip, recap, pname <> '' AND coalesce(list_contains(seen, pname), false) AS l1_seen, CAST(coalesce(len(seen), 0) AS INT) AS seen
+FROM sk JOIN lb ON lb.doc_id = sk.doc_id AND lb.segment_id = sk.segment_id LEFT JOIN sn ON sn.doc_id = sk.doc_id AND sn.at = sk.at""",
+)
 def segments_merged_and_split(spark, sf_dir):
     s = segments.merged_small(segments.built(*_breaks(spark, sf_dir), absorb_trailing=False), _hierarchy(spark, sf_dir))
     s = segments.with_context(segments.split_long(s))

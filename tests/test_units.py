@@ -188,6 +188,64 @@ def test_concept_edges_against_the_plain_version(spark):
     assert concept_graph.concept_edges(*[t.limit(0) for t in tables]).count() == 0
 
 
+def merged_one_by_one(rows, kids):
+    """Small siblings join their right neighbour, pass by pass, one document in plain Python."""
+
+    def join(a, b):
+        names = a["concepts"] + [c for c in b["concepts"] if c not in a["concepts"]]
+        return a | {"label": f"{a['label']} + {b['label']}", "concepts": names, "source_pages": sorted({*a["source_pages"], *b["source_pages"]}), "text": segments.RULE.join(t for t in (a["text"], b["text"]) if t.strip())}
+
+    if not any(len(r["text"]) < segments.SMALL and r["parent_concept_id"] for r in rows):
+        return rows
+    out, families = [r for r in rows if not r["parent_concept_id"]], {}
+    for r in rows:
+        if r["parent_concept_id"]:
+            families.setdefault(r["parent_concept_id"], []).append(r)
+    for parent, family in families.items():
+        family.sort(key=lambda r: r["source_pages"][0])
+        if all(len(r["text"]) < segments.SMALL for r in family):
+            whole = family[0]
+            for r in family[1:]:
+                whole = join(whole, r)
+            name = family[0]["parent_concept_name"] or parent
+            out.append(whole | {"label": name, "concepts": [name, *kids.get(parent, [])], "concept_id": parent, "parent_concept_id": "", "parent_concept_name": ""})
+            continue
+        while True:
+            todo, done = family[::-1], []
+            while todo:
+                r = todo.pop()
+                done.append(join(r, todo.pop()) if len(r["text"]) < segments.SMALL and todo else r)
+            if len(done) == len(family):
+                break
+            family = done
+        out += family
+    out.sort(key=lambda r: r["source_pages"][0])
+    return [r | {"segment_id": f"seg_{k:03d}", "ord": k} for k, r in enumerate(out, 1)]
+
+
+def test_merged_small_against_the_plain_version(spark):
+    rng = random.Random(8)
+    schema = "doc_id string, ord int, label string, concepts array<string>, last_page int, parent_concept_id string, concept_id string, parent_concept_name string, source_pages array<int>, text string, segment_id string"
+    names = [x.split()[0] for x in schema.split(", ")]
+    rows, tree = [], []
+    for d in range(25):
+        text = lambda: rng.choice(["x" * rng.randrange(1, 60), "y" * rng.randrange(1, 600), "z" * 700, "  \n "]) if d else "z" * 800  # noqa: E731, B023
+        page = 0
+        for k in range(1, rng.randrange(2, 60)):
+            parent = rng.choice(["", "p", "q", "r"]) if d % 5 else rng.choice(["p", "p", "p", ""])
+            pages = list(range(page + 1, page + 1 + rng.randrange(1, 4)))
+            page += rng.randrange(0, 3)
+            rows.append((f"d{d}", k, f"s{k}", [f"c{k}", f"shared{k % 3}"], pages[-1], parent, f"id{k}", rng.choice(["", parent.upper()]), pages, text(), f"seg_{k:03d}"))
+        tree += [(f"d{d}", p, [(f"{p} child {j}",) for j in range(3)] if p != "r" else None) for p in "pqr"]
+    df = spark.createDataFrame(rows, schema)
+    got = {}
+    for r in segments.merged_small(df, spark.createDataFrame(tree, "doc_id string, concept_id string, children array<struct<name:string>>")).orderBy("doc_id", "ord").collect():
+        got.setdefault(r.doc_id, []).append(r.asDict())
+    for d in range(25):
+        want = merged_one_by_one([dict(zip(names, r, strict=True)) for r in rows if r[0] == f"d{d}"], {p: [f"{p} child {j}" for j in range(3)] for p in "pq"})
+        assert got.get(f"d{d}", []) == want
+
+
 def test_segments(spark):
     pages = spark.createDataFrame([("d", p, f"Slide {p}", f"text {p} " + "x" * (30 if p < 8 else 600), False) for p in range(1, 21)], "doc_id string, page_num int, title string, text string, has_image boolean")
     cut = lambda rows: spark.createDataFrame([("d", k, f"s{k}", [f"c{k}"], last, pid, f"id{k}", "P" if pid else "") for k, (last, pid) in enumerate(rows, 1)], "doc_id string, ord int, label string, concepts array<string>, last_page int, parent_concept_id string, concept_id string, parent_concept_name string")
