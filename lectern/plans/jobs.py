@@ -61,17 +61,25 @@ def _in_order(units: DataFrame) -> DataFrame:
     return units.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy(X.by_number("chunk_id"), "ord")))
 
 
-def chunk_job(pages: DataFrame, model: Callable, levels: tuple[str, ...], difficulty: str, done: DataFrame | None = None, strategy: str = "auto") -> dict[str, DataFrame]:
-    """Chunks to flat questions: work list without what is done, calls, parsed rows, validation. judge with generation.judge_calls."""
+def chunk_job(pages: DataFrame, model: Callable, levels: tuple[str, ...], difficulty: str, done: DataFrame | None = None, strategy: str = "auto", log: str | None = None) -> dict[str, DataFrame]:
+    """Chunks to flat questions: work list without what is done, budgets, calls, parsed rows, validation; judge with generation.judge_calls.
+
+    log: a path to which calls are appended as they are made; a later run asks for what it lacks, and calls, questions and
+    progress (items, chunks, mcqs) cover the whole log. Without one, progress covers this run's calls.
+    """
     chunks = staged(chunking.chunk_pages(pages, strategy), "chunks")
-    items = generation.work_list(chunks, levels)
+    items = generation.with_budget(generation.work_list(chunks, levels), len(levels))
     items = items if done is None else generation.remaining(items, done)
-    prompt = F.concat(F.lit("Write multiple-choice questions as JSON at level "), "bloom_level", F.lit(f", difficulty {difficulty}, on:\n"), X.prompt_text("text"))
-    asked = staged(generation.called(items.withColumn("prompt", prompt), model), "calls")
+    items = items.withColumn("prompt", generation.flat_prompt(difficulty))
+    if log is None:
+        asked = staged(generation.with_counts(generation.called(items, model)), "calls")
+    else:
+        asked = generation.called_in_parts(items, model, log)
     flat = generation.parsed_flat_questions(asked.where("status = 'success'").select("doc_id", F.col("chunk_id").alias("source_chunk"), "level_ord", "raw"))
     order = F.row_number().over(_by_place())
     checked = questions.validated(flat.withColumn("ord", order).drop("raw"))
-    return {"chunks": chunks, "calls": asked, "questions": checked, "stats": questions.validation_stats(checked)}
+    progress = generation.checkpoint_summary(asked.where("status <> 'error'"))
+    return {"chunks": chunks, "calls": asked, "questions": checked, "stats": questions.validation_stats(checked), "progress": progress}
 
 
 def _by_place():

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from lectern.functions.caps import within_degree
 from lectern.functions.vocab import EDGE_PRIORITY
 from lectern.operators.concept_graph import LOCAL, MODES, MODES_ELSE, OWNER, PROMINENCE, TYPE_BONUS, mode_fits
+from lectern.operators.graph import by_number, within
 
 
 def norm(name):
@@ -18,16 +19,6 @@ def tokens(name):
     return frozenset(t.rstrip("s") if len(t) > 3 else t for t in re.findall(r"\w+", norm(name)))
 
 
-def by_number(name: str) -> tuple[int, str]:
-    """An order of ids such as seg_999, seg_1000 or seg_012b by the number in them, then as text."""
-    digits = re.search(r"\d+", name or "")
-    return int(digits[0]) if digits else -1, name or ""
-
-
-def within(a: frozenset[str], b: frozenset[str]) -> bool:
-    return a <= b or b <= a
-
-
 def match_score(value: str | None, target: str, scores: tuple[int, int, int]) -> int:
     v, t = norm(value), norm(target)
     if not v or not t:

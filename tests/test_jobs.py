@@ -65,6 +65,32 @@ def test_chunk_job(spark, pages):
     assert jobs.chunk_job(pages, flat, ("apply", "analyze"), "medium", done, "title")["calls"].count() == n
 
 
+def test_chunk_job_resumes_by_its_log(spark, pages, tmp_path):
+    """A run that fails for some items leaves the others in the log; the next asks for what is missing alone."""
+    log, levels = str(tmp_path / "log"), ("apply", "analyze")
+
+    def failing(prompt, json_mode):
+        if "level analyze" in prompt:
+            raise RuntimeError("no answer")
+        return flat(prompt, json_mode)
+
+    first = jobs.chunk_job(pages, failing, levels, "medium", strategy="title", log=log)
+    n = first["chunks"].where("chunk_type = 'conceptual'").count()
+    assert first["progress"].collect() == [(n, n, n)]
+    late = jobs.chunk_job(pages, lambda p, j: json.dumps({"skip": True}) if "level analyze" in p else 1 / 0, levels, "medium", strategy="title", log=log)
+    assert late["progress"].collect() == [(2 * n, n, n)] and late["calls"].where("status = 'success'").count() == 2 * n
+    assert late["calls"].where("n_mcqs = 0").count() == n
+    again = jobs.chunk_job(pages, lambda p, j: 1 / 0, levels, "medium", strategy="title", log=log)
+    assert again["progress"].collect() == [(2 * n, n, n)]
+    s = {r.doc_id: r for r in again["stats"].collect()}
+    assert s["d1"].valid == 1
+
+
+def test_whole_documents_are_asked_for_more(spark, pages):
+    out = jobs.chunk_job(pages, flat, ("apply",), "medium", strategy="whole_doc")
+    assert out["calls"].count() > 0 and out["calls"].where("n_questions < 2 OR NOT contains(prompt, concat(n_questions, ' different'))").count() == 0
+
+
 def test_providers():
     now = [0.0]
 
