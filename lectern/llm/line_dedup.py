@@ -75,17 +75,19 @@ def remove_boilerplate(
     marked = written(marked.observe(many, F.count(F.when(F.size("gone") > FEW, 1)).alias("n")), "marked")
     split = F.split(text, "\n")
     gone = F.coalesce(F.col("gone"), F.array().cast("array<bigint>"))
-    joined = rows.join(marked, "key", "left")
-    kept = joined.where(F.size(gone) <= FEW).withColumn("kept", F.filter(split, lambda x: ~F.array_contains(gone, _line_key(x)) | ~_has_word(x)))
+    # texts move once, at any size, and meet both tables there
+    joined = rows.join(marked.hint("merge"), "key", "left")
+    kept = F.filter(split, lambda x: ~F.array_contains(gone, _line_key(x)) | ~_has_word(x))
     if many.get["n"]:
         # of rows with many such lines each line is looked up by itself, so that the work follows the number of lines
         crowded = marked.where(F.size("gone") > FEW)
-        out = crowded.select("key", F.explode("gone").alias("h"))
-        each = rows.join(crowded.select("key"), "key").select("key", F.posexplode(split).alias("at", "line"))
-        each = each.withColumn("h", F.when(_has_word(F.col("line")), _line_key(F.col("line")))).join(out, ["key", "h"], "left_anti")
+        keys = written(crowded.select("key"), "crowded")
+        each = rows.join(keys, "key").select("key", F.posexplode(split).alias("at", "line"))
+        each = each.withColumn("h", F.when(_has_word(F.col("line")), _line_key(F.col("line")))).join(crowded.select("key", F.explode("gone").alias("h")), ["key", "h"], "left_anti")
         left = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("left"))
-        whole = joined.where(F.size(gone) > FEW).join(left, "key", "left")
-        kept = kept.unionByName(whole.withColumn("kept", F.coalesce(F.col("left.line"), F.array().cast("array<string>"))).drop("left"))
+        joined = joined.join(left.hint("merge"), "key", "left")
+        kept = F.when(F.size(gone) > FEW, F.coalesce(F.col("left.line"), F.array().cast("array<string>"))).otherwise(kept)
+    kept = joined.withColumn("kept", kept)
     n_lines = F.coalesce(F.size(F.filter(split, _has_word)), F.lit(0)).cast("long")
     return kept.select(
         *back,
