@@ -1,7 +1,7 @@
 """Pages to chunks: near-duplicate pages, consecutive titles, word overlap, fixed size or the whole document.
 
-Rules that depend on what was kept or grouped before are folds over the ordered pages of one document; the rest are
-windows by document. A fold carries word sets, not texts.
+Rules that depend on what was kept or grouped before are in pagesets; the rest are windows by document over slim rows. No
+task gets the texts of a whole document; (doc_id, page_num) tells pages apart.
 """
 
 from __future__ import annotations
@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.vocab import DUPLICATE, INSTRUCTIONAL_TOPICS, LONG_CHUNK_CHARS, MAX_PAGES, MIN_CHUNK_CHARS, OVERLAP, SPACE, STRUCTURAL_TOPICS, WEAK_IMAGE_CHARS
+from lectern.sources.tables import staged
+
+from . import pagesets
+
 
 def _by_page():
     return Window.partitionBy("doc_id").orderBy("page_num")
@@ -18,54 +22,32 @@ def _by_page():
 
 def dedup_pages(pages: DataFrame, keep_last: int = 3) -> DataFrame:
     """Drop a page whose word set is more than 0.95 similar to one of the last three kept pages of its document."""
-    slim = pages.select("doc_id", "page_num", X.word_set(X.strip(F.coalesce("text", F.lit("")))).alias("w"))
-    ordered = slim.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_num", "w"))).alias("ps"))
-    start = F.struct(F.array().cast("array<array<string>>").alias("last"), F.array().cast("array<int>").alias("kept"))
-
-    def step(acc: Column, p: Column) -> Column:
-        twin = F.exists(acc["last"], lambda s: X.jaccard(p["w"], s) > DUPLICATE)
-        more = F.concat(acc["last"], F.array(p["w"]))
-        return F.when(twin, acc).otherwise(
-            F.struct(F.slice(more, F.greatest(F.size(more) - keep_last + 1, F.lit(1)), F.lit(keep_last)).alias("last"), F.concat(acc["kept"], F.array(p["page_num"])).alias("kept"))
-        )
-
-    kept = ordered.select("doc_id", F.explode(F.aggregate("ps", start, step)["kept"]).alias("page_num"))
-    return pages.join(kept, ["doc_id", "page_num"], "left_semi")
+    return pagesets.joined(pages, pagesets.twins(pages, DUPLICATE, keep_last), how="left_anti")
 
 
-def groups_by_title(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """Adds grp: consecutive pages with one normalized title, at most max_pages together."""
-    t = pages.withColumn("_t", X.normalize_title("title"))
+def _title_groups(pages: DataFrame, max_pages: int) -> DataFrame:
+    """(doc_id, page_num, title, grp), so that windows do not take texts along."""
+    t = pages.select("doc_id", "page_num", "title", X.normalize_title("title").alias("_t"))
     t = t.withColumn("_new", F.coalesce((~F.lag("_t").over(_by_page()).eqNullSafe(F.col("_t"))).cast("int"), F.lit(1)))
     t = t.withColumn("_new", F.when(F.row_number().over(_by_page()) == 1, 1).otherwise(F.col("_new")))
     t = t.withColumn("_run", F.sum("_new").over(_by_page()))
     t = t.withColumn("_part", F.floor((F.row_number().over(Window.partitionBy("doc_id", "_run").orderBy("page_num")) - 1) / max_pages))
-    t = t.withColumn("grp", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("_run", "_part")))
-    return t.drop("_t", "_new", "_run", "_part")
+    return t.select("doc_id", "page_num", "title", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("_run", "_part")).alias("grp"))
 
 
-def groups_by_overlap(pages: DataFrame, max_pages: int = MAX_PAGES, least: float = OVERLAP) -> DataFrame:
-    """Adds grp: a page goes on with a chunk if its words overlap those of the chunk's last two pages."""
-    w = pages.withColumn("_w", X.word_set(F.coalesce("text", F.lit(""))))
-    one, two = F.lag("_w", 1).over(_by_page()), F.lag("_w", 2).over(_by_page())
-    sims = w.select(
-        "doc_id", "page_num", X.jaccard(one, F.col("_w")).alias("s1"), X.jaccard(F.array_union(F.coalesce(two, F.array().cast("array<string>")), one), F.col("_w")).alias("s2")
-    )
-    ordered = sims.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_num", "s1", "s2"))).alias("ps"))
-    start = F.struct(F.lit(0).alias("len"), F.lit(0).alias("grp"), F.array().cast("array<int>").alias("out"))
+def groups_by_title(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+    """Adds grp: consecutive pages with one normalized title, at most max_pages together."""
+    return pagesets.joined(pages, _title_groups(pages, max_pages).drop("title"))
 
-    def step(acc: Column, p: Column) -> Column:
-        sim = F.when(acc["len"] == 1, p["s1"]).otherwise(p["s2"])
-        on = (acc["len"] > 0) & (acc["len"] < max_pages) & (F.coalesce(sim, F.lit(0.0)) >= least)
-        grp = acc["grp"] + F.when(on, 0).otherwise(1)
-        return F.struct(F.when(on, acc["len"] + 1).otherwise(1).alias("len"), grp.alias("grp"), F.concat(acc["out"], F.array(grp)).alias("out"))
 
-    out = ordered.select("doc_id", F.arrays_zip(F.transform("ps", lambda p: p["page_num"]).alias("page_num"), F.aggregate("ps", start, step)["out"].alias("grp")).alias("z"))
-    return pages.join(out.select("doc_id", F.inline("z")), ["doc_id", "page_num"])
+def groups_by_overlap(pages: DataFrame, max_pages: int = MAX_PAGES, least: float = OVERLAP) -> DataFrame:
+    """Adds grp: a page goes on with a chunk if its words overlap those of the chunk's last two pages."""
+    return pagesets.joined(pages, pagesets.overlap_groups(pages, max_pages, least))
 
 
 def groups_fixed(pages: DataFrame, size: int, max_pages: int = MAX_PAGES) -> DataFrame:
-    return pages.withColumn("grp", (F.floor((F.row_number().over(_by_page()) - 1) / min(size, max_pages)) + 1).cast("int"))
+    slim = pages.select("doc_id", "page_num")
+    return pagesets.joined(pages, slim.withColumn("grp", (F.floor((F.row_number().over(_by_page()) - 1) / min(size, max_pages)) + 1).cast("int")))
 
 
 def build_chunks(grouped: DataFrame) -> DataFrame:
@@ -101,13 +83,13 @@ def whole_doc_chunks(pages: DataFrame) -> DataFrame:
 
 def auto_groups(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     """By title, unless the share of different topics says that titles tell too little or too much; then by overlap."""
-    titled = groups_by_title(pages, max_pages)
+    titled = _title_groups(pages, max_pages)
     heads = titled.groupBy("doc_id", "grp").agg(F.min_by("title", "page_num").alias("topic"))
     share = heads.groupBy("doc_id").agg(F.count_distinct("topic").alias("u"), F.count(F.lit(1)).alias("n"))
-    share = share.select("doc_id", ((F.col("u") / F.col("n") < 0.4) | ((F.col("u") / F.col("n") > 0.85) & (F.col("n") > 15))).alias("_by_overlap"))
-    lapped = groups_by_overlap(pages, max_pages).select("doc_id", "page_num", F.col("grp").alias("_g2"))
-    both = titled.join(share, "doc_id").join(lapped, ["doc_id", "page_num"])
-    return both.withColumn("grp", F.when(F.col("_by_overlap"), F.col("_g2")).otherwise(F.col("grp"))).drop("_g2", "_by_overlap")
+    share = staged(share.select("doc_id", ((F.col("u") / F.col("n") < 0.4) | ((F.col("u") / F.col("n") > 0.85) & (F.col("n") > 15))).alias("_by_overlap")), "shares")
+    lapped = pagesets.overlap_groups(pagesets.joined(pages, share.where("_by_overlap").select("doc_id"), ("doc_id",), "left_semi"), max_pages, OVERLAP)
+    kept = pagesets.joined(titled, share.where("NOT _by_overlap").select("doc_id"), ("doc_id",), "left_semi")
+    return pagesets.joined(pages, kept.drop("title").unionByName(lapped))
 
 
 def merge_weak_images(chunks: DataFrame) -> DataFrame:
@@ -118,15 +100,20 @@ def merge_weak_images(chunks: DataFrame) -> DataFrame:
     ends; behind it a chunk is judged alone. A chunk of several is named by the one that the others join. A null text
     counts as empty; a document of one chunk stays as it is.
     """
+    return _merged(chunks).drop("_n")
+
+
+def _merged(chunks: DataFrame) -> DataFrame:
+    """merge_weak_images, with _n, the place of each chunk in its document. Windows take counts along, not texts."""
+    chunks = staged(chunks, "chunks")
     own = [c for c in chunks.columns if c != "doc_id"]
     place = Window.partitionBy("doc_id").orderBy("grp")
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.transform(X.lines(text), X.strip), lambda x: x != "")
     shown = F.filter(lines, lambda x: x.startswith("![") | F.contains(x, F.lit("intentionally omitted")))
     few = lambda image, chars, n, pictures: image & (chars < WEAK_IMAGE_CHARS) & ((n == 0) | (pictures / F.greatest(n, F.lit(1)) > 0.6))
-    counted = chunks.select(
-        "doc_id", F.struct(*own).alias("c"), F.row_number().over(place).alias("k"), F.coalesce("has_image", F.lit(False)).alias("image"), F.length(text).alias("chars"), F.size(lines).alias("n"), F.size(shown).alias("pictures")
-    )
+    counted = chunks.select("doc_id", "grp", F.coalesce("has_image", F.lit(False)).alias("image"), F.length(text).alias("chars"), F.size(lines).alias("n"), F.size(shown).alias("pictures"))
+    counted = staged(counted, "counts").withColumn("k", F.row_number().over(place))
     sofar = Window.partitionBy("doc_id").orderBy("k")
     together = [F.sum(c).over(sofar) for c in ("n", "pictures")]
     leading = few(F.first("image").over(sofar), F.sum("chars").over(sofar) + 2 * (F.col("k") - 1), *together)
@@ -134,8 +121,9 @@ def merge_weak_images(chunks: DataFrame) -> DataFrame:
     whole = Window.partitionBy("doc_id")
     head = F.coalesce(F.min(F.when(~F.col("leading"), F.col("k"))).over(whole), F.max("k").over(whole))
     grouped = counted.withColumn("head", head).withColumn("group", F.sum(((F.col("k") > F.col("head")) & ~F.col("weak")).cast("int")).over(sofar))
+    grouped = pagesets.joined(chunks.select("doc_id", "grp", F.struct(*own).alias("c")), grouped.select("doc_id", "grp", "k", "head", "group", "image"), ("doc_id", "grp"))
     rows = grouped.groupBy("doc_id", "group").agg(
-        F.min_by("c", F.when(F.col("k") == F.col("head"), 0).otherwise(F.col("k"))).alias("c"),
+        F.min_by(F.struct(*[F.col(f"c.{c}").alias(c) for c in own if c not in ("text", "pages")]), F.when(F.col("k") == F.col("head"), 0).otherwise(F.col("k"))).alias("c"),
         F.array_sort(F.collect_list(F.struct("k", F.coalesce("c.text", F.lit("")).alias("text"), F.col("c.pages").alias("pages")))).alias("parts"),
         F.bool_or("image").alias("image"),
     )
@@ -144,7 +132,8 @@ def merge_weak_images(chunks: DataFrame) -> DataFrame:
         "pages": F.flatten(F.transform("parts", lambda x: x["pages"])),
         "has_image": F.col("image"),
     }
-    return rows.select(*[merged.get(c, F.col("doc_id") if c == "doc_id" else F.col(f"c.{c}")).alias(c) for c in chunks.columns])
+    out = [merged.get(c, F.col("doc_id") if c == "doc_id" else F.col(f"c.{c}")).alias(c) for c in chunks.columns]
+    return rows.select(*out, (F.col("group") + 1).alias("_n"))
 
 
 def chunk_type(topic: Column, text: Column, min_chars: int = MIN_CHUNK_CHARS) -> Column:
@@ -158,9 +147,14 @@ def chunk_type(topic: Column, text: Column, min_chars: int = MIN_CHUNK_CHARS) ->
 
 
 def numbered(chunks: DataFrame, min_chars: int = MIN_CHUNK_CHARS) -> DataFrame:
-    """Adds chunk_type and chunk_id."""
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("grp"))
-    return chunks.withColumn("chunk_type", chunk_type(F.col("topic"), F.col("text"), min_chars)).withColumn("chunk_id", F.format_string("chunk_%03d", n))
+    """Adds chunk_type and chunk_id. grp tells the chunks of a document apart; the window takes no texts along."""
+    slim = chunks.select("doc_id", "grp").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("grp")))
+    return _named(pagesets.joined(chunks, slim, ("doc_id", "grp")), min_chars)
+
+
+def _named(chunks: DataFrame, min_chars: int) -> DataFrame:
+    kind = chunk_type(F.col("topic"), F.col("text"), min_chars)
+    return chunks.withColumns({"chunk_type": kind, "chunk_id": F.format_string("chunk_%03d", "_n")}).drop("_n")
 
 
 def chunk_pages(pages: DataFrame, strategy: str = "auto", max_pages: int = MAX_PAGES, min_chars: int = MIN_CHUNK_CHARS, fixed_size: int = 3) -> DataFrame:
@@ -178,7 +172,7 @@ def chunk_pages(pages: DataFrame, strategy: str = "auto", max_pages: int = MAX_P
         if strategy not in make:
             raise ValueError(f"unknown strategy {strategy!r}")
         chunks = build_chunks(make[strategy]())
-    return numbered(merge_weak_images(chunks), min_chars)
+    return _named(_merged(chunks), min_chars)
 
 
 def packed(rows: DataFrame, text_col: str, max_chars: int, separator: str = r"\n{2,}", glue: str = "\n\n") -> DataFrame:

@@ -33,7 +33,7 @@ def large(spark, tmp_path_factory):
     return str(path), con
 
 
-@pytest.mark.parametrize("name", ["checkpoint_summary", "work_list"])
+@pytest.mark.parametrize("name", ["checkpoint_summary", "work_list", "dedup_pages", "chunk_pipeline", "chunks_by_overlap", "chunks_auto", "chunks_by_title", "chunk_log"])
 def test_query(spark, large, name):
     path, con = large
     got = registry.QUERIES[name](spark, path).toPandas()
