@@ -45,3 +45,19 @@ def test_parts_past_a_byte(spark):
     s = spark.createDataFrame([("d", "seg_001", text, list(range(400)), 1)], "doc_id string, segment_id string, text string, source_pages array<int>, ord int")
     got = [r.segment_id for r in segments.split_long(s, 100).collect()]
     assert sorted(got) == [f"seg_001{chr(97 + k)}" for k in range(400)]
+
+
+def test_concept_graph_gives_each_edge_once_without_comparing_edges(spark):
+    import re
+
+    from lectern.operators import knowledge
+
+    rng = random.Random(7)
+    units = [("d", f"u{k}", f"Name {k % 9}") for k in range(60)]
+    told = [("d", f"u{rng.randrange(70)}", f"name-{rng.randrange(11)}") for _ in range(80)] + [("d", "u1", None)]
+    of = {u: c.lower() for _, u, c in units}
+    want = {p for _, a, t in told if t for b, c in of.items() if c == t.replace("-", " ") and a != b for p in ((a, b), (b, a))}
+    out = knowledge.concept_graph(spark.createDataFrame(units, "doc_id string, ku_id string, concept string"), spark.createDataFrame(told, "doc_id string, ku_id string, target string"))
+    got = [(r.a, r.b) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert not re.search(r"Aggregate.*\[doc_id#\d+, a#", out._jdf.queryExecution().toString())
