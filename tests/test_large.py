@@ -61,3 +61,33 @@ def test_concept_graph_gives_each_edge_once_without_comparing_edges(spark):
     got = [(r.a, r.b) for r in out.collect()]
     assert set(got) == want and len(got) == len(want)
     assert not re.search(r"Aggregate.*\[doc_id#\d+, a#", out._jdf.queryExecution().toString())
+
+
+def test_distractors_of_units_of_few_kinds_with_many_edges(spark):
+    import re
+
+    import pandas as pd
+    from lectern.functions.vocab import HORIZONTAL, STRUCTURAL
+    from lectern.operators import ranking
+    from lectern.plans.units import EDGE, KU
+
+    rng = random.Random(11)
+    cols = ["doc_id", "ku_id", "type", "concept", "owner_concept", "parent_l2", "parent_l1", "content", "verbatim_evidence"]
+    kinds = ["definition", "mechanism", "failure_mode", "trade_off", "procedure"]
+    units = []
+    for d in range(2):
+        for k in range(150):
+            name = rng.choice(["red ring", "red bolt", "blue ring", "blue ring plate", "old-plate"])
+            owner = rng.choice([name.split()[0], "", "red"])
+            units.append((f"d{d}", f"u{k:03d}", rng.choice(kinds), name, owner, "", rng.choice(["ring", "bolt", ""]), f"the {name} is here", " ".join(["word"] * rng.choice([3, 8, 30]))))
+    pairs = {(d, *sorted(rng.sample(range(150), 2))) for d in range(2) for _ in range(230)} | {(0, 7, k) for k in range(8, 60)}
+    edges = [(f"d{d}", f"u{a:03d}", f"u{b:03d}", rng.choice(HORIZONTAL + STRUCTURAL), k) for k, (d, a, b) in enumerate(sorted(pairs))]
+    names = ["doc_id", "a", "b", "relation", "edge_seq"]
+    out = ranking.distractors(spark.createDataFrame(units, cols), spark.createDataFrame(edges, names))
+    con = duckdb.connect()
+    con.register("ku", pd.DataFrame(units, columns=cols))
+    con.register("ku_edge", pd.DataFrame(edges, columns=names))
+    want = con.execute(registry.SQL["distractors"].replace(f"WITH {KU}, {EDGE}, ", "WITH ")).df()
+    assert rows(out.toPandas()) == rows(want) and len(want) > 800
+    # pairs of units are made for edges alone
+    assert not re.search(r"Window.*\[doc_id#\d+, a_ku_id#\d+, b_ku_id", out._jdf.queryExecution().toString())
