@@ -98,3 +98,32 @@ def test_windows_of_grounded_evidence_take_no_texts(spark, large):
 
     plan = registry.QUERIES["grounded_evidence"](spark, large[0])._jdf.queryExecution().optimizedPlan().toString()
     assert "lead(doc_id" in plan and not re.search(r"lead\(text", plan)
+
+
+def test_prompts_do_not_shuffle_segments_times_relations(spark):
+    """Against a plain version, with names in other cases, missing ones, equal relations and ties of rel_ord; and by the plan."""
+    import re
+
+    rng = random.Random(3)
+    names = [f"Name {k}" for k in range(6)]
+    told = [(d, rng.randrange(300), rng.choice([*names, "NAME 1", None]), rng.choice([*names, "name 2", None]), rng.choice("RS"), rng.choice([None, "", "e" * 90])) for d in "ab" for _ in range(400)]
+    told += told[:20]
+    segs = [(d, f"seg_{k:03d}", k, rng.choice(["Summary of it", "Lab 1", "Part"]), rng.choice([None, [], rng.sample([*names, "other", None], 4)]), rng.choice(["", "Name 3", "Top"])) for d in "abc" for k in range(60)]
+    relations = spark.createDataFrame(told, "doc_id string, rel_ord int, from_concept string, to_concept string, relation string, evidence string")
+    parts = spark.createDataFrame(segs, "doc_id string, segment_id string, ord int, label string, concepts array<string>, parent_concept_name string")
+    out = segments.with_connections(segments.with_context(parts), relations)
+    got = {(r.doc_id, r.segment_id): r for r in out.collect()}
+    assert len(got) == len(segs)
+    seen = {d: [] for d in "abc"}
+    for d, i, _, label, concepts, parent in segs:
+        own = {c.lower() for c in concepts or [] if c}
+        want = {(o, r, f, t, (e or "")[:80]) for x, o, f, t, r, e in told if x == d and own & {(f or "").lower(), (t or "").lower()}}
+        row = got[d, i]
+        want = sorted(want, key=lambda r: (r[0], r[1], r[2] is not None, r[2] or "", r[3] is not None, r[3] or "", r[4]))
+        assert [tuple(c)[:5] for c in row.connections] == want
+        assert [c.line for c in row.connections] == [None if f is None or t is None else f"\n- [{r}] {f} -> {t}" + (f": {e}" if e else "") for _, r, f, t, e in want]
+        assert list(row.seen) == seen[d] and bool(row.l1_seen) == (parent != "" and parent in seen[d])
+        if label != "Lab 1" and concepts is not None:
+            seen[d] += [c for c in dict.fromkeys([*concepts, *([parent] if parent else [])]) if c not in seen[d]]
+    # relations are not gathered by segment
+    assert not re.search(r"Aggregate \[doc_id#\d+, segment_id#\d+\], .*collect_", out._jdf.queryExecution().optimizedPlan().toString())
