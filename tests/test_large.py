@@ -40,6 +40,12 @@ def test_query(spark, large, name):
     assert rows(got) == rows(con.execute(registry.SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", ["segment_breaks"])
+def test_last_pages_count_blank_pages(spark, large, name):
+    path, con = large
+    assert rows(registry.QUERIES[name](spark, path).toPandas()) == rows(con.execute(registry.SQL[name]).df())
+
+
 def test_parts_past_a_byte(spark):
     text = "\n\n---\n\n".join(["x" * 90] * 400)
     s = spark.createDataFrame([("d", "seg_001", text, list(range(400)), 1)], "doc_id string, segment_id string, text string, source_pages array<int>, ord int")
