@@ -40,7 +40,7 @@ def test_query(spark, large, name):
     assert rows(got) == rows(con.execute(registry.SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", ["segment_breaks", "page_coverage"])
+@pytest.mark.parametrize("name", ["segment_breaks", "page_coverage", "segments", "segments_merged_and_split"])
 def test_last_pages_count_blank_pages(spark, large, name):
     path, con = large
     assert rows(registry.QUERIES[name](spark, path).toPandas()) == rows(con.execute(registry.SQL[name]).df())
