@@ -432,3 +432,13 @@ def test_units_of_a_graph_take_little_memory():
     each = held // 5000
     assert edges > 9000 and best == ["u000002", "u000005"]
     assert each < 1500
+
+
+def test_replies_are_parsed_once(spark):
+    asked = spark.createDataFrame([("d", '{"question": "Which of these holds?", "options": {"a": "1", "b": "2", "c": "3", "d": "4"}, "answer": "b", "explanation": "it does"}')], "doc_id string, raw string")
+    out = generation.parsed_questions(asked).where("ok")
+    r = out.first()
+    assert (r.question, r.A, r.D, r.answer, r.explanation) == ("Which of these holds?", "1", "4", "B", "it does")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    n = plan.count("from_json") + plan.count("jsontostructs")
+    assert n == 1
